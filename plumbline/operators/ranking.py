@@ -125,7 +125,7 @@ def encoded_features(
     )
     categorical = vocab.select("feature", F.col("value").alias("category"),
                                F.col("position").cast("int").alias("_slot"))
-    rows = numeric.unionByName(categorical).withColumn("_at", F.array_position(place, "feature"))
+    rows = numeric.unionByName(categorical).withColumn("_at", F.array_position(place, F.col("feature")))
     name = F.when(F.col("category").isNull(), F.col("feature")).otherwise(
         F.concat_ws("==", "feature", "category")
     )
