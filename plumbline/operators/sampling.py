@@ -30,18 +30,13 @@ def one_per_cluster(
     if key is not None:
         pool = pool.withColumn("_h", hash_key(F.lit(key), *_texts([cluster, unit])))
         order = ["_h", unit]
-    firsts = pool.groupBy(cluster).agg(F.min(F.struct(*order, unit)).alias("_f"))
-    place = [F.col(f"_f.{c}").alias(f"_o{i}") for i, c in enumerate(order)]
-    chosen = (
-        firsts.select(cluster, F.col(f"_f.{unit}").alias(unit), *place)
-        .orderBy(*[f"_o{i}" for i in range(len(order))])
-        .limit(count)
-    )
+    order = [*order, *([] if unit in order else [unit])]
+    firsts = pool.groupBy(cluster).agg(F.min(F.struct(*order)).alias("_f"))
+    chosen = firsts.select(cluster, "_f.*").orderBy(*order).limit(count)
     found = chosen.count()
     if found < count:
         raise ValueError(f"only {found} distinct clusters available; {count} required")
-    return chosen.select(cluster, unit, *[F.col(f"_o{i}").alias(c) for i, c in enumerate(order)
-                                          if c not in (unit, "_h")])
+    return chosen.select(cluster, unit, *[c for c in order if c not in (unit, "_h")])
 
 
 def equal_rank_bins(rows: DataFrame, order: Sequence[str], bins: int, *, out: str = "bin"):
@@ -66,7 +61,8 @@ def stratified_cohort(
     used = head.select(cluster)
     rest = candidates.join(F.broadcast(used), cluster, "left_anti")  # `leading` rows
     binned = equal_rank_bins(rest, order, bins)
-    firsts = binned.groupBy("bin", cluster).agg(F.min(F.struct(*order, unit)).alias("_f"))
+    order = [*order, *([] if unit in order else [unit])]
+    firsts = binned.groupBy("bin", cluster).agg(F.min(F.struct(*order)).alias("_f"))
     near = with_positions(firsts, ["bin"], ["_f"], position="_r").where(F.col("_r") <= bins)
     taken: set = set()
     picks = []
