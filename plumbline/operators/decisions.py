@@ -41,13 +41,13 @@ def collapse_duplicates(
         F.min(F.struct(*sequence)).alias("_first"),
         F.bool_or(applied).alias("observed_applied"),
         (F.bool_or(applied) == F.bool_and(applied)).alias("labels_consistent"),
-        *[F.min_by(c, F.struct(*sequence)).alias(c) for c in carry],
+        *([F.min_by(F.struct(*carry), F.struct(*sequence)).alias("_carry")] if carry else []),
     )
     versions = logical.groupBy(*ids).agg((F.count(F.lit(1)) > 1).alias("id_collision"))
     first = [F.col(f"_first.{c}").alias(f"first_{c}") for c in sequence]
     return logical.join(versions, ids).select(
         *ids, signature, "multiplicity", *first, "observed_applied", "labels_consistent",
-        "id_collision", *carry,
+        "id_collision", *[F.col(f"_carry.{c}").alias(c) for c in carry],
     )
 
 
