@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.queries_ranking import decisions_of, logical_of, ranked, rounded
 from checks.views import (
-    OCC_SQL, RANKED_SQL, SEQ, SPLIT_SQL, UNITS_SQL, cand, cand_sql, occ, split_of, table, units,
+    OCC_SEQ, OCC_SQL, RANKED_SQL, SPLIT_SQL, UNITS_SQL, cand, cand_sql, occ, split_of, table, units,
 )
 from plumbline.fixed_values import SPLITS
 from plumbline.functions import exprs as E
@@ -88,7 +88,7 @@ SELECT count(*) AS decision_groups, count(*) FILTER (d > 0) AS groups_with_dupli
 def duplicate_totals(spark, sf):
     return Q.duplicate_totals(
         occ(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
-        sequence=SEQ,
+        sequence=OCC_SEQ,
     )
 
 
@@ -153,7 +153,7 @@ def audit_report(spark, sf):
             "applied_rows": F.col("applied")}
     )
     dup = Q.duplicate_totals(
-        o, decision=["decision"], source_id="source_id", applied="applied", sequence=SEQ
+        o, decision=["decision"], source_id="source_id", applied="applied", sequence=OCC_SEQ
     )
     n = lambda t: table(spark, sf, t).agg(F.count(F.lit(1))).scalar()
     zero = F.lit(0).cast("bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import OCC_SQL, RANKED_SQL, SEQ, cand, cand_sql, occ, table
+from checks.views import OCC_SEQ, OCC_SQL, RANKED_SQL, SEQ, cand, cand_sql, occ, table
 from plumbline.operators import decisions as D
 from plumbline.operators import ranking as R
 
@@ -46,7 +46,7 @@ def logical_of(o):
         source_id="source_id",
         signature="signature",
         applied="applied",
-        sequence=SEQ,
+        sequence=OCC_SEQ,
         carry=["score"],
     )
 
@@ -68,13 +68,13 @@ def decisions_of(spark, sf, o, logical):
 @query(
     "duplicate_collapse",
     f"""WITH {OCC_SQL}
-SELECT decision, source_id, signature, multiplicity, first_l_linenumber, first_l_partkey,
-       score, observed_applied, labels_consistent, id_collision FROM collided""",
+SELECT decision, source_id, signature, multiplicity, first_l_extendedprice, score,
+        observed_applied, labels_consistent, id_collision FROM collided""",
 )
 def duplicate_collapse(spark, sf):
     return logical_of(occ(spark, sf)).select(
-        "decision", "source_id", "signature", "multiplicity", "first_l_linenumber",
-        "first_l_partkey", "score", "observed_applied", "labels_consistent", "id_collision",
+        "decision", "source_id", "signature", "multiplicity", "first_l_extendedprice", "score",
+        "observed_applied", "labels_consistent", "id_collision",
     )
 
 
@@ -197,7 +197,7 @@ FROM marked GROUP BY decision""",
 def duplicate_occurrence_flags(spark, sf):
     return D.duplicate_occurrences(
         occ(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
-        sequence=SEQ,
+        sequence=OCC_SEQ,
     )
 
 

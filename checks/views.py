@@ -17,6 +17,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 SEQ = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+# The price is unique inside an order, so it alone orders the occurrences.
+OCC_SEQ = ["l_extendedprice"]
 
 
 def split_of(c):
@@ -95,15 +97,13 @@ occ AS (
   SELECT unit, run, decision, score, split, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
          (l_suppkey % 4)::VARCHAR AS source_id, l_returnflag || '/' || l_linestatus AS signature,
          l_discount >= 0.05 AS applied, l_linenumber = 7 AS forced,
-         row_number() OVER (PARTITION BY decision ORDER BY l_linenumber, l_partkey, l_suppkey,
-           l_extendedprice) AS seq
+         l_extendedprice AS seq
   FROM cand),
 logical AS (
   SELECT unit, run, decision, split, source_id, signature, count(*) AS multiplicity,
-         min(seq) AS first_seq, arg_min(score, seq) AS score, bool_or(applied) AS observed_applied,
+         arg_min(score, seq) AS score, bool_or(applied) AS observed_applied,
          bool_or(applied) = bool_and(applied) AS labels_consistent,
-         arg_min(l_linenumber, seq) AS first_l_linenumber,
-         arg_min(l_partkey, seq) AS first_l_partkey
+         min(seq) AS first_l_extendedprice
   FROM occ WHERE NOT forced GROUP BY ALL),
 collided AS (
   SELECT *, count(*) OVER (PARTITION BY decision, source_id) > 1 AS id_collision FROM logical),

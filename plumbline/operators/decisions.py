@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators.ordering import first_by, with_positions
+from plumbline.operators.ordering import first_by, order_key, with_positions
 
 
 def root_rows(rows: DataFrame, *, root: str = "root", depth: str = "node_depth"):
@@ -36,18 +36,30 @@ def collapse_duplicates(
     back per (decision, id), so no decision is ever gathered in one place.
     """
     ids = [*decision, source_id]
+    at = order_key(sequence)
+    kinds = dict(occurrences.dtypes)
+    plain = all(kinds[c] in ("int", "bigint", "double", "float", "boolean") for c in carry)
+    if plain:  # fixed-width buffers: hash aggregation
+        carried = [F.min_by(c, at).alias(f"_carry_{c}") for c in carry]
+        shown = [F.col(f"_carry_{c}").alias(c) for c in carry]
+    else:
+        carried = [F.min_by(F.struct(*carry), at).alias("_carry")]
+        shown = [F.col(f"_carry.{c}").alias(c) for c in carry]
     logical = occurrences.groupBy(*ids, signature).agg(
         F.count(F.lit(1)).alias("multiplicity"),
-        F.min(F.struct(*sequence)).alias("_first"),
+        F.min(at).alias("_first"),
         F.bool_or(applied).alias("observed_applied"),
         (F.bool_or(applied) == F.bool_and(applied)).alias("labels_consistent"),
-        *([F.min_by(F.struct(*carry), F.struct(*sequence)).alias("_carry")] if carry else []),
+        *carried,
     )
     versions = logical.groupBy(*ids).agg((F.count(F.lit(1)) > 1).alias("id_collision"))
-    first = [F.col(f"_first.{c}").alias(f"first_{c}") for c in sequence]
+    if len(sequence) == 1:
+        first = [F.col("_first").alias(f"first_{sequence[0]}")]
+    else:
+        first = [F.col(f"_first.{c}").alias(f"first_{c}") for c in sequence]
     return logical.join(versions, ids).select(
         *ids, signature, "multiplicity", *first, "observed_applied", "labels_consistent",
-        "id_collision", *[F.col(f"_carry.{c}").alias(c) for c in carry],
+        "id_collision", *shown,
     )
 
 
@@ -125,7 +137,7 @@ def run_flags(
     minima joined back, not a scan over the run.
     """
     usable = (F.col("n_logical") >= 2) & ~F.col("has_collision") & F.col(has_state)
-    at = F.struct(*sequence)
+    at = order_key(sequence)
     firsts = decisions.groupBy(*run).agg(
         F.min(at).alias("_first"), F.min(F.when(usable, at)).alias("_first_usable")
     )
@@ -145,7 +157,7 @@ def duplicate_occurrences(
     per_id = rows.groupBy(*decision, source_id).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(applied).alias("_applied"),
-        F.min_by(F.col(applied).cast("int"), F.struct(*sequence)).alias("_first_applied"),
+        F.min_by(F.col(applied).cast("int"), order_key(sequence)).alias("_first_applied"),
     )
     return per_id.groupBy(*decision).agg(
         F.sum("_n").alias("rows"),

@@ -158,8 +158,55 @@ def _ranged(df, group, order, position, running, totals, total, hot_rows):
     )
 
 
+def order_key(columns: Sequence[str]) -> Column:
+    """One column as it is, several as a struct: a plain column keeps the
+    aggregate on the hash path, a struct needs the sort path."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+
+
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    fractions: Mapping[str, float],
+    *,
+    nearest_rank: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """Exact percentiles per key, linear (``fractions``) or nearest-rank.
+
+    The built-in exact percentile gathers a key's values in one buffer. Here
+    equal values are counted first and the ranks come from running counts, so a
+    key with most of the rows is spread over tasks. Nulls are ignored.
+    """
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    placed = with_positions(
+        counted, list(keys), ["_v"], position="_p", running={"_upto": "_n"}, totals={"_all": "_n"}
+    )
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+
+    aggs, outs = [F.max("_all").alias("_all")], []
+    for name, q in fractions.items():
+        low = F.floor(F.lit(q) * (F.col("_all") - 1))
+        high = F.ceil(F.lit(q) * (F.col("_all") - 1))
+        aggs += [at(low + 1).alias(f"_lo_{name}"), at(high + 1).alias(f"_hi_{name}")]
+        place = F.lit(q) * (F.col("_all") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        outs.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    for name, q in (nearest_rank or {}).items():
+        rank = F.greatest(F.ceil(F.lit(q) * F.col("_all")), F.lit(1))
+        aggs.append(at(rank).alias(name))
+        outs.append(F.col(name))
+    return placed.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+
+
 def first_by(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]):
     """First row of each group as one aggregate: partial minima leave each task,
     never the group."""
-    keyed = F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")
+    keyed = F.min_by(F.struct(*columns), order_key(order)).alias("_first")
     return df.groupBy(*group).agg(keyed).select(*group, "_first.*")

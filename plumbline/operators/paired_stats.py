@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import DESCRIPTIVE_METRICS, TIE_TOLERANCE
 from plumbline.functions import exprs as E
+from plumbline.operators.ordering import percentiles
 
 CLASSES = (
     "both_complete",
@@ -150,32 +151,31 @@ def descriptive_metrics(
     )
     d = F.col("treatment") - F.col("native")
     tol = F.lit(TIE_TOLERANCE)
-    stats = per_unit.groupBy(*keys, "metric").agg(
+    by = [*keys, "metric"]
+    medians = percentiles(per_unit.withColumn("_d", d), by, "_d", {"median_delta": 0.5})
+    stats = per_unit.groupBy(*by).agg(
         F.count(F.lit(1)).alias("units"),
         F.sum("pairs").alias("pairs"),
         F.avg("native").alias("native_mean"),
         F.avg("treatment").alias("treatment_mean"),
         F.avg(d).alias("mean_delta"),
-        F.percentile(d, F.lit(0.5)).alias("median_delta"),
         F.avg("change").alias("mean_relative_change"),
         F.count_if(d < -tol).alias("units_lower"),
         F.count_if(F.abs(d) <= tol).alias("units_equal"),
         F.count_if(d > tol).alias("units_higher"),
     )
-    return stats.withColumn(
+    return stats.join(medians, by).withColumn(
         "ratio_of_means", F.col("treatment_mean") / F.nullif("native_mean", F.lit(0.0))
     )
 
 
 def timing_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Records, mean, median, nearest-rank 95th percentile and sum."""
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("records"),
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
-        F.sum(value).alias("total"),
+    sums = rows.groupBy(*keys).agg(
+        F.count(value).alias("records"), F.avg(value).alias("mean"), F.sum(value).alias("total")
     )
+    ranks = percentiles(rows, keys, value, {"median": 0.5}, nearest_rank={"p95": 0.95})
+    return sums.join(ranks, list(keys), "left")
 
 
 def overhead(

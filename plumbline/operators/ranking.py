@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import PROHIBITED_FIELDS, TOP_K_CAPTURE, UNKNOWN_CATEGORY
 from plumbline.functions import exprs as E
-from plumbline.operators.ordering import with_positions
+from plumbline.operators.ordering import percentiles, with_positions
 
 SEALED = "sealed"
 
@@ -263,18 +263,15 @@ def concentration(queries: DataFrame, keys: Sequence[str], *, unit: str = "unit"
     shares = top.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("place") <= k, F.col("_c"))).alias(f"_top{k}") for k in (1, 5, 10)]
     )
-    quantiles = queries.groupBy(*keys).agg(
-        F.percentile(size, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)]))
-        .alias("_q")
-    )
-    names = ("min", "p25", "p50", "p75", "p90", "p95", "max")
+    names = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "max": 1.0}
+    quantiles = percentiles(queries, keys, size, {f"size_{n}": q for n, q in names.items()})
     joined = totals.join(shares, list(keys)).join(quantiles, list(keys))
     return joined.select(
         *keys,
         "units",
         "queries",
         "candidates",
-        *[F.col("_q")[i].alias(f"size_{n}") for i, n in enumerate(names)],
+        *[f"size_{n}" for n in names],
         *[(F.col(f"_top{k}") / F.col("candidates")).alias(f"top_{k}_share") for k in (1, 5, 10)],
         (F.col("candidates").cast("double") * F.col("candidates") / F.col("_squares")).alias(
             "effective_units"
