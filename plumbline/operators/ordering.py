@@ -125,35 +125,35 @@ def _ranged(df, group, order, position, running, totals, total, hot_rows):
     # Written once: range bounds come from a sample, so a recomputed shuffle
     # could cut the rows elsewhere than the totals below were taken.
     staged = materialize(
-        df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), "ranges"
+        df.repartitionByRange(parts, *by).withColumn("_rng_id", F.spark_partition_id()), "ranges"
     )
-    local = _windowed(staged, [*group, "_range"], order, position, running, {})
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = staged.groupBy(*group, "_range").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(c).alias(f"_sum_{out}") for out, c in {**running, **totals}.items()],
+    local = _windowed(staged, [*group, "_rng_id"], order, position, running, {})
+    before = Window.partitionBy(*group).orderBy("_rng_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = staged.groupBy(*group, "_rng_id").agg(
+        F.count(F.lit(1)).alias("_rng_rows"),
+        *[F.sum(c).alias(f"_rng_sum_{out}") for out, c in {**running, **totals}.items()],
     )
     whole = Window.partitionBy(*group)
     shifts = sums.select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
-        F.col("_range").alias("_at"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+        *[F.col(c).alias(f"_rng_g{i}") for i, c in enumerate(group)],
+        F.col("_rng_id").alias("_rng_at"),
+        F.coalesce(F.sum("_rng_rows").over(before), F.lit(0)).alias("_rng_before"),
         *[
-            F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
+            F.coalesce(F.sum(f"_rng_sum_{out}").over(before), F.lit(0)).alias(f"_rng_before_{out}")
             for out in running
         ],
-        *[F.sum(f"_sum_{out}").over(whole).alias(out) for out in totals],
+        *[F.sum(f"_rng_sum_{out}").over(whole).alias(out) for out in totals],
     )
     same = reduce(
         lambda a, b: a & b,
-        [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)],
-        F.col("_range") == F.col("_at"),
+        [F.col(c).eqNullSafe(F.col(f"_rng_g{i}")) for i, c in enumerate(group)],
+        F.col("_rng_id") == F.col("_rng_at"),
     )
     kept = [c for c in df.columns]
     return local.join(shifts, same).select(
         *kept,
-        (F.col(position) + F.col("_rows_before")).alias(position),
-        *[(F.col(out) + F.col(f"_before_{out}")).alias(out) for out in running],
+        (F.col(position) + F.col("_rng_before")).alias(position),
+        *[(F.col(out) + F.col(f"_rng_before_{out}")).alias(out) for out in running],
         *totals,
     )
 
