@@ -12,6 +12,7 @@ from plumbline.operators import gates as G
 from plumbline.operators import paired_stats as S
 from plumbline.operators import pairs as P
 from plumbline.operators import precision as N
+from plumbline.session import materialize
 
 QUERIES, ORACLES = {}, {}
 NATIVE, LIMIT = "view", 200.0
@@ -372,7 +373,7 @@ SELECT c.*, safe_pairs = pairs AS safe, coalesce(eligible_units, 0) AS eligible_
   coalesce(unit_losses, 0) AS unit_losses FROM c LEFT JOIN us USING (arm)""",
 )
 def arm_summary(spark, sf):
-    c = compared(spark, sf)
+    c = materialize(compared(spark, sf), "compared")  # read by the counts and the metrics
     long = P.pair_metrics(c, ["unit", "seed", "arm", "valid"])
     return rounded(P.arm_summary(c, long), 6)
 

@@ -239,8 +239,7 @@ def unit_balanced_weights(spark, sf):
         .agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("label").alias("n_positives"))
     )
     active = (F.col("n_positives") > 0) & (F.col("n_positives") < F.col("n_candidates"))
-    w = R.unit_balanced_weights(q)
-    w = R.unit_balanced_weights(w, active=active, out="effective_weight")
+    w = R.unit_balanced_weights(q, weights={"query_weight": None, "effective_weight": active})
     return rounded(w.select("unit", "decision", "query_weight", "effective_weight"))
 
 

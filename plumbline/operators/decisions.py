@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators.ordering import first_by, order_key, with_positions
+from plumbline.operators.ordering import (
+    first_by,
+    order_key,
+    with_group_aggregates,
+    with_positions,
+)
+from plumbline.session import materialize
 
 
 def root_rows(rows: DataFrame, *, root: str = "root", depth: str = "node_depth"):
@@ -32,8 +38,9 @@ def collapse_duplicates(
 
     The representative is the earliest occurrence, the label is true when any
     occurrence was applied, and an id with two signatures inside a decision is
-    a collision. Only partial aggregates are shuffled; the collision flag joins
-    back per (decision, id), so no decision is ever gathered in one place.
+    a collision. Only partial aggregates of the occurrences are shuffled. The
+    collapsed rows are written once, because every later step reads them again
+    and would otherwise repeat the scan of the occurrences.
     """
     ids = [*decision, source_id]
     at = order_key(sequence)
@@ -52,14 +59,16 @@ def collapse_duplicates(
         (F.bool_or(applied) == F.bool_and(applied)).alias("labels_consistent"),
         *carried,
     )
-    versions = logical.groupBy(*ids).agg((F.count(F.lit(1)) > 1).alias("id_collision"))
+    logical = with_group_aggregates(
+        materialize(logical, "logical"), ids, {"_versions": F.count(F.lit(1))}
+    )
     if len(sequence) == 1:
         first = [F.col("_first").alias(f"first_{sequence[0]}")]
     else:
         first = [F.col(f"_first.{c}").alias(f"first_{c}") for c in sequence]
-    return logical.join(versions, ids).select(
+    return logical.select(
         *ids, signature, "multiplicity", *first, "observed_applied", "labels_consistent",
-        "id_collision", *shown,
+        (F.col("_versions") > 1).alias("id_collision"), *shown,
     )
 
 
@@ -134,16 +143,17 @@ def run_flags(
 
     Usable means two or more candidates, no id collision and a known state; the
     first usable decision of the run is the eligible one. Both are per-run
-    minima joined back, not a scan over the run.
+    minima over the decision table, which is written once before.
     """
     usable = (F.col("n_logical") >= 2) & ~F.col("has_collision") & F.col(has_state)
     at = order_key(sequence)
-    firsts = decisions.groupBy(*run).agg(
-        F.min(at).alias("_first"), F.min(F.when(usable, at)).alias("_first_usable")
+    whole = with_group_aggregates(
+        materialize(decisions, "decisions"),
+        run,
+        {"_first": F.min(at), "_first_usable": F.min(F.when(usable, at))},
     )
     return (
-        decisions.join(firsts, list(run))
-        .withColumn("is_first_in_run", at == F.col("_first"))
+        whole.withColumn("is_first_in_run", at == F.col("_first"))
         .withColumn("is_eligible", usable & F.coalesce(at == F.col("_first_usable"), F.lit(False)))
         .drop("_first", "_first_usable")
     )
@@ -176,7 +186,8 @@ def contiguity(
     positions, so one long file is not one task.
     """
     numbered = with_positions(rows.select(*source, *key, *sequence), source, sequence)
-    numbered = numbered.select(*source, *key, "position")
+    # three readers below: the rows, their predecessors and the distinct keys
+    numbered = materialize(numbered.select(*source, *key, "position"), "numbered")
     prior = numbered.select(
         *source,
         (F.col("position") + 1).alias("position"),
@@ -187,7 +198,7 @@ def contiguity(
     for c in key:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prior_{c}"))
     islands = joined.groupBy(*source).agg(F.count_if(changed).alias("islands"))
-    keys = rows.select(*source, *key).distinct().groupBy(*source).agg(
+    keys = numbered.select(*source, *key).distinct().groupBy(*source).agg(
         F.count(F.lit(1)).alias("distinct_keys")
     )
     return islands.join(keys, list(source)).withColumn(

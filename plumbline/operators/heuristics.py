@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import draws
 from plumbline.functions import exprs as E
-from plumbline.operators.ordering import hot_groups, split_hot, with_positions
+from plumbline.operators.ordering import (
+    hot_groups,
+    split_hot,
+    with_group_aggregates,
+    with_positions,
+)
 from plumbline.session import materialize
 
 
@@ -39,8 +44,7 @@ def metric_rank(rows: DataFrame, *, decision: Sequence[str], metric: str, index:
 
 
 def with_group_maxima(rows: DataFrame, *, decision: Sequence[str], columns: Sequence[str]):
-    tops = rows.groupBy(*decision).agg(*[F.max(c).alias(f"max_{c}") for c in columns])
-    return rows.join(tops, list(decision))
+    return with_group_aggregates(rows, decision, {f"max_{c}": F.max(c) for c in columns})
 
 
 # ---- swaps at the selection boundary ------------------------------------------

@@ -158,6 +158,36 @@ def _ranged(df, group, order, position, running, totals, total, hot_rows):
     )
 
 
+def with_group_aggregates(
+    df: DataFrame, group: Sequence[str], aggregates: Mapping[str, Column],
+    *, hot_rows: int | None = None,
+) -> DataFrame:
+    """Add whole-group aggregates to every row, in one shuffle of the rows.
+
+    Ordinary groups use a window. Groups too large for a task are aggregated
+    with partial sums and come back through a broadcast of one row per such
+    group (at most 8192). A plain aggregate-and-join would run the input twice.
+    """
+    group = list(group)
+    over = Window.partitionBy(*group)
+
+    def windowed(part: DataFrame) -> DataFrame:
+        return part.select("*", *[c.over(over).alias(n) for n, c in aggregates.items()])
+
+    keys = hot_groups(df, group, hot_rows)
+    if keys is None:
+        return windowed(df)
+    cold, hot = split_hot(df, group, keys)
+    named = [F.col(c).alias(f"_agg_g{i}") for i, c in enumerate(group)]
+    totals = hot.groupBy(*named).agg(*[c.alias(n) for n, c in aggregates.items()])
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(c).eqNullSafe(F.col(f"_agg_g{i}")) for i, c in enumerate(group)],
+    )
+    joined = hot.join(F.broadcast(totals), same).select(*df.columns, *aggregates)
+    return windowed(cold).unionByName(joined)
+
+
 def order_key(columns: Sequence[str]) -> Column:
     """One column as it is, several as a struct: a plain column keeps the
     aggregate on the hash path, a struct needs the sort path."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import PROHIBITED_FIELDS, TOP_K_CAPTURE, UNKNOWN_CATEGORY
 from plumbline.functions import exprs as E
-from plumbline.operators.ordering import percentiles, with_positions
+from plumbline.operators.ordering import percentiles, with_group_aggregates, with_positions
+from plumbline.session import materialize
 
 SEALED = "sealed"
 
@@ -209,27 +210,37 @@ def select_subset(df: DataFrame, contract: Sequence[str], keep: Sequence[str],
 
 # ---- weights and profiles -------------------------------------------------
 def unit_balanced_weights(
-    queries: DataFrame, *, unit: str = "unit", active: "Column | str | None" = None,
-    out: str = "query_weight",
+    queries: DataFrame, *, unit: str = "unit",
+    weights: "Mapping[str, Column | str | None] | None" = None,
 ) -> DataFrame:
-    """Weight so that every unit counts equally and the mean weight is one.
+    """Weights so that every unit counts equally and the mean weight is one.
 
-    Inactive queries get zero and do not count. Totals are scalar subqueries and
-    the per-unit count joins back, so a unit with most queries is not one task.
+    ``weights`` maps an output column to the condition of active queries (None
+    is all of them); inactive queries get zero and do not count. The query table
+    is written once: the per-unit counts and the totals both read it.
     """
-    on = E.col(active) if active is not None else F.lit(True)
-    marked = queries.withColumn("_on", on)
-    per_unit = marked.where("_on").groupBy(unit).agg(F.count(F.lit(1)).alias("_mine"))
-    totals = per_unit.agg(
-        F.struct(F.sum("_mine").alias("queries"), F.count(F.lit(1)).alias("units"))
+    weights = {"query_weight": None} if weights is None else dict(weights)
+    on = {n: F.lit(True) if c is None else E.col(c) for n, c in weights.items()}
+    queries = materialize(queries, "queries")
+    marked = with_group_aggregates(
+        queries, [unit], {f"_mine_{n}": F.count_if(c) for n, c in on.items()}
     )
-    weight = F.col("_t.queries") / (F.col("_t.units") * F.col("_mine"))
-    return (
-        marked.join(per_unit, unit, "left")
-        .withColumn("_t", totals.scalar())
-        .withColumn(out, F.when(F.col("_on"), weight).otherwise(F.lit(0.0)))
-        .drop("_on", "_mine", "_t")
+    per_unit = queries.groupBy(unit).agg(*[F.count_if(c).alias(n) for n, c in on.items()])
+    totals = per_unit.agg(
+        F.struct(
+            *[
+                F.struct(F.sum(n).alias("queries"), F.count_if(F.col(n) > 0).alias("units")).alias(n)
+                for n in weights
+            ]
+        )
     )
+    out = marked.withColumn("_t", totals.scalar())
+    for n, c in on.items():
+        share = F.col(f"_t.{n}.queries") / F.nullif(
+            F.col(f"_t.{n}.units") * F.col(f"_mine_{n}"), F.lit(0)
+        )
+        out = out.withColumn(n, F.when(c, share).otherwise(F.lit(0.0)))
+    return out.drop("_t", *[f"_mine_{n}" for n in weights])
 
 
 def weight_balance(weighted: DataFrame, *, unit: str = "unit", weight: str = "query_weight"):
@@ -424,18 +435,16 @@ def unit_equal_mean(metrics: DataFrame, *, unit: str = "unit", names: Sequence[s
 def anchored_score(rows: DataFrame, *, query: Sequence[str], score: str, baseline_rank: str,
                    out: str = "anchored_score") -> DataFrame:
     """Lift the baseline's first choice above every other score of its query."""
-    tops = rows.groupBy(*query).agg(
-        F.max(score).alias("_top"), F.count_if(F.col(baseline_rank) == 1).alias("_firsts")
+    whole = with_group_aggregates(
+        rows, query, {"_top": F.max(score), "_firsts": F.count_if(F.col(baseline_rank) == 1)}
     )
     lifted = F.col("_top") + F.greatest(F.abs(F.col("_top")), F.lit(1.0))
     guarded = F.when(F.col("_firsts") == 1, lifted).otherwise(
         F.raise_error(F.lit("expected one rank-1 candidate per query")).cast("double")
     )
-    return (
-        rows.join(tops, list(query))
-        .withColumn(out, F.when(F.col(baseline_rank) == 1, guarded).otherwise(F.col(score)))
-        .drop("_top", "_firsts")
-    )
+    return whole.withColumn(
+        out, F.when(F.col(baseline_rank) == 1, guarded).otherwise(F.col(score))
+    ).drop("_top", "_firsts")
 
 
 def anchor_faults(rows: DataFrame, *, query: Sequence[str], baseline_rank: str) -> DataFrame:

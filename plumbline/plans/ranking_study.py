@@ -79,14 +79,19 @@ def build_ranking_dataset(
     )
     matrix = R.assemble(rows, contract, booleans).select(*columns, "subset", "unit", "features")
     y = F.col("label").cast("bigint")
-    queries = rows.groupBy("subset", "unit", "decision_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.sum(y).alias("n_positives")
+    queries = materialize(
+        rows.groupBy("subset", "unit", "decision_id").agg(
+            F.count(F.lit(1)).alias("n_candidates"), F.sum(y).alias("n_positives")
+        ),
+        "ranking-queries",
     )
     active = (F.col("n_positives") > 0) & (F.col("n_positives") < F.col("n_candidates"))
     weighted = None
     for (subset,) in queries.select("subset").distinct().collect():  # seven names at most
-        one = R.unit_balanced_weights(queries.where(F.col("subset") == subset))
-        one = R.unit_balanced_weights(one, active=active, out="effective_weight")
+        one = R.unit_balanced_weights(
+            queries.where(F.col("subset") == subset),
+            weights={"query_weight": None, "effective_weight": active},
+        )
         weighted = one if weighted is None else weighted.unionByName(one)
     return RankingDataset(
         matrix,

@@ -1,12 +1,19 @@
 """Positions and running sums: both ways must agree, whatever the skew."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.heuristics import diverse_top_k
-from plumbline.operators.ordering import hot_groups, with_positions
+from plumbline.operators.ordering import (
+    hot_groups,
+    percentiles,
+    with_group_aggregates,
+    with_positions,
+)
 
 
 @pytest.fixture
@@ -77,3 +84,36 @@ def test_diverse_rounds_equal_the_grouped_scan(spark):
     large = diverse_top_k(df, hot_rows=20, **args).select("g", "pick", "place").collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, large))
     assert len(small) == 27
+
+
+@pytest.mark.parametrize("hot_rows", [None, 300, 100])
+def test_group_aggregates_agree_with_brute_force(skewed, hot_rows):
+    got = with_group_aggregates(
+        skewed, ["g"], {"top": F.max("v"), "n": F.count(F.lit(1))}, hot_rows=hot_rows
+    ).collect()
+    groups = {}
+    for r in skewed.collect():
+        groups.setdefault(r["g"], []).append(r["v"])
+    assert len(got) == 1900
+    assert all((r["top"], r["n"]) == (max(groups[r["g"]]), len(groups[r["g"]])) for r in got)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_percentiles_agree_with_numpy(skewed, hot_rows, spark):
+    if hot_rows:
+        spark.conf.set("spark.plumbline.hotGroupRows", str(hot_rows))
+    try:
+        got = percentiles(
+            skewed, ["g"], "v", {"a": 0.25, "b": 0.9}, nearest_rank={"c": 0.95}
+        ).collect()
+    finally:
+        spark.conf.unset("spark.plumbline.hotGroupRows")
+    groups = {}
+    for r in skewed.collect():
+        groups.setdefault(r["g"], []).append(r["v"])
+    assert len(got) == len(groups)
+    for r in got:
+        v = sorted(groups[r["g"]])
+        assert r["a"] == pytest.approx(np.quantile(v, 0.25))
+        assert r["b"] == pytest.approx(np.quantile(v, 0.9))
+        assert r["c"] == v[min(len(v) - 1, math.ceil(0.95 * len(v)) - 1)]
