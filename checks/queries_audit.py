@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.queries_ranking import decisions_of, logical_of, ranked, rounded
 from checks.views import (
-    OCC_SEQ, OCC_SQL, RANKED_SQL, SPLIT_SQL, UNITS_SQL, cand, cand_sql, occ, split_of, table, units,
+    OCC_SEQ, OCC_SQL, RANKED_SQL, SPLIT_SQL, UNITS_SQL, cand, cand_sql, occ, scan_rows, split_of,
+    table, units,
 )
 from plumbline.fixed_values import SPLITS
 from plumbline.functions import exprs as E
@@ -32,19 +33,19 @@ def query(name: str, sql: str | None = None):
 # ---- corpus audit ----------------------------------------------------------
 @query(
     "trace_scan_counts",
-    f"""WITH {cand_sql('l_linestatus', 'l_returnflag', 'l_discount')}
+    f"""WITH s AS (SELECT *, {SPLIT_SQL.format(c='l_orderkey')} AS split FROM lineitem)
 SELECT count(*) AS rows, {', '.join(f"count(*) FILTER (split = '{s}') AS {s}_rows" for s in SPLITS)},
   count(*) FILTER (l_linestatus = 'O') AS root_rows, count(*) FILTER (l_linenumber = 7) AS forced_rows,
   count(*) FILTER (l_discount >= 0.05) AS applied_rows, count(*) FILTER (l_returnflag = 'N') AS blank_rows
-FROM cand""",
+FROM s""",
 )
 def trace_scan_counts(spark, sf):
     return Q.scan_counts(
-        cand(spark, sf, "l_linestatus", "l_returnflag", "l_discount"),
+        scan_rows(spark, sf),
         {
             "root_rows": F.col("l_linestatus") == "O",
-            "forced_rows": F.col("l_linenumber") == 7,
-            "applied_rows": F.col("l_discount") >= 0.05,
+            "forced_rows": F.col("forced"),
+            "applied_rows": F.col("applied"),
             "blank_rows": F.col("l_returnflag") == "N",
         },
     )
@@ -87,7 +88,7 @@ SELECT count(*) AS decision_groups, count(*) FILTER (d > 0) AS groups_with_dupli
 )
 def duplicate_totals(spark, sf):
     return Q.duplicate_totals(
-        occ(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
+        scan_rows(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
         sequence=OCC_SEQ,
     )
 
@@ -147,7 +148,7 @@ report AS (
 
 
 def audit_report(spark, sf):
-    o = occ(spark, sf)
+    o = scan_rows(spark, sf)
     scan = Q.scan_counts(
         o, {"forced_rows": F.col("forced"), "root_rows": F.col("l_linenumber") == 1,
             "applied_rows": F.col("applied")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.queries_ranking import rounded, rounded_list
-from checks.views import CELLS_SQL, PAIRED_SQL, pairs_cells
+from checks.views import CELLS_SQL, PAIRED_SQL, pairs_cells, table
 from plumbline.functions import exprs as E
 from plumbline.operators import bootstrap as B
 from plumbline.operators import gates as G
@@ -210,7 +210,7 @@ def descriptive_metrics(spark, sf):
        round(sum(value), 4) AS total FROM events GROUP BY event_type""",
 )
 def timing_summary(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = table(spark, sf, "events")
     t = S.timing_summary(e, ["event_type"], "value")
     return rounded(rounded(t, 7, ["mean", "median"]), 4, ["total"])
 
@@ -548,7 +548,7 @@ def objective_mismatch(spark, sf):
         "*", E.is_complete("native_status").alias("native_complete"),
         E.is_complete("treatment_status").alias("treatment_complete"),
     )
-    known = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 3 <> 0").select(
+    known = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(
         F.col("c_custkey").alias("unit"), (F.col("c_acctbal") / 1000).alias("reference_objective")
     )
     return P.objective_mismatch(f, known).select(
@@ -702,7 +702,7 @@ NAME_SEED = "({0} + ('0x' || substr(sha256(arm), 1, 8))::BIGINT) % 4294967296"
   {NAME_SEED.format(SEED).replace('arm', 'event_type')} AS bootstrap_seed FROM events""",
 )
 def arm_bootstrap_seed(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("arm")).distinct()
+    e = table(spark, sf, "events").select(F.col("event_type").alias("arm")).distinct()
     return e.select("arm", B.action_seed(SEED, "arm").alias("bootstrap_seed"))
 
 
@@ -872,7 +872,7 @@ UNION ALL SELECT 'available_detectable_ratio', k, round(exp(-{CRIT}::DOUBLE * si
 )
 def sample_size_plan(spark, sf):
     spread = N.log_ratio_spread(S.unit_records(costed(spark, sf)))
-    users = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("unit")).distinct()
+    users = table(spark, sf, "events").select(F.col("user_id").alias("unit")).distinct()
     support = N.cluster_support(
         users.withColumn("cluster", F.col("unit") % 20).withColumn("split", F.lit("test"))
     )

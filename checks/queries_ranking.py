@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import OCC_SEQ, OCC_SQL, RANKED_SQL, SEQ, cand, cand_sql, occ, table
+from checks.views import OCC_SEQ, OCC_SQL, RANKED_SQL, SEQ, cand, cand_sql, occ, scan_rows, table
 from plumbline.operators import decisions as D
 from plumbline.operators import ranking as R
 
@@ -196,7 +196,7 @@ FROM marked GROUP BY decision""",
 )
 def duplicate_occurrence_flags(spark, sf):
     return D.duplicate_occurrences(
-        occ(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
+        scan_rows(spark, sf), decision=["decision"], source_id="source_id", applied="applied",
         sequence=OCC_SEQ,
     )
 

@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One given table; its schema is read from the footer once per path."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 SEQ = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -134,6 +141,19 @@ flagged AS (
   FROM decided)"""
 
 
+def scan_rows(spark, sf) -> DataFrame:
+    """Raw candidate rows as the corpus scan sees them: one file, no joins."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("decision"),
+        split_of(F.col("l_orderkey")).alias("split"),
+        "l_extendedprice", "l_linenumber", "l_linestatus", "l_returnflag", "l_discount",
+        (F.col("l_suppkey") % 4).alias("source_id"),
+        (F.col("l_discount") >= 0.05).alias("applied"),
+        (F.col("l_linenumber") == 7).alias("forced"),
+    )
+
+
 def pairs_cells(spark, sf) -> DataFrame:
     """(unit, seed, arm) cells: mean value as time, solved when no value passed 200."""
     e = table(spark, sf, "events")

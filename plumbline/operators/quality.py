@@ -65,9 +65,11 @@ def transition_coverage(rows: DataFrame, *, split="split", unit="unit", run="run
 
 def missing_by_column(rows: DataFrame, columns: Sequence[str] = SCAN_MISSING_COLUMNS) -> DataFrame:
     """(column, missing, rows): blank or null texts, all columns in one pass."""
+    text = {c for c, kind in rows.dtypes if kind == "string"}
+    gone = [E.blank(c) if c in text else F.col(c).isNull() for c in columns]
     counts = rows.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(E.blank(c)).alias(f"_m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(g).alias(f"_m{i}") for i, g in enumerate(gone)],
     )
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("missing"),

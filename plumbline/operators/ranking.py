@@ -13,6 +13,8 @@ from plumbline.operators.ordering import percentiles, with_group_aggregates, wit
 from plumbline.session import materialize
 
 SEALED = "sealed"
+# Columns of these types need no parsing.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 # ---- eligibility and joins ----------------------------------------------
@@ -55,12 +57,16 @@ def numeric_audit(
     All features are aggregated side by side (one row per task leaves the map
     side) and only the single result row is turned into feature rows.
     """
+    kinds = dict(rows.dtypes)
     entries, aggs = [], []
     for i, f in enumerate(features):
-        raw = F.coalesce(F.col(f).cast("string"), F.lit(""))
-        if f in booleans:
-            raw = F.when(raw == "", "").otherwise(F.when(E.flag(raw), "1").otherwise("0"))
-        number = F.when(raw != "", raw.try_cast("double"))
+        if kinds[f] in NUMBERS and f not in booleans:
+            number = F.col(f).cast("double")
+        else:
+            raw = F.coalesce(F.col(f).cast("string"), F.lit(""))
+            if f in booleans:
+                raw = F.when(raw == "", "").otherwise(F.when(E.flag(raw), "1").otherwise("0"))
+            number = F.when(raw != "", raw.try_cast("double"))
         finite = F.when(E.is_finite(number), number)
         aggs += [
             F.count_if(number.isNull()).alias(f"m{i}"),
@@ -147,11 +153,16 @@ def assemble(
     for r in spec:
         if r["category"] is not None and r["category"] != UNKNOWN_CATEGORY:
             known.setdefault(r["feature"], []).append(r["category"])
+    kinds = dict(rows.dtypes)
     cells = []
     for r in spec:
         f = r["feature"]
         if r["category"] is None:
-            cells.append(E.numeric_feature(f, f in booleans))
+            if kinds[f] in NUMBERS and f not in booleans:
+                number = F.col(f).cast("double")
+                cells.append(F.when(E.is_finite(number), number).otherwise(F.lit(E.NAN)))
+            else:
+                cells.append(E.numeric_feature(f, f in booleans))
             continue
         value = F.coalesce(F.col(f).cast("string"), F.lit(""))
         unseen = ~value.isin(*known[f])
