@@ -141,7 +141,7 @@ def selector_statistics(spark, sf):
     runs = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("  number of runs : "),
                                                        F.col("o_orderkey") % 5)).otherwise("")
     texts = table(spark, sf, "orders").select(
-        "o_orderkey", F.concat(F.lit("SCIP Status: x\n"), line, runs).alias("value")
+        "o_orderkey", F.concat(F.lit("Status: x\n"), line, runs).alias("value")
     )
     return T.selector_statistics(texts, "hybrid").select(
         "o_orderkey", *T.STATISTICS, T.number_of_runs("value").alias("runs")

@@ -12,6 +12,7 @@ from plumbline.functions import exprs as E
 from plumbline.operators import heuristics as H
 from plumbline.operators import risk as K
 from plumbline.operators import sampling as W
+from plumbline.session import materialize
 from plumbline.sources.html import list_links, table_rows, checked_cells
 
 QUERIES, ORACLES = {}, {}
@@ -333,10 +334,33 @@ def structural_baselines(spark, sf):
     return rounded(K.ranking_quality(blocks, ["baseline"]))
 
 
-@query("risk_gate")
+# Every check compares the document length score with prevalence and baselines.
+@query(
+    "risk_gate",
+    f"""WITH {RISK_SQL},
+x AS (SELECT label, unnest(['model', 'constant', 'count', 'selected', 'prior']) AS who,
+  unnest([score, (SELECT avg(label) FROM risk), score, quality::DOUBLE,
+   (sum(label) OVER (PARTITION BY action) - sum(label) OVER (PARTITION BY action, unit) + 1)
+    / (count(*) OVER (PARTITION BY action) - count(*) OVER (PARTITION BY action, unit) + 2)::DOUBLE]) AS s FROM risk),
+b AS (SELECT who, s, sum(label)::BIGINT AS pos, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER (PARTITION BY who) AS p,
+  sum(n) OVER (PARTITION BY who) AS t FROM b WINDOW w AS (PARTITION BY who ORDER BY s DESC)),
+m AS (SELECT who, max(p) / max(t)::DOUBLE AS prev, sum(cp / cn::DOUBLE * pos) / max(p) AS ap,
+  sum(pos * ((t - p) - (cn - cp) + 0.5::DOUBLE * (n - pos))) / (max(p) * max(t - p)) AS auc,
+  min(cp) FILTER (cn >= greatest(1, ceil(t * 0.2::DOUBLE))) / max(p)::DOUBLE AS top20,
+  max(cn - cp) FILTER (pos > 0) / max(t - p)::DOUBLE AS cost FROM c GROUP BY who),
+o AS (SELECT a.*, (SELECT max(ap) FROM m WHERE who <> 'model') AS bap,
+  (SELECT min(cost) FROM m WHERE who <> 'model') AS bcost FROM m a WHERE who = 'model')
+SELECT unnest(['average_precision_at_least_twice_prevalence', 'roc_auc_at_least_0_75',
+  'top_20_percent_recalls_all_unsafe', 'full_recall_abstains_at_most_20_percent_safe',
+  'average_precision_exceeds_all_structural_baselines', 'full_recall_cost_beats_all_structural_baselines'])
+  AS "check",
+ unnest([ap >= 2 * prev, auc >= 0.75, top20 = 1, cost <= 0.2, ap > bap, cost < bcost]) AS passed FROM o""",
+)
 def risk_gate(spark, sf):
-    blocks = K.score_blocks(risk(spark, sf), score="score", label="label")
+    blocks = materialize(K.score_blocks(risk(spark, sf), score="score", label="label"), "blocks")
     base = K.score_blocks(baselines(spark, sf), score="score", label="label", keys=["baseline"])
+    base = materialize(base, "blocks")
     return K.risk_gate(
         K.ranking_quality(blocks), K.threshold_table(blocks, score="score"),
         K.ranking_quality(base, ["baseline"]),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.draws import hash_key
 from plumbline.operators.ordering import with_positions
+from plumbline.session import materialize
 
 
 def _texts(columns: Sequence[str]) -> list[Column]:
@@ -32,7 +33,8 @@ def one_per_cluster(
         order = ["_h", unit]
     order = [*order, *([] if unit in order else [unit])]
     firsts = pool.groupBy(cluster).agg(F.min(F.struct(*order)).alias("_f"))
-    chosen = firsts.select(cluster, "_f.*").orderBy(*order).limit(count)
+    # at most `count` rows, written once: the check and the caller both read them
+    chosen = materialize(firsts.select(cluster, "_f.*").orderBy(*order).limit(count), "sample")
     found = chosen.count()
     if found < count:
         raise ValueError(f"only {found} distinct clusters available; {count} required")
@@ -254,6 +256,7 @@ def cluster_folds(
     table = per_unit.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("units"), F.sum("_rows").cast("bigint").alias("rows")
     )
+    table = materialize(table, "clusters")  # read for the shapes and for the names
     shapes = table.groupBy("units", "rows").agg(F.count(F.lit(1)).alias("m"))
     loads = [[0, 0] for _ in range(folds)]
     dealt, total = [], 0

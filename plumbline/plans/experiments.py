@@ -192,11 +192,13 @@ def risk_diagnostic(
     scored = materialize(
         M.out_of_fold(rows, label=label, features=features, rounds=rounds), "risk-scored"
     )
-    blocks = K.score_blocks(scored, score="model_score", label=label)
+    blocks = materialize(K.score_blocks(scored, score="model_score", label=label), "blocks")
     base = K.structural_baselines(
         rows, unit=unit, action=action, label=label, candidates=candidates, selected=selected
     )
-    base_blocks = K.score_blocks(base, score="score", label="label", keys=["baseline"])
+    base_blocks = materialize(
+        K.score_blocks(base, score="score", label="label", keys=["baseline"]), "blocks"
+    )
     model, thresholds = K.ranking_quality(blocks), K.threshold_table(blocks, score="model_score")
     other = K.ranking_quality(base_blocks, ["baseline"])
     other_t = K.threshold_table(base_blocks, score="score", keys=["baseline"])
