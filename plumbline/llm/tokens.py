@@ -9,9 +9,11 @@ table instead of being computed again. New chunks go to the library together.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_CHUNKS = 1_000_000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -25,10 +27,7 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes.
-
-    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
-    """
+    """Gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,59 +70,109 @@ class Encoder:
         ends = [*cuts.tolist(), len(ids)]
         return [data[4 * a : 4 * b] for a, b in zip(starts, ends)]
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids start and the last end).
+
+        A null text counts as an empty one.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.lead is None:
-            return [np.array(self._plain(t), dtype="<u4").tobytes() for t in texts]
+            return _joined([self._plain(t) for t in texts.to_pylist()])
         if len(self.first) + len(self.later) > MOST_CHUNKS:
             self.first.clear()
             self.later.clear()
-        first, later, dropped = self.first, self.later, self.lead == ""
-        cut = []
-        for t in texts:
-            if dropped:
-                pieces = [p for p in t.replace("\n", " ").split(" ") if p]
-                known = list(map(later.get, pieces))
-            else:
-                pieces = t.split(" ") if t else []
-                known = list(map(later.get, pieces))
-                known[:1] = map(first.get, pieces[:1])
-            cut.append((known, pieces if None in known else None))
-        self._learn([pieces for _, pieces in cut if pieces])
-        out = []
-        for t, (known, pieces) in zip(texts, cut):
-            if pieces:
-                known = list(map(later.get, pieces))
-                known[:1] = map(first.get, pieces[:1])
-                if None in known:
-                    known = [np.array(self._plain(t), dtype="<u4").tobytes()]
-            out.append(b"".join(known))
-        return out
-
-    def _learn(self, lists: list[list[str]]) -> None:
-        """Enter the chunks of the lists, but for those that don't stand alone."""
-        first, later = self.first, self.later
-        heads = {x[0] for x in lists}.difference(first)
-        rest = set().union(*[x[1:] for x in lists]).difference(later)
-        made = []
-        bare: tuple[dict, dict] = ({}, {})
-        for chunk, at in [*((c, 0) for c in heads), *((c, 1) for c in rest)]:
-            if not _stands_alone(chunk):
-                continue
-            parts = self._parts(chunk, at)
-            for name, where in parts:
-                if name not in (first, later)[where]:
-                    bare[where][name] = None
-            if len(parts) > 1 or parts[0][0] != chunk:
-                made.append((chunk, at, parts))
-        for where, table in ((0, first), (1, later)):
+        dropped = self.lead == ""
+        lists = pc.split_pattern(self._spaced(texts) if dropped else texts, " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        starts -= starts[0] if len(starts) else 0
+        # A text's first chunk has no blank before it: codes of such come after the others.
+        if not dropped and len(codes):
+            codes[starts[:-1]] += len(names)
+        used = np.unique(codes)
+        later = [names[i] for i in used[used < len(names)]]
+        heads = [names[i - len(names)] for i in used[used >= len(names)]]
+        tables = (self.first, self.later)
+        self._learn(set(heads).difference(self.first), set(later).difference(self.later))
+        if not dropped and "" in heads:
+            self.first[""] = b""  # an empty text; a leading blank is found below
+        if dropped:
+            self.first[""] = b""
+        pool = [tables[1].get(n) for n in later] + [tables[0].get(n) for n in heads]
+        place = np.zeros(2 * len(names), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        codes = place[codes]
+        unknown = np.array([p is None for p in pool], dtype=bool)
+        odd = np.zeros(len(texts), dtype=bool)
+        if unknown.any():
+            odd[np.searchsorted(starts, np.flatnonzero(unknown[codes]), side="right") - 1] = True
+        if odd.any():
+            pool = [b"" if p is None else p for p in pool]
+            lone = np.flatnonzero(odd)
+            cover = np.repeat(odd, np.diff(starts))
+            own = len(pool) + np.arange(len(lone))
+            pool += [
+                np.array(self._plain(texts[int(i)].as_py()), dtype="<u4").tobytes() for i in lone
+            ]
+            codes[starts[:-1][odd]] = own
+            cover[starts[:-1][odd]] = False
+            sizes = np.diff(starts)
+            sizes[odd] = 1
+            codes, starts = codes[~cover], np.concatenate([[0], np.cumsum(sizes)])
+        lengths = np.fromiter((len(p) >> 2 for p in pool), np.int64, len(pool))
+        flat = np.frombuffer(b"".join(pool), "<u4")
+        begin = np.cumsum(lengths) - lengths
+        counts = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        index = np.repeat(begin[codes] - ends[:-1], counts)
+        index += np.arange(len(index))
+        return flat[index], ends[starts]
+
+    def _spaced(self, texts: pa.Array) -> pa.Array:
+        """The texts with more single blanks, where white space is dropped: for line
+        breaks, and before the marks that close a word. Plain letters in lower case,
+        unless that would make a special token."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        if not self.lowers:
+            return texts
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z\xe0-\xf6\xf8-\xff])([.,]) ", r"\1 \2 ")
+        lower = pc.ascii_lower(texts)
+        kept = [pc.match_substring(lower, s, ignore_case=False) for s in self.special]
+        return texts if any(pc.any(k).as_py() for k in kept) else lower
+
+    def _learn(self, heads: set[str], rest: set[str]) -> None:
+        """Enter chunks that start a text and chunks behind a blank, if they stand alone."""
+        tables = (self.first, self.later)
+        if self.lead == "":
+            heads, rest = heads | rest, set()
+        made, bare = [], (set(), set())
+        for at, chunks in enumerate((heads, rest)):
+            for chunk in chunks:
+                plain = _PLAIN(chunk)
+                if plain:
+                    word, marks = plain.groups()
+                    if self.lowers:
+                        word = word.lower()
+                    parts = [(word, at), (marks, 0)] if marks else [(word, at)]
+                elif _stands_alone(chunk):
+                    parts = self._parts(chunk, at)
+                else:
+                    continue
+                for name, where in parts:
+                    if name not in tables[where]:
+                        bare[where].add(name)
+                if len(parts) > 1 or parts[0][0] != chunk:
+                    made.append((chunk, tables[at], parts))
+        for where, table in enumerate(tables):
             names = list(bare[where])
             lead = self.lead if where else ""
             for i in range(0, len(names), 4096):
                 some = names[i : i + 4096]
                 table.update(zip(some, self._batch([lead + x for x in some])))
-        for chunk, at, parts in made:
-            (first, later)[at][chunk] = b"".join([(first, later)[w][n] for n, w in parts])
+        for chunk, table, parts in made:
+            table[chunk] = b"".join([tables[w][n] for n, w in parts])
 
     def _parts(self, chunk: str, at: int) -> list[tuple[str, int]]:
         """The chunk cut where it is safe: a Latin word, its closing marks, one line break.
@@ -136,15 +185,23 @@ class Encoder:
             if not (_stands_alone(left) and _stands_alone(right)):
                 return [(chunk, at)]
             return [*self._parts(left, at), ("\n", 0), *self._parts(right, 0)]
-        word = chunk.rstrip(_MARKS)
-        if not word or not word.isalpha() or max(word) > "\xff":
+        plain = _PLAIN(chunk)
+        if not plain:
             return [(chunk, at)]
-        marks = [(chunk[len(word) :], 0)] if len(word) < len(chunk) else []
-        return [(word.lower() if self.lowers else word, at), *marks]
+        word, marks = plain.groups()
+        word = word.lower() if self.lowers else word
+        return [(word, at), (marks, 0)] if marks else [(word, at)]
+
+
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([0, *map(len, lists)])
+    return np.array([i for x in lists for i in x], dtype="<u4"), ends
 
 
-# Closing marks that never join a word's piece; an apostrophe may.
-_MARKS = ".,;:!?*#$%&|"
+# A word of Latin-1 letters and closing marks that never join its piece; an apostrophe may.
+_PLAIN = re.compile(
+    "([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?*#$%&|]*)"
+).fullmatch
 
 
 def _stands_alone(chunk: str) -> bool:
