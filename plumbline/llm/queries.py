@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, token_files
+from plumbline.llm import exact_dedup, packing, quality, token_files
+from plumbline.llm.ship import ship
 from plumbline.session import scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,3 +74,29 @@ FROM t WINDOW w AS (PARTITION BY norm)
 )
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def held_out():
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn(docs, labels.where(~held_out()))
+    marked = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    # The text goes no further than the scoring.
+    return quality.scored(marked, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op9_best_fit")
+def op9_best_fit(spark, sf_dir):
+    return with_crc32(
+        packing.packed_documents(
+            table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+        )
+    )
