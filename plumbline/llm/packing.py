@@ -98,28 +98,28 @@ def pieces_of(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, starts = enc.encode(batch.column(1))
-            sizes = np.diff(starts) + 1
-            n = -(-sizes // tokens)
-            owner = np.repeat(np.arange(len(sizes)), n)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            begin = piece * tokens
-            length = np.minimum(tokens, sizes[owner] - begin)
-            end = np.array([END_ID], dtype="<u4").tobytes()
-            data = []
-            for a, m, stop in zip((starts[owner] + begin).tolist(), length.tolist(), starts[owner + 1].tolist()):
-                part = ids[a : min(a + m, stop)].tobytes()
-                data.append(pack.compress(part if 4 * m == len(part) else part + end))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(owner)),
-                    pa.array(piece, pa.int32()),
-                    pa.array(begin, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(data, pa.binary()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
+            for at, count, ids, starts in enc.parts(batch.column(1)):
+                sizes = np.diff(starts) + 1
+                n = -(-sizes // tokens)
+                owner = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                begin = piece * tokens
+                length = np.minimum(tokens, sizes[owner] - begin)
+                end = np.array([END_ID], dtype="<u4").tobytes()
+                data = []
+                for a, m, stop in zip((starts[owner] + begin).tolist(), length.tolist(), starts[owner + 1].tolist()):
+                    part = ids[a : min(a + m, stop)].tobytes()
+                    data.append(pack.compress(part if 4 * m == len(part) else part + end))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, count).take(pa.array(owner)),
+                        pa.array(piece, pa.int32()),
+                        pa.array(begin, pa.int64()),
+                        pa.array(length, pa.int64()),
+                        pa.array(data, pa.binary()),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids"],
+                )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary"

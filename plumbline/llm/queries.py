@@ -12,7 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, packing, quality, token_files
+from plumbline.llm import (
+    exact_dedup,
+    packing,
+    quality,
+    secret_scan,
+    token_files,
+    topk,
+    url_filter,
+)
 from plumbline.llm.ship import ship
 from plumbline.session import scratch_root
 
@@ -100,3 +108,84 @@ def op9_best_fit(spark, sf_dir):
             table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
         )
     )
+
+
+@query(
+    "op3_topk",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id,
+      CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+    AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+)
+def op3_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+@query("op6_secrets")
+def op6_secrets(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def told(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+            ",",
+        )
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"),
+    )
+
+
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+# The small labelled table: hosts of either kind, under plain and prefixed names.
+ALLOWED_HOSTS = (
+    "library", "garden", "weather", "school", "history", "museum", "recipes", "letters", "physics",
+    "travel", "the-news", "open-data", "music", "village", "city-hall", "nature", "language", "books",
+    "stories", "science", "mountain", "river-walk", "theatre", "birds", "maths", "health", "farmers",
+    "thinking", "attention", "nation", "then", "there", "other", "therein", "reading", "winter",
+)
+BLOCKED_HOSTS = (
+    "ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets", "ad-tracker",
+    "casino", "win-casino", "spam", "spam-mail", "adult", "adults-only", "pills", "cheap-meds",
+    "free-bet", "bets", "bet-win", "adserver-track", "link-farm", "casino-bets", "x-adult",
+)
+
+
+def labelled_urls(spark):
+    """(url, label): each host as it is and under usual prefixes, ends and languages."""
+    hosts = [(h, 1) for h in ALLOWED_HOSTS] + [(h, 0) for h in BLOCKED_HOSTS]
+    rows = [
+        (f"https://{prefix}{host}.example.{end}/{language}/{number}", label)
+        for host, label in hosts
+        for prefix in ("", "www.", "m.", "blog.")
+        for end, language, number in (
+            ("com", "en", 1), ("org", "fr", 20), ("net", "de", 300), ("net", "es", 4000),
+            ("com", "es", 50), ("org", "en", 6), ("net", "fr", 7),
+        )
+    ]
+    return spark.createDataFrame(rows, "url string, label int")
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.learn(labelled_urls(spark))
+    return url_filter.judged(pages, model, URL_RULES).drop("url")

@@ -128,21 +128,19 @@ def token_ids(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, starts = enc.encode(batch.column(1))
-            if enc.size <= 1 << 16:
-                ids = ids.astype("<u2")
-            end = ids.dtype.type(END_ID).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(starts) + 1, pa.int64()),
-                    pa.array(
-                        [pack.compress(ids[a:b].tobytes() + end) for a, b in zip(starts, starts[1:])],
-                        pa.binary(),
-                    ),
-                ],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+            for at, n, ids, starts in enc.parts(batch.column(1)):
+                if enc.size <= 1 << 16:
+                    ids = ids.astype("<u2")
+                end = ids.dtype.type(END_ID).tobytes()
+                packed = [pack.compress(ids[a:b].tobytes() + end) for a, b in zip(starts, starts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, n),
+                        pa.array(np.diff(starts) + 1, pa.int64()),
+                        pa.array(packed, pa.binary()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids"],
+                )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary"

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_CHUNKS = 1_000_000
+from plumbline.llm.words import SLICE_BYTES, slices
+
+MOST_CHUNKS = 600_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -85,7 +88,7 @@ class Encoder:
         lists = pc.split_pattern(self._spaced(texts) if dropped else texts, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = coded.indices.to_numpy().astype(np.int64)
         starts -= starts[0] if len(starts) else 0
         # A text's first chunk has no blank before it: codes of such come after the others.
@@ -95,12 +98,11 @@ class Encoder:
         later = [names[i] for i in used[used < len(names)]]
         heads = [names[i - len(names)] for i in used[used >= len(names)]]
         tables = (self.first, self.later)
-        self._learn(set(heads).difference(self.first), set(later).difference(self.later))
-        if not dropped and "" in heads:
-            self.first[""] = b""  # an empty text; a leading blank is found below
+        compound = self._learn(set(heads).difference(self.first), set(later).difference(self.later))
+        pool = [tables[1].get(n) or compound[1].get(n) for n in later]
+        pool += [tables[0].get(n) or compound[0].get(n) for n in heads]
         if dropped:
-            self.first[""] = b""
-        pool = [tables[1].get(n) for n in later] + [tables[0].get(n) for n in heads]
+            pool = [b"" if p is None and not n else p for p, n in zip(pool, later + heads)]
         place = np.zeros(2 * len(names), dtype=np.int64)
         place[used] = np.arange(len(used))
         codes = place[codes]
@@ -130,6 +132,11 @@ class Encoder:
         index += np.arange(len(index))
         return flat[index], ends[starts]
 
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(place, count, ids, starts) of consecutive parts of ``texts``, a few megabytes each."""
+        for at, part in slices(texts, 2 * SLICE_BYTES):
+            yield at, len(part), *self.encode(part)
+
     def _spaced(self, texts: pa.Array) -> pa.Array:
         """The texts with more single blanks, where white space is dropped: for line
         breaks, and before the marks that close a word. Plain letters in lower case,
@@ -142,8 +149,11 @@ class Encoder:
         kept = [pc.match_substring(lower, s, ignore_case=False) for s in self.special]
         return texts if any(pc.any(k).as_py() for k in kept) else lower
 
-    def _learn(self, heads: set[str], rest: set[str]) -> None:
-        """Enter chunks that start a text and chunks behind a blank, if they stand alone."""
+    def _learn(self, heads: set[str], rest: set[str]) -> tuple[dict, dict]:
+        """Enter the words of chunks that start a text and of chunks behind a blank.
+
+        Gives the ids of chunks of several parts; chunks that don't stand alone have none.
+        """
         tables = (self.first, self.later)
         if self.lead == "":
             heads, rest = heads | rest, set()
@@ -164,15 +174,17 @@ class Encoder:
                     if name not in tables[where]:
                         bare[where].add(name)
                 if len(parts) > 1 or parts[0][0] != chunk:
-                    made.append((chunk, tables[at], parts))
+                    made.append((chunk, at, parts))
         for where, table in enumerate(tables):
             names = list(bare[where])
             lead = self.lead if where else ""
             for i in range(0, len(names), 4096):
                 some = names[i : i + 4096]
                 table.update(zip(some, self._batch([lead + x for x in some])))
-        for chunk, table, parts in made:
-            table[chunk] = b"".join([tables[w][n] for n, w in parts])
+        compound: tuple[dict, dict] = ({}, {})
+        for chunk, at, parts in made:
+            compound[at][chunk] = b"".join([tables[w][n] for n, w in parts])
+        return compound if self.lead != "" else (compound[0], compound[0])
 
     def _parts(self, chunk: str, at: int) -> list[tuple[str, int]]:
         """The chunk cut where it is safe: a Latin word, its closing marks, one line break.
