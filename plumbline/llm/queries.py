@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     exact_dedup,
+    jaccard_join,
+    mixing,
     packing,
     quality,
     secret_scan,
@@ -189,3 +191,15 @@ def op8_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = url_filter.learn(labelled_urls(spark))
     return url_filter.judged(pages, model, URL_RULES).drop("url")
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(
+        table(spark, sf_dir, "documents"), size=3, least=(90, 100), lower=True
+    )
+
+
+@query("op2_mixing")
+def op2_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"))
