@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.membership import may_hold, membership
 from plumbline.llm.words import Words, mixed, shingle_sets, slices
 from plumbline.session import materialize
 
 COUNTERS = 1 << 21
 PIECE = 1 << 16  # counters in one row
-FILTER_BITS = 1 << 26  # of the table that says which documents to read again
 LIST_BLOCK = 64
 
 
@@ -292,47 +292,15 @@ def _candidates(lists: DataFrame, num: int, den: int, all_pairs: bool) -> DataFr
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def membership(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of a table of fixed size at which an id of ``ids`` falls; a filter only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            held[_slot(batch.column(0).to_numpy())] = True
-        rows = np.packbits(held).reshape(-1, PIECE // 8)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())],
-            names=["piece", "bits"],
-        )
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]])
-        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "bits": [bits.tobytes()]})
-
-    out = np.zeros((FILTER_BITS // PIECE, PIECE // 8), dtype=np.uint8)
-    got = ids.select(F.col(column).cast("long")).mapInArrow(run, "piece int, bits binary")
-    for r in got.groupBy("piece").applyInPandas(merged, "piece int, bits binary").collect():
-        out[r["piece"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
-
-
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(38)).astype(np.int64)
-
-
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, lower: bool) -> DataFrame:
     """(id, hashes) of the documents of ``ids``; a filter of fixed size thins out the
     others before they are cut into words."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(membership(ids, "id"))  # FILTER_BITS / 8 bytes
+    bits = spark.sparkContext.broadcast(membership(ids, "id"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            slot = _slot(batch.column(0).fill_null(0).to_numpy())
-            hit = known & ((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
-            some = batch.filter(pa.array(hit))
+            some = batch.filter(pa.array(may_hold(bits.value, batch.column(0))))
             sets = [s.astype("<u8").tobytes() for _, s in _sets(some.column(1), size, lower)]
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"]

@@ -19,6 +19,7 @@ from plumbline.llm import (
     packing,
     quality,
     secret_scan,
+    substring_dedup,
     token_files,
     topk,
     url_filter,
@@ -203,3 +204,9 @@ def op1_jaccard_join(spark, sf_dir):
 @query("op2_mixing")
 def op2_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
