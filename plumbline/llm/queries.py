@@ -210,3 +210,10 @@ def op2_mixing(spark, sf_dir):
 def op10_substring_dedup(spark, sf_dir):
     left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
