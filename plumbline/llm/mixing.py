@@ -145,7 +145,8 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None,
     # Rows that repeat a doc_id are told apart by number; which is which doesn't matter.
     turn = F.row_number().over(Window.partitionBy("_id").orderBy("slot", "place"))
     spots = materialize(spots.withColumn("_at", turn), "mixture")
-    rows = docs.withColumn("_key", key(doc_id))
+    # The row as one column: no name in it can clash.
+    rows = docs.select(key(doc_id).alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     # A difference, not an equality, lets the join keep the partitioning by key.
     same = (F.col("_key") == F.col("_id")) & (F.col("_turn") - F.col("_at") == 0)
@@ -154,5 +155,5 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None,
         rows.join(spots, same)
         .repartitionByRange(n, "slot", "place")
         .sortWithinPartitions("slot", "place")
-        .select(*docs.columns)
+        .select("_row.*")
     )

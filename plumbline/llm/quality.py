@@ -146,22 +146,39 @@ def learn(docs: DataFrame, labels: DataFrame, **names: str) -> np.ndarray:
     return fit(rows[label == 1], rows[label == 0])
 
 
+def _scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
+    w, cut, got = model[:-1], float(model[-1]), [np.zeros(0)]
+    for _, part in slices(texts.cast(pa.string())):
+        got.append(1 / (1 + np.exp(-np.clip(features(part) @ w - cut, -30, 30))))
+    return np.concatenate(got)
+
+
+def accepted(docs: DataFrame, model: np.ndarray, *, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, that score 0.5 or more."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), model) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(
     docs: DataFrame, model: np.ndarray, *, text: str = "text", score: str = "score"
 ) -> DataFrame:
-    """``docs`` with the score of each whole text, from 0 to 1; a null text is an empty one."""
-    w, cut = model[:-1], float(model[-1])
+    """``docs`` with the score of each whole text, from 0 to 1; a null text is an empty one.
+
+    A column named like ``score`` is replaced; rows that repeat are scored each.
+    """
+    docs = docs.drop(score)
     names = docs.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.zeros(0)]
-            for _, part in slices(batch.column(at).cast(pa.string())):
-                got.append(1 / (1 + np.exp(-np.clip(features(part) @ w - cut, -30, 30))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(got), pa.float64())], names=[*names, score]
-            )
+            got = pa.array(_scores(batch.column(at), model), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*names, score])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{kinds}, `{score}` double")

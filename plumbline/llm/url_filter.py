@@ -91,13 +91,19 @@ def learn(labelled: DataFrame, *, url: str = "url", label: str = "label") -> Log
 def judged(
     pages: DataFrame, model: LogisticRegressionModel | None, rules: list[Rule], *, url: str = "url"
 ) -> DataFrame:
-    """``pages`` with host, path, rule, allow_score and verdict (allow or block).
+    """``pages`` with host, path, rule, allow_score and verdict (allow or block); columns
+    of these names are replaced.
 
     A null URL, or one without ``://``, has empty host and path and is judged by the
     model like any other; without a model such a row is allowed.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "allow_score")]
-    rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    made = ("host", "path", "rule", "verdict", "allow_score")
+    keep = [pages[c] for c in pages.columns if c not in made]
+    # The row as one column: no name in it can clash with the model's.
+    rows = pages.select(
+        F.struct(*keep, F.lit(0).alias("_")).alias("_row"),
+        host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
+    )
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("_by_rule", verdict)
     score = F.lit(1.0)
@@ -108,5 +114,6 @@ def judged(
     rows = rows.withColumn("allow_score", score)
     said = F.when(F.col("allow_score") >= 0.5, "allow").otherwise("block")
     return rows.select(
-        *keep, "host", "path", "rule", F.coalesce("_by_rule", said).alias("verdict"), "allow_score"
-    )
+        *[F.col("_row")[c].alias(c) for c in pages.columns if c not in made],
+        "host", "path", "rule", F.coalesce("_by_rule", said).alias("verdict"), "allow_score",
+    )
