@@ -7,6 +7,7 @@ number of selected ones. Nothing gathers a decision's candidates into an array.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from plumbline.functions import draws
 from plumbline.functions import exprs as E
 from plumbline.operators.ordering import (
     hot_groups,
+    hot_row_limit,
     split_hot,
     with_group_aggregates,
     with_positions,
@@ -128,56 +130,74 @@ def expand_occurrences(rows: DataFrame, *, decision: Sequence[str], model_rank:
 
 
 # ---- diversity-filtered top-k ------------------------------------------------------
-def _parallelism(a: Column, b: Column) -> Column:
-    dot = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-        lambda s, x: s + x,
-    )
+# Bytes of vectors that one task may hold for each row that it may hold otherwise.
+ROW_BYTES = 64
+
+
+def _stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, norms); a missing vector is a zero one, parallel to nothing."""
+    width = max((len(v) for v in vectors if v is not None), default=1)
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            out[i, : len(v)] = v
+    out[~np.isfinite(out).all(axis=1)] = 0.0
+    return out, np.sqrt((out * out).sum(axis=1))
+
+
+def _near(vectors, norms, ref, ref_norm, allowed) -> np.ndarray:
+    """The one rule of similarity: rows too parallel to a reference vector."""
+    width = min(vectors.shape[1], len(ref))
+    return np.abs((vectors[:, :width] * ref[:width]).sum(axis=1)) > allowed * norms * ref_norm
 
-    def norm(v):
-        return F.sqrt(
-            F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        )
 
-    size = norm(a) * norm(b)
-    return F.when(size > 0, F.abs(dot) / F.nullif(size, F.lit(0.0))).otherwise(F.lit(0.0))
-
-
-def _greedy(limit: float, good_limit: float):
-    """Pick in score order, drop rows too parallel to a pick; fill up by score."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_index", kind="stable").reset_index(drop=True)
-        score = pdf["_score"].fillna(-np.inf).to_numpy(dtype="float64")
-        vectors = np.stack([np.asarray(v, dtype="float64") for v in pdf["_vector"]])
-        norms = np.linalg.norm(vectors, axis=1)
-        unit = vectors / np.where(norms > 0, norms, 1.0)[:, None]
-        free = ~pdf["_forced"].to_numpy(dtype=bool)
-        best = score[free].max() if free.any() else -np.inf
-        allowed = np.where(score >= best, good_limit, limit)
-        viable = free.copy()
-        for i in np.flatnonzero(~free):
-            viable &= np.abs(unit @ unit[i]) <= allowed
-        order = np.lexsort((np.arange(len(score)), -score))
-        budget = int(pdf["_budget"].iloc[0])
+def _scan(limit: float, good_limit: float):
+    """Pick in score order from one stretch of a decision, drop rows near to a pick.
+
+    ``before`` holds the picks so far and the forced rows; rows come in order.
+    """
+
+    def run(before: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at", kind="stable").reset_index(drop=True)
+        vectors, norms = _stacked(pdf["_vector"])
+        allowed = np.where(pdf["_s"] >= pdf["_top"], good_limit, limit)
+        viable = ~pdf["_forced"].to_numpy(dtype=bool)
+        refs, ref_norms = _stacked(before["_vector"])
+        for ref, n in zip(refs, ref_norms):
+            viable &= ~_near(vectors, norms, ref, n, allowed)
+        have = int((~before["_forced"].astype(bool)).sum())
+        left = (int(pdf["_budget"].iloc[0]) if len(pdf) else 0) - have
         picked: list[int] = []
-        for i in order:
-            if len(picked) == budget:
+        for i in range(len(pdf)):
+            if len(picked) >= left:
                 break
             if viable[i]:
                 picked.append(i)
-                viable &= np.abs(unit @ unit[i]) <= allowed
-                viable[i] = False
-        taken = set(picked)
-        fill = [i for i in order if free[i] and i not in taken][: max(budget - len(picked), 0)]
-        picked += fill
-        out = pdf.iloc[picked].drop(columns=["_score", "_vector", "_forced", "_budget", "_index"])
-        out["place"] = np.arange(1, len(picked) + 1, dtype="int64")
+                viable &= ~_near(vectors, norms, vectors[i], norms[i], allowed)
+        out = pdf.iloc[picked].copy()
+        out["_place"] = np.arange(have + 1, have + 1 + len(picked), dtype="int64")
         return out
 
+    run.limit, run.good = limit, good_limit
     return run
 
 
+def _prepared(rows, decision, index, score, vector, budget, forced):
+    k = F.lit(budget) if isinstance(budget, int) else F.col(budget)
+    s = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(-E.INF)), F.lit(-E.INF))
+    free = ~(F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False))
+    return rows.select(
+        *decision,
+        F.col(index).alias("_index"),
+        # Rows that repeat an index are ordered by their vector.
+        F.xxhash64(vector).alias("_tie"),
+        s.alias("_s"),
+        F.col(vector).alias("_vector"),
+        (~free).alias("_forced"),
+        k.cast("bigint").alias("_budget"),
+    )
+
+
 def diverse_top_k(
     rows: DataFrame, *, decision: Sequence[str], index: str, score: str, vector: str,
     budget: "int | str", forced: "str | None" = None, min_orthogonality: float = 0.9,
@@ -186,83 +206,119 @@ def diverse_top_k(
     """Greedy selection per decision with a parallelism limit; returns the picks.
 
     Rows at the best score may be more parallel (limit at least one half), forced
-    rows filter first, and an unfilled budget is topped up by score. Ordinary
-    decisions run the greedy scan in one pandas group; a decision too large for
-    a task is picked in rounds, each a map-side maximum and a broadcast of one
-    row per such decision.
+    rows filter first, and an unfilled budget is topped up by score. Ties go to the
+    smaller index; a missing vector is parallel to nothing; a repeated index is
+    decided for each of its rows.
+    """
+    order = diverse_order(
+        rows, decision=decision, index=index, score=score, vector=vector, budget=budget,
+        forced=forced, min_orthogonality=min_orthogonality, hot_rows=hot_rows,
+    )
+    kept = order.where(F.col("selected"))
+    return kept.select(*decision, "pick", "place")
+
+
+def diverse_order(
+    rows: DataFrame, *, decision: Sequence[str], index: str, score: str, vector: str,
+    budget: "int | str", forced: "str | None" = None, min_orthogonality: float = 0.9,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """All free rows: the picks in order, then the rest by score, with ``place`` and
+    ``selected`` (place within the budget).
+
+    Decisions are scanned in stretches whose vectors fit a fixed number of bytes;
+    most decisions are one stretch, and a large one is taken up again only while its
+    budget isn't filled. One scan and one rule of similarity serve both.
     """
     limit = 1.0 - min_orthogonality
-    good_limit = max(0.5, limit)
-    k = F.lit(budget) if isinstance(budget, int) else F.col(budget)
-    work = rows.select(
-        *decision,
-        F.col(index).alias("pick"),
-        F.col(index).alias("_index"),
-        F.col(score).cast("double").alias("_score"),
-        F.col(vector).alias("_vector"),
-        (F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)).alias("_forced"),
-        k.cast("bigint").alias("_budget"),
+    decision = list(decision)
+    work = _prepared(rows, decision, index, score, vector, budget, forced)
+    order = [F.col("_s").desc(), "_index", "_tie"]
+    bytes_left = ROW_BYTES * hot_row_limit(rows.sparkSession, hot_rows)
+    top = F.max(F.when(~F.col("_forced"), F.col("_s")))
+    work = with_group_aggregates(work, decision, {"_top": top}, hot_rows=hot_rows)
+    work = work.withColumn("_top", F.coalesce("_top", F.lit(-E.INF)))
+    weight = (F.lit(8) * F.greatest(F.coalesce(F.size("_vector"), F.lit(1)), F.lit(1)) + 16).cast("bigint")
+    keys = hot_groups(work.select(*decision, weight.alias("_w")), decision,
+                      weight=F.col("_w"), limit=bytes_left)
+    placed = with_positions(
+        work.withColumn("_w", weight), [*decision, "_forced"], order,
+        position="_at", running={"_upto": "_w"}, hot_rows=hot_rows,
+    )
+    # Written once: stretches and picks refer to the same numbering.
+    placed = materialize(
+        placed.withColumn("_part", F.floor((F.col("_upto") - 1) / bytes_left)).drop("_upto", "_w"),
+        "diverse",
     )
-    kinds = dict(work.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*decision, "pick"]) + ", place bigint"
-    keys = hot_groups(work.select(*decision), decision, hot_rows)
+    schema = placed.withColumn("_place", F.lit(0).cast("bigint")).schema
+    scan = _scan(limit, max(0.5, limit))
+
+    def first_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_forced = pdf["_forced"].astype(bool)
+        return scan(pdf[is_forced], pdf[~is_forced])
+
     if keys is None:
-        return work.groupBy(*decision).applyInPandas(_greedy(limit, good_limit), schema)
-    cold, hot = split_hot(work, decision, keys)
-    small = cold.groupBy(*decision).applyInPandas(_greedy(limit, good_limit), schema)
-    return small.unionByName(_diverse_rounds(hot, decision, limit, good_limit))
-
-
-def _diverse_rounds(hot: DataFrame, decision, limit, good_limit) -> DataFrame:
-    s = F.coalesce(F.nanvl(F.col("_score"), F.lit(-E.INF)), F.lit(-E.INF))
-    hot = materialize(hot.withColumn("_s", s), "diverse")
-    top = hot.where(~F.col("_forced")).groupBy(*decision).agg(F.max("_s").alias("_top"))
-    allowed = F.when(F.col("_s") >= F.col("_top"), good_limit).otherwise(limit)
-    pool = hot.where(~F.col("_forced")).join(F.broadcast(top), list(decision))
-    pool = pool.withColumn("_allowed", allowed)
-
-    def drop_near(viable: DataFrame, refs: DataFrame) -> DataFrame:
-        near = refs.select(*decision, F.col("_vector").alias("_ref"))
-        clash = (
-            viable.join(near, list(decision))
-            .where(_parallelism(F.col("_ref"), F.col("_vector")) > F.col("_allowed"))
-            .select(*decision, "_index")
-            .distinct()
+        picks = placed.groupBy(*decision).applyInPandas(first_turn, schema)
+    else:
+        small, large = split_hot(placed, decision, keys)
+        picks = small.groupBy(*decision).applyInPandas(first_turn, schema).unionByName(
+            _stretches(large, decision, scan, schema)
         )
-        return viable.join(clash, [*decision, "_index"], "left_anti")
+    picks = materialize(picks, "picks")
+    named = [F.col(c).alias(f"_p{i}") for i, c in enumerate(decision)]
+    chosen = picks.select(*named, F.col("_at").alias("_pat"), "_place")
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(decision)],
+        F.col("_at") == F.col("_pat"),
+    )
+    free = placed.where(~F.col("_forced")).drop("_vector").join(chosen, same, "left")
+    # Picks keep their place; the others follow in score order.
+    last = F.coalesce(F.col("_place"), F.lit((1 << 62)))
+    return with_positions(
+        free.withColumn("_last", last), decision, ["_last", "_at"], position="place", hot_rows=hot_rows
+    ).select(
+        *decision, F.col("_index").alias("pick"), "place",
+        (F.col("place") <= F.col("_budget")).alias("selected"),
+    )
+
 
-    viable = drop_near(pool, hot.where("_forced"))
-    order = F.struct(F.col("_s"), (-F.col("_index")).alias("o"))
+def _stretches(large, decision, scan, schema):
+    """Picks of decisions too large for a task, stretch by stretch of their order."""
+    # Written apart: a cogroup of two parts of one frame would be ambiguous.
+    forced = materialize(large.where("_forced"), "forced")
+    blocks = [r["_part"] for r in forced.select("_part").distinct().orderBy("_part").collect()]
+    parts = [r["_part"] for r in large.where(~F.col("_forced")).select("_part").distinct()
+             .orderBy("_part").collect()]
     picks = None
-    rounds = hot.agg(F.max("_budget")).first()[0] or 0
-    for place in range(1, rounds + 1):
-        best = viable.where(F.col("_budget") >= place).groupBy(*decision).agg(
-            F.max_by(F.struct("pick", "_index", "_vector"), order).alias("b")
-        )
-        best = materialize(
-            best.select(*decision, "b.*", F.lit(place).cast("bigint").alias("place")), "picks"
-        )
-        if best.isEmpty():
-            break
-        one = F.broadcast(best.select(*decision, "_index", "_vector"))  # a row per hot decision
-        viable = materialize(
-            drop_near(
-                viable.join(one.select(*decision, "_index"), [*decision, "_index"], "left_anti"),
-                one,
-            ),
-            "viable",
-        )
-        picks = best if picks is None else picks.unionByName(best)
-    if picks is None:
-        return hot.select(*decision, "pick", F.lit(0).cast("bigint").alias("place")).limit(0)
-    chosen = picks.select(*decision, "pick", "_index", "place")
-    have = chosen.groupBy(*decision).agg(F.count(F.lit(1)).alias("_have"))
-    rest = pool.join(chosen.select(*decision, "_index"), [*decision, "_index"], "left_anti")
-    ranked = with_positions(rest, decision, [F.col("_s").desc(), "_index"], position="_r")
-    missing = F.coalesce("_have", F.lit(0))
-    fill = (
-        ranked.join(have, list(decision), "left")
-        .where(F.col("_r") <= F.col("_budget") - missing)
-        .select(*decision, "pick", (F.col("_r") + missing).alias("place"))
-    )
-    return chosen.select(*decision, "pick", "place").unionByName(fill)
+
+    def clear(near: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        if not len(near) or not len(pdf):
+            return pdf
+        allowed = np.where(pdf["_s"] >= pdf["_top"], scan.good, scan.limit)
+        vectors, norms = _stacked(pdf["_vector"])
+        keep = np.ones(len(pdf), dtype=bool)
+        for ref, n in zip(*_stacked(near["_vector"])):
+            keep &= ~_near(vectors, norms, ref, n, allowed)
+        return pdf[keep]
+
+    bare = large.schema
+    for part in parts:
+        rest = large.where(~F.col("_forced") & (F.col("_part") == part))
+        if picks is not None:  # decisions whose budget is filled are done
+            have = picks.groupBy(*decision).agg(F.count(F.lit(1)).alias("_have"))
+            rest = rest.join(have, decision, "left").where(F.coalesce("_have", F.lit(0)) < F.col("_budget"))
+            rest = rest.drop("_have")
+            if rest.isEmpty():
+                break
+        rest = materialize(rest, "stretch")
+        for block in blocks:
+            refs = forced.where(F.col("_part") == block)
+            rest = materialize(
+                refs.groupBy(*decision).cogroup(rest.groupBy(*decision)).applyInPandas(clear, bare), "viable"
+            )
+        before = (picks.drop("_place") if picks is not None else forced.limit(0)).groupBy(*decision)
+        new = materialize(before.cogroup(rest.groupBy(*decision)).applyInPandas(scan, schema), "picks")
+        picks = new if picks is None else picks.unionByName(new)
+    return picks if picks is not None else large.withColumn("_place", F.lit(0).cast("bigint")).limit(0)

@@ -30,43 +30,36 @@ def hot_row_limit(spark: SparkSession, hot_rows: int | None = None) -> int:
     return hot_rows or int(spark.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int | None = None):
+def hot_groups(
+    df: DataFrame, group: Sequence[str], hot_rows: int | None = None,
+    *, weight: Column | None = None, limit: int | None = None,
+):
     """Keys with more rows than a task should hold, or ``None``.
 
-    Rows are first counted by hash bucket, so at most ``PROBE_BUCKETS`` partial
-    rows leave each task; only the buckets that could hide a large group are
-    counted by key. Each returned key holds more than 1/8192 of the rows, which
-    bounds the result to 8192 rows.
+    ``weight`` is counted instead of rows, up to ``limit``. The limit is fixed: it
+    doesn't grow with the data, so no task ever holds more. Rows are first counted
+    by hash bucket, so at most ``PROBE_BUCKETS`` partial rows leave each task; only
+    the buckets that could hide a large group are counted by key. The keys are a
+    table in the shared folder, a row for each ``limit`` rows at most.
     """
-    limit = hot_row_limit(df.sparkSession, hot_rows)
+    limit = limit or hot_row_limit(df.sparkSession, hot_rows)
     if not group:
         return None
+    amount = F.sum(F.lit(1) if weight is None else weight).cast("bigint").alias("_n")
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in group]), F.lit(PROBE_BUCKETS))
-    sizes = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if total is None:
-        return None
-    limit = max(limit, 8 * total // PROBE_BUCKETS)
-    if largest <= limit:
-        return None
+    sizes = df.groupBy(bucket.alias("_b")).agg(amount)
     crowded = [r["_b"] for r in sizes.where(F.col("_n") > limit).collect()]
-    keys = (
-        df.where(bucket.isin(crowded))
-        .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-    )
-    found = keys.collect()
-    if not found:
+    if not crowded:
         return None
-    return df.sparkSession.createDataFrame(found, keys.schema)
+    keys = df.where(bucket.isin(crowded)) if len(crowded) <= 1000 else df
+    keys = materialize(keys.groupBy(*group).agg(amount).where(F.col("_n") > limit), "hot")
+    return None if keys.isEmpty() else keys
 
 
 def split_hot(df: DataFrame, group: Sequence[str], keys: DataFrame):
     """(ordinary rows, rows of the hot keys); null keys match null keys."""
-    named = F.broadcast(
-        keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)])
-    )  # at most 8192 rows, see hot_groups
+    # Not hinted: few keys are broadcast by their size, many are joined by shuffle.
+    named = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)])
     same = reduce(
         lambda a, b: a & b,
         [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(group)],
@@ -165,8 +158,8 @@ def with_group_aggregates(
     """Add whole-group aggregates to every row, in one shuffle of the rows.
 
     Ordinary groups use a window. Groups too large for a task are aggregated
-    with partial sums and come back through a broadcast of one row per such
-    group (at most 8192). A plain aggregate-and-join would run the input twice.
+    with partial sums and come back through a join with one row per such group.
+    A plain aggregate-and-join would run the input twice.
     """
     group = list(group)
     over = Window.partitionBy(*group)
@@ -184,7 +177,7 @@ def with_group_aggregates(
         lambda a, b: a & b,
         [F.col(c).eqNullSafe(F.col(f"_agg_g{i}")) for i, c in enumerate(group)],
     )
-    joined = hot.join(F.broadcast(totals), same).select(*df.columns, *aggregates)
+    joined = hot.join(totals, same).select(*df.columns, *aggregates)
     return windowed(cold).unionByName(joined)
 
 

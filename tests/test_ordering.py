@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.heuristics import diverse_top_k
+from plumbline.operators.heuristics import diverse_order, diverse_top_k
 from plumbline.operators.ordering import (
     hot_groups,
     percentiles,
@@ -69,21 +69,52 @@ def test_hot_groups_names_only_the_large_ones(skewed):
     assert hot_groups(skewed, ["g"], 5000) is None
 
 
-def test_diverse_rounds_equal_the_grouped_scan(spark):
+def greedy_by_hand(rows, budget, limit):
+    """rows: (index, score, vector, forced), in any order."""
+    free = sorted((r for r in rows if not r[3]), key=lambda r: (-r[1], r[0]))
+    top = max((r[1] for r in free), default=0)
+
+    def near(a, b, allowed):
+        if a is None or b is None:
+            return False
+        a, b = np.array(a), np.array(b)
+        return abs((a * b).sum()) > allowed * np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+
+    refs, picks = [r[2] for r in rows if r[3]], []
+    for r in free:
+        allowed = max(0.5, limit) if r[1] >= top else limit
+        if len(picks) < budget and not any(near(r[2], x, allowed) for x in refs):
+            picks.append(r)
+            refs.append(r[2])
+    rest = [r for r in free if not any(r is p for p in picks)]
+    return [r[0] for r in picks + rest]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20, 3])
+def test_diverse_order_with_ties_nulls_and_repeats(spark, hot_rows):
     rng = random.Random(3)
+    grid = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 2.0], [0.0, 0.0, 0.0], None]
     data = [
-        (i % 3, i, rng.randrange(20) / 20, [rng.gauss(0, 1) for _ in range(3)], i % 17 == 0)
+        (i % 3, i // 3 // (2 if i > 200 else 1), rng.randrange(6) / 4,
+         rng.choice(grid) if i % 2 else [float(rng.randrange(-3, 4)) for _ in range(3)], i % 17 == 0)
         for i in range(240)
-    ]
+    ]
     df = spark.createDataFrame(
         data, "g int, id bigint, s double, vec array<double>, forced boolean"
     )
     args = dict(decision=["g"], index="id", score="s", vector="vec", budget=9, forced="forced",
-                min_orthogonality=0.35)
-    small = diverse_top_k(df, **args).select("g", "pick", "place").collect()
-    large = diverse_top_k(df, hot_rows=20, **args).select("g", "pick", "place").collect()
-    assert sorted(map(tuple, small)) == sorted(map(tuple, large))
-    assert len(small) == 27
+                min_orthogonality=0.4)
+    got = diverse_order(df, hot_rows=hot_rows, **args).collect()
+    picks = diverse_top_k(df, hot_rows=hot_rows, **args).collect()
+    assert len(picks) == 27
+    for g in range(3):
+        mine = [r["pick"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])]
+        own = [(i, s, v, f) for k, i, s, v, f in data if k == g]
+        ties = {(-s, i): [] for i, s, v, f in own}
+        assert len(ties) == len({(i, s) for i, s, _, _ in own})
+        want = greedy_by_hand(own, 9, 0.6)
+        assert sorted(mine) == sorted(want) and mine[:9] == want[:9]
+        assert [r["pick"] for r in sorted(picks, key=lambda r: r["place"]) if r["g"] == g] == mine[:9]
 
 
 @pytest.mark.parametrize("hot_rows", [None, 300, 100])
