@@ -98,15 +98,15 @@ def malformed_rows(spark, sf):
 @query(
     "header_mismatches",
     f"""WITH {NATION_SQL} SELECT DISTINCT split, unit::VARCHAR AS unit, 'l_partkey,cost' AS header
-FROM n WHERE unit % 5 = 2""",
+FROM n WHERE unit % 9 = 2""",
 )
 def header_mismatches(spark, sf):
     path = fresh(spark, "headers")
     rows = nation_rows(spark, sf).select("split", "unit", "l_partkey", "l_quantity")
     out = lambda df: df.write.mode("append").option("header", True).partitionBy(
         "split", "unit").csv(path)
-    out(rows.where("unit % 5 <> 2"))
-    out(rows.where("unit % 5 = 2").withColumnRenamed("l_quantity", "cost"))
+    out(rows.where("unit % 9 <> 2"))
+    out(rows.where("unit % 9 = 2").withColumnRenamed("l_quantity", "cost"))
     head = T.headers(spark, path, "*.csv", folders="split=*/unit=*", place=PLACE)
     return T.header_mismatches(head).select("split", "unit", "header").distinct()
 

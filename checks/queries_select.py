@@ -230,6 +230,25 @@ def diverse_topk(spark, sf):
     )
 
 
+@query("diverse_topk_split")
+def diverse_topk_split(spark, sf):
+    """The same picks when every decision is scanned in many stretches."""
+    e = table(spark, sf, "embeddings").withColumn("score", (F.col("vec_id") * 7919 % 1000) / 1000)
+    return H.diverse_top_k(
+        e, decision=["label"], index="vec_id", score="score", vector="embedding", budget=8,
+        min_orthogonality=0.6, hot_rows=200,
+    )
+
+
+@query("diverse_order")
+def diverse_order(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("score", (F.col("vec_id") * 7919 % 1000) / 1000)
+    return H.diverse_order(
+        e, decision=["label"], index="vec_id", score="score", vector="embedding", budget=8,
+        min_orthogonality=0.6,
+    )
+
+
 SIM = (
     "abs(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / "
     "(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * "
@@ -258,6 +277,11 @@ SELECT label, unnest(picks) AS pick, generate_subscripts(picks, 1)::BIGINT AS pl
 UNION ALL
 SELECT f.label, f.vec_id, (len(d.picks) + r)::BIGINT FROM fill f JOIN done d USING (label)
 WHERE len(d.picks) + r <= 8"""
+ORACLES["diverse_topk_split"] = ORACLES["diverse_topk"]
+ORACLES["diverse_order"] = (
+    ORACLES["diverse_topk"].replace("SELECT label, unnest(picks)", "SELECT *, place <= 8 AS selected FROM (SELECT label, unnest(picks)")
+    .replace("WHERE len(d.picks) + r <= 8", ")")
+)
 
 
 # ---- risk --------------------------------------------------------------------

@@ -14,18 +14,13 @@ from plumbline.operators.gates import check_rows
 
 
 def inventory(units: DataFrame, *, split: str = "split", status: str = "status") -> DataFrame:
-    """Units by split and by split:status, as (kind, key, units)."""
-    keyed = units.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("split").alias("kind"), F.col(split).alias("key")),
-                F.struct(
-                    F.lit("split:status").alias("kind"),
-                    F.concat_ws(":", split, status).alias("key"),
-                ),
-            )
-        ).alias("e")
+    """Units by split and, where a status is known, by split:status: (kind, key, units)."""
+    by_status = F.struct(
+        F.lit("split:status").alias("kind"), F.concat_ws(":", split, status).alias("key")
     )
+    by_split = F.struct(F.lit("split").alias("kind"), F.col(split).alias("key"))
+    kinds = F.array(by_split, F.when(F.col(status).isNotNull(), by_status))
+    keyed = units.select(F.explode(F.array_compact(kinds)).alias("e"))
     return keyed.groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("units"))
 
 

@@ -289,3 +289,18 @@ def cluster_folds(
 def assign_folds(queries: DataFrame, folds: DataFrame, *, cluster: str = "cluster"):
     """Fold of every query; clusters left out of the folds get -1."""
     return queries.join(folds.select(cluster, "fold"), cluster, "left").na.fill({"fold": -1})
+
+
+def leave_one_out_folds(rows: DataFrame, *, unit: str = "unit", out: str = "fold") -> DataFrame:
+    """Rows with a fold for each unit, so that every unit is the test set once.
+
+    Folds are numbered from 1 in unit order; a missing unit has no fold.
+    """
+    units = rows.select(F.col(unit).alias("_u")).where("_u IS NOT NULL").distinct()
+    placed = with_positions(units, [], ["_u"], position=out)
+    return rows.join(placed, rows[unit] == placed["_u"], "left").drop("_u")
+
+
+def first_units(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in a stated order: the prefix of an assignment list."""
+    return rows.orderBy(*order).limit(n)

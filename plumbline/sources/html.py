@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +14,36 @@ CELLS = 11
 
 
 def unescape(c: F.Column) -> F.Column:
-    out = F.regexp_replace(c, "&lt;", "<")
-    out = F.regexp_replace(F.regexp_replace(out, "&gt;", ">"), "&quot;", '"')
-    out = F.regexp_replace(F.regexp_replace(out, "&#0*39;|&apos;", "'"), "&nbsp;", " ")
-    return F.regexp_replace(out, "&amp;", "&")
+    """Character references decoded: decimal, hexadecimal and named ones. Others stay."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)&#?\w{1,32};|[^&]+|&"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for n, k in sorted(name2codepoint.items()) for x in (n, chr(k))])
+
+    def decoded(part: F.Column) -> F.Column:
+        number = F.coalesce(
+            F.regexp_extract(part, r"^&#(\d{1,7});$", 1).try_cast("bigint"),
+            F.conv(F.nullif(F.regexp_extract(part, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10)
+            .try_cast("bigint"),
+        )
+        sound = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        name = F.regexp_extract(part, r"^&(\w+);$", 1)
+        named = F.when(name == "apos", "'").otherwise(F.try_element_at(names, name))
+        return F.when(sound, char).otherwise(F.coalesce(named, part))
+
+    return F.array_join(F.transform(parts, decoded), "")
 
 
 def inner_text(c: F.Column) -> F.Column:
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, r"<[^>]*>", "")), r"\s+", " "))
+    """Text of a cell: a tag parts what stands beside it by a blank."""
+    text = unescape(F.regexp_replace(c, r"<[^>]*>", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
 
 
 def table_rows(pages: DataFrame, table_id: str, *, html: str = "html", key: str = "page_id"):
     """One row per body row of ``<table id=...>`` with its cell texts."""
+    own = re.escape(table_id)
     body = F.regexp_extract(
-        html, rf"(?is)<table\b[^>]*\bid=[\"']?{table_id}[\"'\s>].*?<tbody[^>]*>(.*?)</tbody>", 1
+        html, rf"(?is)<table\b[^>]*\bid=[\"']?{own}[\"'\s>].*?<tbody[^>]*>(.*?)</tbody>", 1
     )
     rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.regexp_extract_all(F.col("_row"), F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))

@@ -39,7 +39,7 @@ def unit(root, split, name, lines, stats="hybrid : 0.03 0.00 2 1 2 0 2 9", runs=
     d = root / f"benchmark_output_{split}" / name
     d.mkdir(parents=True)
     (d / "candidate_cuts.csv").write_text("\n".join([",".join(CAND), *lines]) + "\n")
-    (d / "applied_cuts.csv").write_text('run_number,cut_name\n1,"assignTimes(A,B)"\n1,last\n')
+    (d / "applied_cuts.csv").write_text('run_number,cut_name\n1,"pairUp(C,D)"\n1,last\n')
     (d / "lp_states.csv").write_text("run_number\n1\n")
     (d / "sep_round_transitions.csv").write_text("run_number,node_depth\n1,0\n1,0\n")
     (d / "summary.json").write_text(
@@ -89,10 +89,10 @@ def test_audit_reports_faults(spark, tree):
 
 def test_quoted_names_malformed_rows_and_order(spark, tree):
     path = tree / "benchmark_output_train" / "u1" / "applied_cuts.csv"
-    path.write_text('run_number,cut_name\n1,"assignTimes(A,B)"\nbroken\n2,last\n')
+    path.write_text('run_number,cut_name\n1,"pairUp(C,D)"\nbroken\n2,last\n')
     rows = T.read_trace(spark, str(tree), "applied_cuts.csv", OTHER["applied_cuts.csv"], ordered=True)
     got = [(r["run_number"], r["cut_name"], r["unit"], r["split"]) for r in rows.orderBy("_block", "_row").collect()]
-    assert got == [("1", "assignTimes(A,B)", "u1", "train"), ("2", "last", "u1", "train")]
+    assert got == [("1", "pairUp(C,D)", "u1", "train"), ("2", "last", "u1", "train")]
     marked = T.read_trace(
         spark, str(tree), "applied_cuts.csv", OTHER["applied_cuts.csv"], malformed=True
     )
@@ -106,6 +106,22 @@ def test_statistics_text(spark):
     assert got == [(99, 11, 2838, 0, 10789), (None,) * 5]
 
 
+def test_headers_follow_the_split_order_and_are_parsed(spark):
+    head = spark.createDataFrame(
+        [("test", "a", "x,z"), ("train", "b", '"x",y'), ("train", "c", "x,y"), ("val", "d", '"x","y"')],
+        "split string, unit string, header string",
+    )
+    assert [r["unit"] for r in T.header_mismatches(head).collect()] == ["a"]
+
+
+def test_cell_text_keeps_parts_apart_and_decodes_references(spark):
+    df = spark.createDataFrame(
+        [("2<br>3 <b>x</b>y caf&eacute; &#233;&#xE9; &amp;lt; &nope; &#128512; a&b &nbsp;",)], "h string"
+    )
+    got = df.select(H.inner_text(F.col("h"))).first()[0]
+    assert got == "2 3 x y café éé &lt; &nope; \U0001f600 a&b"
+
+
 def test_line_lists_and_metadata(spark, tmp_path):
     (tmp_path / "a.test").write_text("# head\n a \n\nb\na\n")
     lines = T.read_lines(spark, str(tmp_path / "a.test"), comments=True)
