@@ -141,14 +141,21 @@ def encoded_features(
     )
 
 
+# A plan holds an expression per column of the matrix.
+MOST_COLUMNS = 4096
+
+
 def assemble(
     rows: DataFrame, contract: DataFrame, booleans: Sequence[str] = (), *, out: str = "features"
 ) -> DataFrame:
     """Numeric values (missing is NaN) and one-hot categories as a float array.
 
-    The contract is a schema: its rows are the columns of the matrix.
+    The contract is a schema: its rows are the columns of the matrix, of which
+    there may be MOST_COLUMNS.
     """
-    spec = contract.orderBy("position").collect()
+    spec = contract.orderBy("position").limit(MOST_COLUMNS + 1).collect()
+    if len(spec) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} matrix columns; drop features of many categories")
     known: dict[str, list[str]] = {}
     for r in spec:
         if r["category"] is not None and r["category"] != UNKNOWN_CATEGORY:

@@ -238,6 +238,9 @@ def _split_run(loads: list[list[int]], size: tuple[int, int], m: int) -> list[in
     return counts
 
 
+MOST_SHAPES = 1_000_000
+
+
 def cluster_folds(
     queries: DataFrame, folds: int, *, cluster: str = "cluster", unit: str = "unit",
     size: str = "n_candidates",
@@ -247,7 +250,8 @@ def cluster_folds(
     Clusters are ordered by falling units, falling rows, then name. The greedy
     rule is sequential, but clusters of one (units, rows) shape are
     interchangeable: only the shapes pass through the driver, as an ordered
-    stream, and Spark maps the clusters of each shape to the dealt folds.
+    stream of at most MOST_SHAPES, and Spark maps the clusters of each shape to the
+    dealt folds.
     """
     if folds < 2:
         raise ValueError("at least two folds are required")
@@ -258,6 +262,8 @@ def cluster_folds(
     )
     table = materialize(table, "clusters")  # read for the shapes and for the names
     shapes = table.groupBy("units", "rows").agg(F.count(F.lit(1)).alias("m"))
+    if shapes.limit(MOST_SHAPES + 1).count() > MOST_SHAPES:
+        raise ValueError(f"more than {MOST_SHAPES} cluster shapes; round the sizes first")
     loads = [[0, 0] for _ in range(folds)]
     dealt, total = [], 0
     for s in shapes.orderBy(F.desc("units"), F.desc("rows")).toLocalIterator():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+# Folders of running jobs, and of local sessions without a setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
     Only a local master may fall back to a folder of its own, because no
     executor on another machine could read it.
     """
+    own = _OWN.get(spark.sparkContext.applicationId)
+    if own:
+        return own
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -40,9 +49,7 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -55,3 +62,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediates of one job, deleted when the job is over.
+
+    Frames made inside must be read to the end inside.
+    """
+    root, app = scratch_root(spark), spark.sparkContext.applicationId
+    before = _OWN.get(app)
+    _OWN[app] = own = f"{root}/job-{uuid.uuid4().hex}"
+    try:
+        yield own
+    finally:
+        _OWN.pop(app)
+        if before:
+            _OWN[app] = before
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

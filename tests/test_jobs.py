@@ -40,3 +40,15 @@ def test_cohort_audit(spark):
     assert {r["queue"]: r["units"] for r in by_queue.collect()} == {"q1": 1, "q2": 1}
     test = support.where("split = 'test'").first()
     assert (test["seen_in_training"], test["strictly_out_of_family"]) == (1, False)
+
+
+def test_scratch_folder_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from plumbline.session import materialize, scratch_folder, scratch_root
+
+    root = scratch_root(spark)
+    with scratch_folder(spark) as own:
+        assert materialize(spark.range(5), "t").count() == 5
+        assert any(Path(own.removeprefix("file:")).iterdir())
+    assert not Path(own.removeprefix("file:")).exists() and scratch_root(spark) == root
