@@ -11,9 +11,9 @@ skipped through, rather than read, in three ways:
 * by relation: each entry carries the parities of its set's shingles over buckets
   (few bits, exact). Differing parities bound the symmetric difference from below,
   and most pairs that meet by a common passage are skipped on it.
-* by derived answers: first each set asks each list only for the first and last
-  similar set before it. Sets linked so far share their answers: in the second turn
-  only pairs of different components are asked, so a group of near copies doesn't
+* by derived answers: in a long list each set first asks only for the first and the
+  last similar set before it. Sets linked so far share their answers: in the second
+  turn only pairs of different components are asked, so a group of near copies doesn't
   pair up within itself. All such pairs are asked, which makes the result exact.
 
 Candidates are verified on whole sets. The counts are one table of fixed size
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from plumbline.session import materialize
 COUNTERS = 1 << 21
 PIECE = 1 << 16  # counters in one row
 LIST_BLOCK = 64
+SHORT_LIST = 32  # sets; in such a list all similar pairs are told at once
 
 
 def _sets(batch_column: pa.Array, size: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,10 +83,11 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            rows, held = [], []
+            rows, held, signs = [], [], []
             for _, s in _sets(batch.column(1), size, lower):
                 with np.errstate(over="ignore"):
                     rows.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)))
+                signs.append(parity(s, num, den))
                 held.append(s)
             if held:
                 place = np.concatenate(held) & np.uint64(COUNTERS - 1)
@@ -96,7 +99,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
                     batch.column(0), pa.array(n, pa.int64()),
                     pa.array(a.astype(np.uint64).view(np.int64)),
                     pa.array(b.astype(np.uint64).view(np.int64)),
-                    pa.array(np.full(k, -1), pa.int32()), pa.nulls(k, pa.binary()),
+                    pa.array(np.full(k, -1), pa.int32()), pa.array(signs, pa.binary()),
                 ],
                 names=_PROFILE,
             )
@@ -106,63 +109,72 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
             [
                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                 pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int32()),
-                pa.array([x.astype("<u4").tobytes() for x in pieces], pa.binary()),
+                pa.array([_press(x) for x in pieces], pa.binary()),
             ],
             names=_PROFILE,
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, piece int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, piece int, data binary")
 
 
-_PROFILE = ["doc_id", "n", "f1", "f2", "piece", "counts"]
+_PROFILE = ["doc_id", "n", "f1", "f2", "piece", "data"]
+
+
+def _press(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpress(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(PIECE, dtype=np.int64)
-    for x in group["counts"]:
-        total += np.frombuffer(x, "<u4")
-    return pd.DataFrame(
-        {"piece": [group["piece"].iloc[0]], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]}
-    )
+    for x in group["data"]:
+        total += _unpress(x)
+    total = np.minimum(total, (1 << 32) - 1)
+    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "data": [_press(total)]})
 
 
 def _entries(docs: DataFrame, counters, size: int, num: int, den: int, lower: bool) -> DataFrame:
-    """(token, f1, f2, n, pos, parity): the prefix of every set."""
+    """(token, id, mark, n, pos): the prefix of every document's set; ``mark`` is a short
+    fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Ranks by powers of a quarter: equal counts, and nearly equal ones, go by hash.
         ranks = (4 * np.log2(counters.value.astype(float) + 1)).astype(np.uint64)
         for batch in batches:
-            out = []
-            for _, s in _sets(batch.column(0), size, lower):
+            ids, out = batch.column(0).to_numpy(), []
+            for i, s in _sets(batch.column(1), size, lower):
                 n = len(s)
                 if not n:
                     continue
                 with np.errstate(over="ignore"):
-                    f1, f2 = s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)
+                    mark = s.sum(dtype=np.uint64) >> np.uint64(33)
                 rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 order = (rank << np.uint64(56)) | (mixed(s + np.uint64(1)) >> np.uint64(8))
                 p = min(n, prefix_length(n, num, den))
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(order[first])]
-                out.append((s[first], f1, f2, n, p, parity(s, num, den)))
+                out.append((s[first], ids[i], mark, n, p))
             if not out:
                 continue
             times = np.array([x[4] for x in out])
             columns = [
                 np.concatenate([x[0] for x in out]).view(np.int64),
-                np.repeat(np.array([x[1] for x in out], dtype=np.uint64).view(np.int64), times),
-                np.repeat(np.array([x[2] for x in out], dtype=np.uint64).view(np.int64), times),
+                np.repeat(np.array([x[1] for x in out], dtype=np.int64), times),
+                np.repeat(np.array([x[2] for x in out]).astype(np.int32), times),
                 np.repeat(np.array([x[3] for x in out], dtype=np.int32), times),
                 np.arange(times.sum(), dtype=np.int32)
                 - np.repeat(np.cumsum(times) - times, times).astype(np.int32),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_ENTRY)
 
-    return docs.mapInArrow(run, "token long, f1 long, f2 long, n int, pos int")
+    return docs.mapInArrow(run, "token long, id long, mark int, n int, pos int")
 
 
-_ENTRY = ["token", "f1", "f2", "n", "pos"]
+_ENTRY = ["token", "id", "mark", "n", "pos"]
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -191,32 +203,41 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one set, each set once."""
+    """(token, id, n, pos, long): entries of the lists that hold more than one set.
+
+    Equal sets stand in the same lists and go by their smallest document. ``long``
+    lists have more than SHORT_LIST sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches, _ENTRY):
-            token, f1, f2 = (rows[c].to_numpy() for c in ("token", "f1", "f2"))
-            order = np.lexsort((f2, f1, token))
-            t, a, b = token[order], f1[order], f2[order]
+            token, ids, mark, n, pos = (rows[c].to_numpy() for c in _ENTRY)
+            order = np.lexsort((ids, mark, n, token))
+            t, m, k = token[order], mark[order], n[order]
             new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[1:] = (t[1:] != t[:-1]) | (m[1:] != m[:-1]) | (k[1:] != k[:-1])
             keep = order[new]
-            t = t[new]
-            _, place, count = np.unique(t, return_inverse=True, return_counts=True)
-            keep = pa.array(keep[count[place] > 1])
+            _, place, count = np.unique(t[new], return_inverse=True, return_counts=True)
+            count = count[place]
+            keep, count = keep[count > 1], count[count > 1]
             if len(keep):
-                yield pa.RecordBatch.from_arrays([rows[c].take(keep) for c in _ENTRY], names=_ENTRY)
+                columns = [token[keep], ids[keep], n[keep], pos[keep], count > SHORT_LIST]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["token", "id", "n", "pos", "long"]
+                )
 
     ordered = entries.repartition("token").sortWithinPartitions("token")
-    return ordered.mapInArrow(run, "token long, f1 long, f2 long, n int, pos int")
+    return ordered.mapInArrow(run, "token long, id long, n int, pos int, long boolean")
 
 
-def _candidates(lists: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
+def _candidates(lists: DataFrame, num: int, den: int, everything: bool) -> DataFrame:
     """(a, b) of sets in one list that may link; labels differ. Of rows
-    (token, id, n, pos, parity, label)."""
+    (token, id, n, pos, parity, label). Of long lists, unless ``everything`` is asked
+    for, only the first and the last similar set before each."""
     names = ["token", "id", "n", "pos", "parity", "label"]
 
     def of_list(ids, n, pos, parities, label):
+        all_pairs = everything or len(ids) <= 4 * SHORT_LIST
         order = np.lexsort((ids, n))
         ids, n, pos, label = ids[order], n[order].astype(np.int64), pos[order].astype(np.int64), label[order]
         sizes = np.array([len(parities[i]) for i in order])
@@ -338,36 +359,30 @@ def jaccard_links(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = materialize(_profile(source, size, num, den, lower), "profile")
     table = np.zeros((COUNTERS // PIECE, PIECE), dtype=np.uint32)
-    pieces = seen.where("piece >= 0").select("piece", "counts")
-    for r in pieces.groupBy("piece").applyInPandas(_summed, "piece int, counts binary").collect():
-        table[r["piece"]] = np.frombuffer(bytes(r["counts"]), "<u4")
+    pieces = seen.where("piece >= 0").select("piece", "data")
+    for r in pieces.groupBy("piece").applyInPandas(_summed, "piece int, data binary").collect():
+        table[r["piece"]] = _unpress(bytes(r["data"]))
     counters = spark.sparkContext.broadcast(table.reshape(-1))  # 4 * COUNTERS bytes at any size
     profile = seen.where("piece = -1").select("doc_id", "n", "f1", "f2")
-    sets = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n")
+    sets = seen.where("piece = -1 AND n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("id"), F.first("data").alias("parity")
     )
-    entries = _entries(source.select("text"), counters, size, num, den, lower)
-    shared = materialize(_shared(entries), "lists")
-    # Sets that are in a list, by number; the rest link with nothing.
-    listed = shared.select("f1", "f2").distinct()
-    named = materialize(sets.drop("n").join(listed, ["f1", "f2"]), "named")
-    whole = materialize(_whole_sets(source, named.select("id"), size, lower).dropDuplicates(["id"]), "sets")
-
-    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [parity(np.frombuffer(x, "<u8"), num, den) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "parity"])
-
-    signs = named.join(whole.mapInArrow(parities, "id long, parity binary"), "id")
-    lists = shared.join(signs, ["f1", "f2"]).select("token", "id", "n", "pos", "parity")
-    lists = materialize(lists, "lists")
-    alone = lists.withColumn("label", F.col("id"))
-    links = materialize(_verified(_candidates(alone, num, den, False), whole, num, den), "links")
+    sets = materialize(sets, "sets")
+    known = source.where("doc_id IS NOT NULL")
+    shared = materialize(_shared(_entries(known, counters, size, num, den, lower)), "lists")
+
+    def linked(lists: DataFrame, label, everything: bool) -> DataFrame:
+        lists = lists.join(sets.select("id", "parity"), "id").withColumn("label", label)
+        pairs = materialize(_candidates(lists, num, den, everything), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        whole = _whole_sets(known, materialize(ids, "ids"), size, lower)
+        return materialize(_verified(pairs, whole, num, den), "links")
+
+    links = linked(shared, F.col("id"), False)
     labels = materialize(components(links), "labels")
-    label = F.coalesce("label", "id").alias("label")
-    again = lists.join(labels, "id", "left").select("token", "id", "n", "pos", "parity", label)
-    more = materialize(_verified(_candidates(again, num, den, True), whole, num, den), "links")
-    return profile.join(sets.drop("n"), ["f1", "f2"], "left"), links.unionByName(more)
+    rest = shared.where("long").join(labels, "id", "left")
+    more = linked(rest, F.coalesce("label", "id"), True)
+    return profile.join(sets.drop("parity"), ["f1", "f2"], "left"), links.unionByName(more)
 
 
 def jaccard_components(
@@ -380,8 +395,9 @@ def jaccard_components(
     ``least`` = (num, den). ``component_id`` is the smallest doc_id reachable; a text
     without words, and a null one, has an empty set and is alone. ``set_id`` is the
     smallest doc_id with the same set. A row without doc_id keeps its size and has no
-    component. Rows that repeat a doc_id count each with its own text. Hashes of 64
-    bits stand for shingles, of 128 bits for sets.
+    component. Rows that repeat a doc_id count each with its own text, but a set goes by
+    its smallest doc_id, so sets of one such id are one. Hashes of 64 bits stand for
+    shingles, of 128 bits for sets.
     """
     profile, links = jaccard_links(
         docs, size=size, least=least, lower=lower, doc_id=doc_id, text=text

@@ -28,23 +28,26 @@ def membership(keys: DataFrame, column: str) -> np.ndarray:
     """The packed bits (BITS / 8 bytes) at which keys of ``column`` fall."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BITS, dtype=bool)
         for batch in batches:
-            held[slot(batch.column(0).to_numpy())] = True
-        rows = np.packbits(held).reshape(-1, PIECE // 8)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())],
-            names=["piece", "bits"],
-        )
+            at = np.unique(slot(batch.column(0).to_numpy()))
+            piece = at // PIECE
+            cuts = np.flatnonzero(np.diff(piece, prepend=-1))
+            places = np.split((at % PIECE).astype("<u2"), cuts[1:])
+            some = piece[cuts] if len(at) else at
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([x.tobytes() for x in places][: len(some)], pa.binary())],
+                names=["piece", "places"],
+            )
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]])
-        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "bits": [bits.tobytes()]})
+        held = np.zeros(PIECE, dtype=bool)
+        for x in group["places"]:
+            held[np.frombuffer(x, "<u2")] = True
+        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "bits": [np.packbits(held).tobytes()]})
 
     out = np.zeros((BITS // PIECE, PIECE // 8), dtype=np.uint8)
     got = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
-    got = got.mapInArrow(run, "piece int, bits binary").groupBy("piece")
+    got = got.mapInArrow(run, "piece int, places binary").groupBy("piece")
     for r in got.applyInPandas(merged, "piece int, bits binary").collect():
         out[r["piece"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.reshape(-1)

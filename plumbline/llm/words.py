@@ -1,8 +1,8 @@
 """Words of whole texts as arrays: places, counts per text and 64-bit hashes.
 
 A word is a run of bytes other than the blank and 0x09-0x0D, so it never cuts a
-UTF-8 character. All work is done on whole slices of an Arrow column, a few
-megabytes at a time; a longer text makes a slice of its own.
+UTF-8 character. All work is done on whole slices of an Arrow column, about
+a megabyte at a time; a longer text makes a slice of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
