@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.queries_files import fresh
-from checks.views import UNITS_SQL, table, units
+from checks.queries_models import oof_scores
+from checks.views import RISK_SQL, UNITS_SQL, table, units
 from plumbline.functions import exprs as E
 from plumbline.operators import decisions as D
 from plumbline.operators import quality as Q
@@ -126,3 +127,34 @@ def report_sink(spark, sf):
     schema = "flag string, rows long, lines long"
     told = spark.read.schema(schema).json(as_json)
     return told.intersect(spark.read.schema(schema).option("header", True).csv(as_csv))
+
+
+@query(
+    "file_hashes",
+    """SELECT n_nationkey::BIGINT AS unit, sha256(n_name || chr(10)) AS sha256, (length(n_name) + 1)::BIGINT AS bytes
+FROM nation""",
+)
+def file_hashes(spark, sf):
+    path = fresh(spark, "names")
+    names = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    names.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    prints = S.fingerprint(spark, {"names": [f"{path}/*/*.txt"]})
+    unit = F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("long")
+    return prints.select(unit.alias("unit"), "sha256", "bytes")
+
+
+@query(
+    "oof_coverage",
+    f"""WITH {RISK_SQL} SELECT count(*) AS rows, count(DISTINCT doc_id) AS documents,
+  sum(label)::BIGINT AS positives, 3::BIGINT AS folds, true AS inside, true AS apart FROM risk""",
+)
+def oof_coverage(spark, sf):
+    """What is certain of out-of-fold scores, whatever the trees: each row once, in one of
+    three folds, a probability, and no unit in two folds."""
+    scores = oof_scores(spark, sf)
+    units = scores.groupBy("unit").agg(F.count_distinct("fold").alias("f")).agg(F.max("f") == 1)
+    return scores.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents"),
+        F.sum("label").cast("long").alias("positives"), F.count_distinct("fold").alias("folds"),
+        F.bool_and((F.col("model_score") >= 0) & (F.col("model_score") <= 1)).alias("inside"),
+    ).withColumn("apart", units.scalar())
