@@ -39,6 +39,7 @@ from plumbline.session import materialize
 COUNTERS = 1 << 21
 PIECE = 1 << 16  # counters in one row
 LIST_BLOCK = 64
+LIST_LIMIT = 50_000  # entries that a task holds of one list; longer lists are split
 SHORT_LIST = 32  # sets; in such a list all similar pairs are told at once
 
 
@@ -137,9 +138,12 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [group["piece"].iloc[0]], "data": [_press(total)]})
 
 
-def _entries(docs: DataFrame, counters, size: int, num: int, den: int, lower: bool) -> DataFrame:
+def _entries(
+    docs: DataFrame, counters, size: int, num: int, den: int, lower: bool, common: bool = False
+) -> DataFrame:
     """(token, id, mark, n, pos): the prefix of every document's set; ``mark`` is a short
-    fingerprint of the set."""
+    fingerprint of the set. ``common`` gives only shingles that may be in over LIST_LIMIT
+    sets, as their counter tells; the counter of any other is a bound of its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Ranks by powers of a quarter: equal counts, and nearly equal ones, go by hash.
@@ -157,10 +161,14 @@ def _entries(docs: DataFrame, counters, size: int, num: int, den: int, lower: bo
                 p = min(n, prefix_length(n, num, den))
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
                 first = first[np.argsort(order[first])]
-                out.append((s[first], ids[i], mark, n, p))
+                if common:
+                    first = first[counters.value[(s[first] & np.uint64(COUNTERS - 1)).astype(np.int64)] > LIST_LIMIT]
+                out.append((s[first], ids[i], mark, n, len(first)))
             if not out:
                 continue
             times = np.array([x[4] for x in out])
+            if not times.sum():
+                continue
             columns = [
                 np.concatenate([x[0] for x in out]).view(np.int64),
                 np.repeat(np.array([x[1] for x in out], dtype=np.int64), times),
@@ -202,6 +210,21 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
         yield arrays(rest)
 
 
+def _split(entries: DataFrame, long_lists: DataFrame) -> DataFrame:
+    """Entries with the long lists cut into blocks, and a list for every two blocks of one.
+
+    ``long_lists`` holds (token, blocks). Every two entries of a list meet again, and no
+    list is longer than two blocks.
+    """
+    own = F.pmod(F.xxhash64("id", "mark"), F.col("blocks"))
+    rows = entries.join(long_lists, "token", "left").withColumn("_own", own)
+    other = F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("_other", F.explode(F.coalesce(other, F.array(F.lit(0).cast("long")))))
+    cell = F.xxhash64("token", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    token = F.when(F.col("blocks").isNull(), F.col("token")).otherwise(cell)
+    return rows.withColumn("token", token).select(*_ENTRY)
+
+
 def _shared(entries: DataFrame) -> DataFrame:
     """(token, id, n, pos, long): entries of the lists that hold more than one set.
 
@@ -237,7 +260,6 @@ def _candidates(lists: DataFrame, num: int, den: int, everything: bool) -> DataF
     names = ["token", "id", "n", "pos", "parity", "label"]
 
     def of_list(ids, n, pos, parities, label):
-        all_pairs = everything or len(ids) <= 4 * SHORT_LIST
         order = np.lexsort((ids, n))
         ids, n, pos, label = ids[order], n[order].astype(np.int64), pos[order].astype(np.int64), label[order]
         sizes = np.array([len(parities[i]) for i in order])
@@ -280,14 +302,45 @@ def _candidates(lists: DataFrame, num: int, den: int, everything: bool) -> DataF
                 place = place[apart <= most_difference(n[place], n[x], num, den)]
                 if len(place):
                     hits.append(place)
-                    if not all_pairs and len(hits) == 1:
+                    if not everything and len(hits) == 1:
                         hits = [place[:1]]
             if hits:
                 found = np.concatenate(hits)
-                if not all_pairs:
+                if not everything:
                     found = np.unique(found[[0, -1]])
                 yield ids[found], np.full(len(found), ids[x])
 
+    def of_short(token, ids, n, pos, parities, label):
+        """All similar pairs of many short lists at once: rows that stand d apart."""
+        order = np.lexsort((ids, n, token))
+        token, ids, n, pos, label = (x[order] for x in (token, ids, n, pos, label))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        width = np.array([len(parities[i]) for i in order])
+        table, place = {}, np.zeros(len(order), dtype=np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            place[own] = np.arange(len(own))
+            data = b"".join([parities[i] for i in order[own]])
+            table[w] = np.frombuffer(data, np.uint8).reshape(len(own), w)
+        live = np.arange(len(token))
+        for d in range(1, len(token)):
+            live = live[live + d < len(token)]
+            live = live[token[live] == token[live + d]]
+            if not len(live):
+                break
+            a, b = live, live + d
+            most = most_difference(n[a], n[b], num, den)
+            fit = (num * n[b] <= den * n[a]) & (pos[a] + pos[b] <= most) & (label[a] != label[b])
+            a, b, most = a[fit], b[fit], most[fit]
+            for wa in np.unique(width[a]).tolist():
+                for wb in np.unique(width[b[width[a] == wa]]).tolist():
+                    some = (width[a] == wa) & (width[b] == wb)
+                    w = min(wa, wb)
+                    x = _fold(table[wa][place[a[some]]], w)
+                    y = _fold(table[wb][place[b[some]]], w)
+                    near = np.bitwise_count(x ^ y).sum(axis=1) <= most[some]
+                    yield ids[a[some][near]], ids[b[some][near]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches, names):
             token, ids, n, pos, label = (
@@ -296,8 +349,14 @@ def _candidates(lists: DataFrame, num: int, den: int, everything: bool) -> DataF
             parities = rows["parity"].to_pylist()
             cuts = np.flatnonzero(np.diff(token)) + 1
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sizes = np.diff(np.concatenate([[0], cuts, [len(token)]]))
+            short = np.flatnonzero(np.repeat(sizes <= 4 * SHORT_LIST, sizes))
+            some = [parities[i] for i in short]
+            for u, v in of_short(token[short], ids[short], n[short], pos[short], some, label[short]):
+                left.append(u)
+                right.append(v)
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
-                if b - a < 2 or (label[a:b] == label[a]).all():
+                if b - a <= 4 * SHORT_LIST or (label[a:b] == label[a]).all():
                     continue
                 for u, v in of_list(ids[a:b], n[a:b], pos[a:b], parities[a:b], label[a:b]):
                     left.append(u)
@@ -369,7 +428,13 @@ def jaccard_links(
     )
     sets = materialize(sets, "sets")
     known = source.where("doc_id IS NOT NULL")
-    shared = materialize(_shared(_entries(known, counters, size, num, den, lower)), "lists")
+    entries = _entries(known, counters, size, num, den, lower)
+    if (table > LIST_LIMIT).any():
+        lists = _entries(known, counters, size, num, den, lower, common=True).groupBy("token")
+        lists = lists.agg(F.ceil(F.count(F.lit(1)) / LIST_LIMIT).alias("blocks")).where("blocks > 1")
+        lists = materialize(lists, "long")
+        entries = entries if lists.isEmpty() else _split(entries, lists)
+    shared = materialize(_shared(entries), "lists")
 
     def linked(lists: DataFrame, label, everything: bool) -> DataFrame:
         lists = lists.join(sets.select("id", "parity"), "id").withColumn("label", label)

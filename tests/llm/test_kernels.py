@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from plumbline.llm import exact_dedup, packing, secret_scan, token_files
 from plumbline.llm.fm_index import FMIndex
 from plumbline.llm.mixing import one_cycle, phases, shares_of
 from plumbline.llm.substring_dedup import least_of, smallest_holders
+from plumbline.llm.tokens import encoder
 from plumbline.llm.words import Words, grams, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,3 +166,20 @@ def test_base_spans_take_their_place_even_when_dropped():
     spans = secret_scan.base_spans(text)
     assert [k for _, k, _ in spans] == [0, 1, 2]
     assert text[spans[0][0] : spans[0][2]] == "Secret='0123456789ab"
+
+
+PIECES = ["a", "B", "the", "é", "É", "İ", "ß", "ﬁ", "é", "́", "'s", "'", "12", ".", ",", "!!", "#*",
+          " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "​", "\0",
+          "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "漢字", "Σ", "ς", "|", "½", "_"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14), max_size=6))
+@settings(max_examples=250, deadline=None)
+def test_encoder_equals_the_library(name, lists):
+    enc = encoder(public_tokenizers.path(name))
+    texts = ["".join(x) for x in lists] + [None]
+    ids, starts = enc.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want = enc.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert ids[starts[i] : starts[i + 1]].tolist() == want, repr(t)

@@ -150,8 +150,13 @@ def components_by_force(docs, size, num, den, lower):
     return [(sets[i][0], len(sets[i][1]), least.get(root(i))) for i in sets]
 
 
-@pytest.mark.parametrize(("size", "num", "lower"), [(3, 90, True), (5, 80, False)])
-def test_jaccard_components(documents, size, num, lower):
+@pytest.mark.parametrize(
+    ("size", "num", "lower", "limit"), [(3, 90, True, None), (5, 80, False, None), (3, 90, True, 7)]
+)
+def test_jaccard_components(documents, monkeypatch, size, num, lower, limit):
+    if limit:  # long lists are split, and few count as short
+        monkeypatch.setattr(jaccard_join, "LIST_LIMIT", limit)
+        monkeypatch.setattr(jaccard_join, "SHORT_LIST", 1)
     rng = random.Random(size)
     base = [prose(50 + k, 60).split() for k in range(3)]
     docs = [r for r in ODD if r[0] != 9]
