@@ -30,7 +30,7 @@ from plumbline.session import materialize
 WINDOW = 50
 ANCHOR_WORDS = 8
 RUN = 128  # most windows of a passage
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 HOT_PASSAGES = 20_000  # of an anchor
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from plumbline.llm.words import SLICE_BYTES, slices
 
-MOST_CHUNKS = 600_000
+MOST_WORDS = 700_000  # entries of a worker's table, some 40 bytes each
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -29,6 +29,29 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+class _Table:
+    """Known strings and their ids in flat arrays; looked up many at a time."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.large_string())
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """Entry of each name, -1 where it is new."""
+        got = pc.index_in(names, value_set=self.names)
+        return pc.fill_null(got, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, names: pa.Array, ids: list[bytes]) -> None:
+        count = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+        begin = len(self.flat) + np.cumsum(count) - count
+        self.names = pa.concat_arrays([self.names, names])
+        self.begin = np.concatenate([self.begin, begin])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+
+
 class Encoder:
     """Gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
@@ -50,8 +73,7 @@ class Encoder:
         # How the blank before a word counts: with the word, or not at all.
         self.lead = "" if dropped else (" " if spaced else None)
         self.lowers = dropped and self._plain("Aé") == self._plain("aé") == self._plain("aÉ")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if self.lead == "" else {}
+        self.table = _Table()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,61 +103,59 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.lead is None:
             return _joined([self._plain(t) for t in texts.to_pylist()])
-        if len(self.first) + len(self.later) > MOST_CHUNKS:
-            self.first.clear()
-            self.later.clear()
+        if len(self.table.names) > MOST_WORDS:
+            self.table = _Table()
         dropped = self.lead == ""
         lists = pc.split_pattern(self._spaced(texts) if dropped else texts, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        codes = coded.indices.to_numpy().astype(np.int64)
         starts -= starts[0] if len(starts) else 0
-        # A text's first chunk has no blank before it: codes of such come after the others.
-        if not dropped and len(codes):
-            codes[starts[:-1]] += len(names)
-        used = np.unique(codes)
-        later = [names[i] for i in used[used < len(names)]]
-        heads = [names[i - len(names)] for i in used[used >= len(names)]]
-        tables = (self.first, self.later)
-        compound = self._learn(set(heads).difference(self.first), set(later).difference(self.later))
-        pool = [tables[1].get(n) or compound[1].get(n) for n in later]
-        pool += [tables[0].get(n) or compound[0].get(n) for n in heads]
-        if dropped:
-            pool = [b"" if p is None and not n else p for p, n in zip(pool, later + heads)]
-        place = np.zeros(2 * len(names), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        codes = place[codes]
-        unknown = np.array([p is None for p in pool], dtype=bool)
-        odd = np.zeros(len(texts), dtype=bool)
-        if unknown.any():
-            odd[np.searchsorted(starts, np.flatnonzero(unknown[codes]), side="right") - 1] = True
+        pieces = lists.flatten()
+        heads = starts[:-1] if not dropped else starts[:0]
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        names = coded.dictionary
+        # The text's first chunk has no blank before it: it is marked by a null byte.
+        first = pieces.take(pa.array(heads)).dictionary_encode()
+        zero, none = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+        marked = pc.binary_join_element_wise(zero, first.dictionary, none)
+        codes[heads] = len(names) + first.indices.to_numpy().astype(np.int64)
+        names = pa.concat_arrays([names, marked.cast(pa.large_string())])
+        known = self.table.find(names)
+        used = np.zeros(len(names), dtype=bool)
+        used[codes] = True
+        missing = np.flatnonzero((known < 0) & used)
+        made, sizes = self._learn(names.take(pa.array(missing)).to_pylist())
+        table = self.table
+        # Each chunk is a run of table entries: one, or those of its parts.
+        entries = [known, made]
+        begin, count = np.arange(len(names)), np.ones(len(names), dtype=np.int64)
+        begin[missing] = len(names) + np.cumsum(sizes) - sizes
+        count[missing] = sizes
+        odd = np.zeros(len(names), dtype=bool)
+        odd[missing] = sizes == 0
+        begin, count, at = begin[codes], count[codes], len(names) + len(made)
+        extra = []
         if odd.any():
-            pool = [b"" if p is None else p for p in pool]
-            lone = np.flatnonzero(odd)
-            cover = np.repeat(odd, np.diff(starts))
-            own = len(pool) + np.arange(len(lone))
-            pool += [
-                np.array(self._plain(texts[int(i)].as_py()), dtype="<u4").tobytes() for i in lone
-            ]
-            codes[starts[:-1][odd]] = own
-            cover[starts[:-1][odd]] = False
-            sizes = np.diff(starts)
-            sizes[odd] = 1
-            codes, starts = codes[~cover], np.concatenate([[0], np.cumsum(sizes)])
-        lengths = np.fromiter((len(p) >> 2 for p in pool), np.int64, len(pool))
-        flat = np.frombuffer(b"".join(pool), "<u4")
-        begin = np.cumsum(lengths) - lengths
-        counts = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        index = np.repeat(begin[codes] - ends[:-1], counts)
-        index += np.arange(len(index))
-        return flat[index], ends[starts]
+            wrong = np.unique(np.searchsorted(starts, np.flatnonzero(odd[codes]), side="right") - 1)
+            for i in wrong.tolist():
+                count[starts[i] : starts[i + 1]] = 0
+                begin[starts[i]], count[starts[i]] = at + len(extra), 1
+                extra.append(np.array(self._plain(texts[i].as_py()), dtype=np.uint32))
+            entries.append(len(table.begin) + np.arange(len(extra)))
+        run, ends = _runs(np.concatenate(entries), begin, count)
+        starts = ends[starts]
+        more = np.fromiter(map(len, extra), np.int64, len(extra))
+        begin = np.concatenate([table.begin, len(table.flat) + np.cumsum(more) - more])
+        count = np.concatenate([table.count, more])
+        flat = np.concatenate([table.flat, *extra]) if extra else table.flat
+        ids, ends = _runs(flat, begin[run], count[run])
+        return ids, ends[starts]
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(place, count, ids, starts) of consecutive parts of ``texts``, a few megabytes each."""
-        for at, part in slices(texts, 2 * SLICE_BYTES):
+        for at, part in slices(texts, 4 * SLICE_BYTES):
             yield at, len(part), *self.encode(part)
+        pa.default_memory_pool().release_unused()
 
     def _spaced(self, texts: pa.Array) -> pa.Array:
         """The texts with more single blanks, where white space is dropped: for line
@@ -149,60 +169,72 @@ class Encoder:
         kept = [pc.match_substring(lower, s, ignore_case=False) for s in self.special]
         return texts if any(pc.any(k).as_py() for k in kept) else lower
 
-    def _learn(self, heads: set[str], rest: set[str]) -> tuple[dict, dict]:
-        """Enter the words of chunks that start a text and of chunks behind a blank.
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Enter the words of new chunks; a chunk at a text's start begins with a null byte.
 
-        Gives the ids of chunks of several parts; chunks that don't stand alone have none.
+        Gives the entries of all chunks one after another, and how many each has; a
+        chunk that doesn't stand alone has none.
         """
-        tables = (self.first, self.later)
-        if self.lead == "":
-            heads, rest = heads | rest, set()
-        made, bare = [], (set(), set())
-        for at, chunks in enumerate((heads, rest)):
-            for chunk in chunks:
-                plain = _PLAIN(chunk)
-                if plain:
-                    word, marks = plain.groups()
-                    if self.lowers:
-                        word = word.lower()
-                    parts = [(word, at), (marks, 0)] if marks else [(word, at)]
-                elif _stands_alone(chunk):
-                    parts = self._parts(chunk, at)
-                else:
-                    continue
-                for name, where in parts:
-                    if name not in tables[where]:
-                        bare[where].add(name)
-                if len(parts) > 1 or parts[0][0] != chunk:
-                    made.append((chunk, at, parts))
-        for where, table in enumerate(tables):
-            names = list(bare[where])
-            lead = self.lead if where else ""
-            for i in range(0, len(names), 4096):
-                some = names[i : i + 4096]
-                table.update(zip(some, self._batch([lead + x for x in some])))
-        compound: tuple[dict, dict] = ({}, {})
-        for chunk, at, parts in made:
-            compound[at][chunk] = b"".join([tables[w][n] for n, w in parts])
-        return compound if self.lead != "" else (compound[0], compound[0])
-
-    def _parts(self, chunk: str, at: int) -> list[tuple[str, int]]:
+        flat: list[str] = []
+        sizes = np.zeros(len(chunks), dtype=np.int64)
+        spaced = self.lead != ""
+        for i, chunk in enumerate(chunks):
+            at = "\0" if spaced and chunk[:1] == "\0" else ""
+            body = chunk[1:] if at else chunk
+            plain = _PLAIN(body)
+            if plain:
+                word, marks = plain.groups()
+                flat.append(at + word.lower() if self.lowers else at + word)
+                sizes[i] = 1
+                if marks:
+                    flat.append("\0" + marks if spaced else marks)
+                    sizes[i] = 2
+            elif not body and not spaced:
+                flat.append("")
+                sizes[i] = 1
+            elif _stands_alone(body) and "\0" not in body:
+                parts = self._parts(body, at)
+                flat += parts
+                sizes[i] = len(parts)
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        names = coded.dictionary
+        new = names.filter(pa.array(self.table.find(names) < 0))
+        fresh, ids = new.to_pylist(), []
+        for i in range(0, len(fresh), 4096):
+            some = fresh[i : i + 4096]
+            ids += self._batch([x[1:] if x[:1] == "\0" else self.lead + x for x in some])
+        self.table.add(new, ids)
+        return self.table.find(names)[coded.indices.to_numpy()], sizes
+
+    def _bare(self, part: str) -> str:
+        """Name of a part that no blank precedes."""
+        return part if self.lead == "" else "\0" + part
+
+    def _parts(self, chunk: str, at: str) -> list[str]:
         """The chunk cut where it is safe: a Latin word, its closing marks, one line break.
 
-        1 stands for a part behind a blank, 0 for one without. Tokenizers that
-        drop white space also lower-case, which is done here for plain letters.
+        Tokenizers that drop white space also lower-case, which is done here for
+        plain letters.
         """
         left, broken, right = chunk.partition("\n")
         if broken:
             if not (_stands_alone(left) and _stands_alone(right)):
-                return [(chunk, at)]
-            return [*self._parts(left, at), ("\n", 0), *self._parts(right, 0)]
+                return [at + chunk]
+            return [*self._parts(left, at), self._bare("\n"), *self._parts(right, self._bare(""))]
         plain = _PLAIN(chunk)
         if not plain:
-            return [(chunk, at)]
+            return [at + chunk]
         word, marks = plain.groups()
-        word = word.lower() if self.lowers else word
-        return [(word, at), (marks, 0)] if marks else [(word, at)]
+        word = at + (word.lower() if self.lowers else word)
+        return [word, self._bare(marks)] if marks else [word]
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat[begin:begin + count]`` of every run in turn, and the ends of the runs after 0."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    index = np.repeat(begin - ends[:-1], count)
+    index += np.arange(len(index))
+    return flat[index], ends
 
 
 def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

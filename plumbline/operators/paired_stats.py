@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import DESCRIPTIVE_METRICS, TIE_TOLERANCE
@@ -216,13 +216,20 @@ def arm_ratio_matrix(
     """Geometric ratio of every listed arm pair for every time field.
 
     The arms of a block become columns in one aggregation; no self-join per pair.
+    An arm that ran twice in a block is an error.
     """
     names = sorted({a for pair in comparisons for a in pair})
+
+    def once(a: str, t: str) -> Column:
+        value = F.when(F.col("arm") == a, E.penalised_time("complete", t, limit))
+        twice = F.raise_error(F.lit(f"arm {a} ran twice in a block")).cast("double")
+        return F.when(F.count_if(F.col("arm") == a) > 1, twice).otherwise(
+            F.first(value, ignorenulls=True)
+        )
+
     wide = cells.groupBy(*keys).agg(
         *[
-            F.first(
-                F.when(F.col("arm") == a, E.penalised_time("complete", t, limit)), ignorenulls=True
-            ).alias(f"{t}@{a}")
+            once(a, t).alias(f"{t}@{a}")
             for a in names
             for t in times
         ]

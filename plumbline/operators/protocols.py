@@ -45,8 +45,9 @@ def assign_strata(
         units.where(F.col(split) == "train").select(named.alias("_g")).where("_g <> ''").distinct()
         .withColumn("_seen", F.lit(True))
     )
-    joined = units.withColumn("_g", named).join(trained, "_g", "left")
-    has = F.col("_g") != ""
+    # Units without a group have no key, so they don't meet in one task.
+    joined = units.withColumn("_g", F.nullif(named, F.lit(""))).join(trained, "_g", "left")
+    has = F.col("_g").isNotNull()
     stratum = (
         F.when((F.col(split) == "train") & has, "training_grouped")
         .when(F.col(split) == "train", "training_ungrouped")
