@@ -82,7 +82,15 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
     """One pass: per document the size and fingerprint of its set; per task the counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.uint32)
+
+        def count(held: list) -> None:
+            if held:
+                place = (np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                some, n = np.unique(place, return_counts=True)
+                total[some] += n.astype(np.uint32)
+                held.clear()
+
         for batch in batches:
             rows, held, signs = [], [], []
             for _, s in _sets(batch.column(1), size, lower):
@@ -90,9 +98,9 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
                     rows.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)))
                 signs.append(parity(s, num, den))
                 held.append(s)
-            if held:
-                place = np.concatenate(held) & np.uint64(COUNTERS - 1)
-                total += np.bincount(place.astype(np.int64), minlength=COUNTERS)
+                if len(held) >= 512:
+                    count(held)
+            count(held)
             n, a, b = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0),) * 3
             k = len(rows)
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +155,7 @@ def _entries(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Ranks by powers of a quarter: equal counts, and nearly equal ones, go by hash.
-        ranks = (4 * np.log2(counters.value.astype(float) + 1)).astype(np.uint64)
+        ranks = (4 * np.log2(counters.value.astype(np.float32) + 1)).astype(np.uint8)
         for batch in batches:
             ids, out = batch.column(0).to_numpy(), []
             for i, s in _sets(batch.column(1), size, lower):
@@ -156,7 +164,7 @@ def _entries(
                     continue
                 with np.errstate(over="ignore"):
                     mark = s.sum(dtype=np.uint64) >> np.uint64(33)
-                rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                 order = (rank << np.uint64(56)) | (mixed(s + np.uint64(1)) >> np.uint64(8))
                 p = min(n, prefix_length(n, num, den))
                 first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
