@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.fm_index import FMIndex
 from plumbline.llm.membership import membership, thinned
-from plumbline.llm.words import _BACK, _BASE, Words, _power, grams, mixed, slices
+from plumbline.llm.words import _BACK, _BASE, Words, _power, grams, mixed, release, slices
 from plumbline.session import materialize
 
 WINDOW = 50
@@ -234,6 +234,7 @@ def removed_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     def search(group: pd.DataFrame) -> pd.DataFrame:
         texts = pa.array(group["text"].tolist(), pa.large_string())
         found = smallest_holders(texts, group["doc_id"].to_numpy(), window)
+        release()
         return pd.DataFrame(
             {
                 "anchor": group["anchor"], "content": group["content"], "windows": group["windows"],

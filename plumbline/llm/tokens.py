@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from plumbline.llm.words import SLICE_BYTES, slices
 
-MOST_WORDS = 700_000  # entries of a worker's table, some 40 bytes each
+MOST_WORDS = 400_000  # entries of a worker's table, some 40 bytes each
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -155,7 +155,6 @@ class Encoder:
         """(place, count, ids, starts) of consecutive parts of ``texts``, a few megabytes each."""
         for at, part in slices(texts, 4 * SLICE_BYTES):
             yield at, len(part), *self.encode(part)
-        pa.default_memory_pool().release_unused()
 
     def _spaced(self, texts: pa.Array) -> pa.Array:
         """The texts with more single blanks, where white space is dropped: for line

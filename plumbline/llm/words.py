@@ -7,6 +7,8 @@ a megabyte at a time; a longer text makes a slice of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +98,13 @@ class Words:
         return mixed(got ^ (self.ends - self.starts).astype(np.uint64))
 
 
+def release() -> None:
+    """Give memory of freed arrays back; a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(place, part) of consecutive parts of about ``limit`` bytes or one text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -105,6 +114,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield begin, texts.slice(begin, end - begin)
         begin = end
+    release()
 
 
 _ODD = (_powers(0xD1342543DE82EF95, 512, 1) | np.uint64(1))[1:]
