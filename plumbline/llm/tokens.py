@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from plumbline.llm.words import SLICE_BYTES, slices
 
-MOST_WORDS = 400_000  # entries of a worker's table, some 40 bytes each
+MOST_WORDS = 1_000_000  # entries of a worker's table, some 40 bytes each
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
