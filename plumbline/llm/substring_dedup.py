@@ -147,10 +147,10 @@ def _single_windows(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, doc_id, windows, text) of distinct passages, from one document each."""
+    """(anchor, content, doc_id, windows, deal, text) of distinct passages, from one document each."""
     spark = docs.sparkSession
     lists = distinct.groupBy("doc_id", "mark").agg(
-        F.collect_list(F.struct("start", "windows", "anchor", "content")).alias("list")
+        F.collect_list(F.struct("start", "windows", "anchor", "content", "deal")).alias("list")
     )
     bits = spark.sparkContext.broadcast(membership(distinct, "doc_id"))  # of fixed size
 
@@ -166,19 +166,20 @@ def _texts_of(docs: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
                 for s in spans:
                     a, b = s["start"], s["start"] + s["windows"] + window - 2
                     body = data[words.starts[a] : words.ends[b]].decode()
-                    rows.append((s["anchor"], s["content"], d, s["windows"], body))
+                    rows.append((s["anchor"], s["content"], d, s["windows"], s["deal"], body))
             if rows:
-                anchor, content, doc, n, body = zip(*rows)
+                anchor, content, doc, n, deal, body = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor, pa.int64()), pa.array(content, pa.int64()),
-                        pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(body, pa.string()),
+                        pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(deal, pa.int64()),
+                        pa.array(body, pa.string()),
                     ],
-                    names=["anchor", "content", "doc_id", "windows", "text"],
+                    names=["anchor", "content", "doc_id", "windows", "deal", "text"],
                 )
 
     found = _joined(docs, lists, bits).select("doc_id", "text", "mark", "list")
-    return found.mapInArrow(run, "anchor long, content long, doc_id long, windows int, text string")
+    return found.mapInArrow(run, "anchor long, content long, doc_id long, windows int, deal long, text string")
 
 
 def smallest_holders(texts: pa.Array, docs: np.ndarray, window: int) -> list[np.ndarray]:
@@ -221,12 +222,14 @@ def removed_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     cold = shared.where(F.col("n") <= HOT_PASSAGES).drop("n")
     hot = shared.where(F.col("n") > HOT_PASSAGES).drop("n")
     where = F.min(F.struct("doc_id", "mark", "start")).alias("w")
-    distinct = cold.groupBy(*key).agg(where).select(*key, "w.*")
+    # A shard holds all passages of an anchor, or all windows of a content if the anchor is hot.
+    distinct = cold.groupBy(*key).agg(where).select(*key, "w.*", F.col("anchor").alias("deal"))
     if not hot.isEmpty():
         single = materialize(_single_windows(docs, hot, window), "windows")
         cold = cold.select(single.columns).unionByName(single)
         several = single.groupBy(*key).agg(where, F.max("doc_id").alias("last"))
-        distinct = distinct.unionByName(several.where("w.doc_id <> last").select(*key, "w.*"))
+        several = several.where("w.doc_id <> last").select(*key, "w.*", F.col("content").alias("deal"))
+        distinct = distinct.unionByName(several)
     distinct = materialize(distinct, "distinct")
     words = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
@@ -242,10 +245,7 @@ def removed_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
             }
         )
 
-    hot_key = F.when(F.col("windows") == 1, F.col("content")).otherwise(F.col("anchor"))
-    if hot.isEmpty():
-        hot_key = F.col("anchor")
-    shard = F.pmod(F.xxhash64(hot_key), F.lit(shards))
+    shard = F.pmod(F.xxhash64("deal"), F.lit(shards))
     searched = (
         _texts_of(docs, distinct, window).withColumn("shard", shard)
         .groupBy("shard").applyInPandas(search, "anchor long, content long, windows int, holders binary")

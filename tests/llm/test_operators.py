@@ -203,6 +203,19 @@ def test_without_repeats(documents, monkeypatch, hot):
     assert substring_dedup.without_repeats(documents(docs).limit(0)).count() == 0
 
 
+def test_cold_passages_go_by_anchor_beside_a_hot_one(documents, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_PASSAGES", 3)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
+    shared = prose(77, 70)
+    docs = [(i, f"{prose(300 + i, 20)} {shared}", "a") for i in range(9)]
+    for i in range(30):  # one window, and several that begin with it
+        pair = [prose(500 + i, 50), f"{prose(500 + i, 50)} {prose(600 + i, 6)}"]
+        docs += [(100 + 2 * i + k, t, "a") for k, t in enumerate(pair if i % 2 else pair[::-1])]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(documents(docs)).collect()}
+    assert [got[i] for i in range(9)] == [0] + [70] * 8
+    assert [got[100 + i] for i in range(60)] == [0, 50] * 30
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
