@@ -5,19 +5,23 @@ run before slot floor(j / w) and must run before slot ceil((j + 1) / w); of the
 blocks that may run, the one with the earliest deadline takes the slot. Then at any
 slot each source is less than one block away from its target.
 
-Weights are rounded to shares p of a cycle of Q slots, so the schedule repeats after
-Q slots and only one cycle is worked out, on the driver: Q depends on the number of
-sources alone. The slot of a block follows by arithmetic. When a source has run out,
-the weights of the others are scaled up and a new phase begins. No row is left out
-or repeated.
+Releases and deadlines are whole numbers worked out from the exact weights, without
+rounding. One task goes through the slots in order, holds a block per source and gives
+the schedule out in segments, which are joined to the rows by source and block. When a
+source has run out, the weights of the others are scaled up and a new phase begins, in
+which the deviation is counted anew. No row is left out or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +29,8 @@ from plumbline.operators.ordering import with_positions
 from plumbline.session import materialize
 
 BLOCK_ROWS = 64
-LEAST_CYCLE = 1024
 MOST_SOURCES = 1000
+SEGMENT = 1 << 16  # most slots of a segment
 
 
 def shares_of(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -40,47 +44,75 @@ def shares_of(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
-def one_cycle(shares: Mapping[str, int]) -> dict[str, np.ndarray]:
-    """Slots of each source's blocks in one cycle of sum(shares) slots."""
-    cycle = sum(shares.values())
-    future = [(0, -(-cycle // p), s, 0) for s, p in shares.items()]
+def scheduled(weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, number of its block) of slot after slot, without end."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(whole.values())
+    future = [(0, -(-total // w), s, 0) for s, w in whole.items()]
     heapq.heapify(future)
     ready: list = []
-    out: dict[str, list[int]] = {s: [] for s in shares}
-    for slot in range(cycle):
+    slot = 0
+    while True:
         while future and future[0][0] <= slot:
             _, deadline, s, j = heapq.heappop(future)
             heapq.heappush(ready, (deadline, s, j))
         deadline, s, j = heapq.heappop(ready)
         assert slot < deadline
+        yield s, j
+        nxt = ((j + 1) * total // whole[s], -(-(j + 2) * total // whole[s]), s, j + 1)
+        heapq.heappush(future, nxt)
+        slot += 1
+
+
+def one_cycle(shares: Mapping[str, int]) -> dict[str, np.ndarray]:
+    """Slots of each source's blocks in one cycle of sum(shares) slots."""
+    out: dict[str, list[int]] = {s: [] for s in shares}
+    for slot, (s, _) in enumerate(islice(scheduled(shares), sum(shares.values()))):
         out[s].append(slot)
-        if j + 1 < shares[s]:
-            p = shares[s]
-            nxt = ((j + 1) * cycle // p, -(-(j + 2) * cycle // p), s, j + 1)
-            heapq.heappush(future, nxt)
     return {s: np.array(x) for s, x in out.items()}
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple]:
-    """(source, first block, end block, first slot, cycle, share, slots in the cycle)."""
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple]:
+    """(source, first block, end block, first slot, slots, share, places) of each segment:
+    ``share`` blocks of the source stand in the segment's ``slots`` slots at ``places``."""
     left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    out, slot = [], 0
+    start = 0
     while left:
-        cycle = max(LEAST_CYCLE, 4 * len(left))
-        shares = shares_of({s: weights[s] for s in left}, cycle)
-        slots = one_cycle(shares)
-        last = {s: (n - 1) // shares[s] * cycle + int(slots[s][(n - 1) % shares[s]]) for s, n in left.items()}
-        end = min(last.values()) + 1
-        for s in list(left):
-            ran = end // cycle * shares[s] + int(np.searchsorted(slots[s], end % cycle))
-            if ran:
-                out.append((s, done[s], done[s] + ran, slot, cycle, shares[s], slots[s].tolist()))
-            done[s] += ran
-            left[s] -= ran
+        places: dict[str, list[int]] = {}
+        size = 0
+        for s, _ in scheduled({s: weights[s] for s in left}):
+            places.setdefault(s, []).append(size)
+            size += 1
+            left[s] -= 1
+            if size == SEGMENT or not left[s]:
+                for x, at in places.items():
+                    yield x, done[x], done[x] + len(at), start, size, len(at), at
+                    done[x] += len(at)
+                start, size, places = start + size, 0, {}
             if not left[s]:
                 del left[s]
-        slot += end
-    return out
+                break
+
+
+def _schedule(spark, blocks: Mapping[str, int], weights: Mapping[str, float]) -> DataFrame:
+    """(_s, block, slot) of every block, from one task that holds a segment at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(len(batch)):
+                for s, first, end, slot, _, _, places in phases(blocks, weights):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([s] * len(places), pa.string()),
+                            pa.array(np.arange(first, end, dtype=np.int64)),
+                            pa.array(np.array(places, dtype=np.int64) + slot),
+                        ],
+                        names=["_s", "block", "slot"],
+                    )
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "_s string, block long, slot long")
 
 
 def tempered(counts: Mapping[str, int], temperature: float = 2.0) -> dict[str, float]:
@@ -114,25 +146,15 @@ def mixed(
     if any(weights[s] <= 0 for s in counts):
         raise ValueError("weights must be positive")
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    plan = spark.createDataFrame(
-        phases(blocks, weights),
-        "_s string, first long, end long, slot0 long, cycle long, share long, slots array<long>",
-    )
     # Written once: rows that tie are numbered once and for all.
     placed = with_positions(keys.withColumn("_h", F.xxhash64("doc_id")), ["_s"], ["_h", "doc_id"])
     placed = materialize(placed.drop("_h"), "positions").withColumn(
         "block", F.floor((F.col("position") - 1) / block_rows)
     )
-    p = plan.withColumnRenamed("_s", "_ps")
-    here = (
-        (F.col("_s") == F.col("_ps")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    )
-    at = F.col("block") - F.col("first")
-    inner = F.element_at("slots", (at % F.col("share") + 1).cast("int"))
-    # A row per source and phase, at most MOST_SOURCES squared, with short lists.
-    return placed.join(F.broadcast(p), here).select(
-        "doc_id", "source", F.col("block").cast("long").alias("block"),
-        (F.col("slot0") + F.floor(at / F.col("share")) * F.col("cycle") + inner).cast("long").alias("slot"),
+    plan = materialize(_schedule(spark, blocks, weights), "schedule")
+    # A merge: the schedule grows with the rows and is not sent to every executor.
+    return placed.join(plan.hint("merge"), ["_s", "block"]).select(
+        "doc_id", "source", "block", "slot",
         ((F.col("position") - 1) % block_rows).cast("int").alias("place"),
     )
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -110,6 +111,23 @@ def test_phases_give_each_slot_to_one_block():
     assert seen == set(range(2703))
 
 
+@pytest.mark.parametrize("n", [20, 256, 1000])
+def test_phases_keep_the_given_weights_over_many_cycles(n):
+    rest = Fraction(2, 3) / (n - 1)
+    weights = {f"s{k}": rest if k else Fraction(1, 3) for k in range(n)}
+    slots = {s: [] for s in weights}
+    blocks = {s: int(40_000 * w) + 2 for s, w in weights.items()}
+    for s, first, end, slot0, cycle, share, places in phases(blocks, weights):
+        slots[s] += [slot0 + j // share * cycle + places[j % share] for j in range(end - first)]
+    last = min(x[-1] for x in slots.values())  # until a source runs out
+    assert last > 20_000
+    for s, w in weights.items():
+        own = [x for x in slots[s] if x <= last]
+        for j, slot in enumerate(own):
+            assert abs(j - w * slot) < 1 and abs(j + 1 - w * (slot + 1)) < 1
+        assert abs(len(own) - w * (last + 1)) < 1
+
+
 def test_fm_index_counts_patterns_and_finds_longest_matches():
     rng = random.Random(7)
     text = np.array([rng.randint(1, 4) for _ in range(400)] + [0])
