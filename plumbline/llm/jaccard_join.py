@@ -14,7 +14,10 @@ skipped through, rather than read, in three ways:
 * by derived answers: in a long list each set first asks only for the first and the
   last similar set before it. Sets linked so far share their answers: in the second
   turn only pairs of different components are asked, so a group of near copies doesn't
-  pair up within itself. All such pairs are asked, which makes the result exact.
+  pair up within itself. All such pairs are asked, which makes the components exact.
+
+Where the links themselves are asked for (``jaccard_pairs``, ``with_link_counts``), no
+answer is derived: every similar pair of every list is verified.
 
 Candidates are verified on whole sets. The counts are one table of fixed size
 (COUNTERS), summed over all texts; they order the shingles and decide nothing else.
@@ -40,6 +43,7 @@ COUNTERS = 1 << 21
 PIECE = 1 << 16  # counters in one row
 LIST_BLOCK = 64
 LIST_LIMIT = 50_000  # entries that a task holds of one list; longer lists are split
+PAIR_BATCH = 1 << 20  # pairs that a task holds before it gives them out
 SHORT_LIST = 32  # sets; in such a list all similar pairs are told at once
 
 
@@ -356,25 +360,39 @@ def _candidates(lists: DataFrame, num: int, den: int, everything: bool) -> DataF
             )
             parities = rows["parity"].to_pylist()
             cuts = np.flatnonzero(np.diff(token)) + 1
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            left, right, held = [], [], 0
+
+            def told():
+                u, v = np.concatenate(left), np.concatenate(right)
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                left.clear()
+                right.clear()
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"]
+                )
+
             sizes = np.diff(np.concatenate([[0], cuts, [len(token)]]))
             short = np.flatnonzero(np.repeat(sizes <= 4 * SHORT_LIST, sizes))
             some = [parities[i] for i in short]
             for u, v in of_short(token[short], ids[short], n[short], pos[short], some, label[short]):
                 left.append(u)
                 right.append(v)
+                held += len(u)
+                if held >= PAIR_BATCH:
+                    yield told()
+                    held = 0
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(token)]):
                 if b - a <= 4 * SHORT_LIST or (label[a:b] == label[a]).all():
                     continue
                 for u, v in of_list(ids[a:b], n[a:b], pos[a:b], parities[a:b], label[a:b]):
                     left.append(u)
                     right.append(v)
-            u, v = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"]
-                )
+                    held += len(u)
+                    if held >= PAIR_BATCH:
+                        yield told()
+                        held = 0
+            if left:
+                yield told()
 
     ordered = lists.select(*names).repartition("token").sortWithinPartitions("token")
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -417,10 +435,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_links(
-    docs: DataFrame, *, size: int, least: tuple[int, int], lower: bool, doc_id: str, text: str
+    docs: DataFrame, *, size: int, least: tuple[int, int], lower: bool, doc_id: str, text: str,
+    every: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(profile, links): a row per document with its set's size and representative, and
-    verified links between representatives that give all components."""
+    verified links (a, b) between representatives: all of them if ``every`` is asked for,
+    or else enough to give all components."""
     spark = docs.sparkSession
     num, den = least
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -451,13 +471,53 @@ def jaccard_links(
         whole = _whole_sets(known, materialize(ids, "ids"), size, lower)
         return materialize(_verified(pairs, whole, num, den), "links")
 
-    links = linked(shared, F.col("id"), False)
+    links = linked(shared, F.col("id"), every)
+    if every:
+        return profile.join(sets.drop("parity"), ["f1", "f2"], "left"), links
     labels = materialize(components(links), "labels")
     rest = shared.where("long").join(labels, "id", "left")
     more = linked(rest, F.coalesce("label", "id"), True)
     return profile.join(sets.drop("parity"), ["f1", "f2"], "left"), links.unionByName(more)
 
 
+def jaccard_pairs(
+    docs: DataFrame, *, size: int = 5, least: tuple[int, int] = (80, 100), lower: bool = False,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(a, b) of all links between different sets, a < b, each once.
+
+    A set goes by its smallest doc_id, ``set_id`` of ``jaccard_components``. In a group
+    of n near copies that all link these are n * (n - 1) / 2 rows.
+    """
+    return jaccard_links(
+        docs, size=size, least=least, lower=lower, doc_id=doc_id, text=text, every=True
+    )[1]
+
+
+def with_link_counts(
+    docs: DataFrame, *, size: int = 5, least: tuple[int, int] = (80, 100), lower: bool = False,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every row: with how many other rows it links, those
+    of an equal set among them. A row without words has none, one without doc_id null."""
+    profile, links = jaccard_links(
+        docs, size=size, least=least, lower=lower, doc_id=doc_id, text=text, every=True
+    )
+    rows = materialize(profile, "profile")
+    copies = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("_o"))
+    both = both.union(links.select("b", "a"))
+    near = both.join(copies.select(F.col("id").alias("_o"), "c"), "_o").groupBy("id").agg(F.sum("c").alias("_near"))
+    counts = copies.join(near, "id", "left").select(
+        "id", (F.col("c") - 1 + F.coalesce("_near", F.lit(0))).alias("_links")
+    )
+    n_links = F.when(F.col("n") > 0, F.col("_links")).otherwise(F.lit(0))
+    return rows.join(counts, "id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), n_links).cast("long").alias("n_links"),
+    )
+
+
 def jaccard_components(
     docs: DataFrame, *, size: int = 5, least: tuple[int, int] = (80, 100), lower: bool = False,
     doc_id: str = "doc_id", text: str = "text",

@@ -176,6 +176,22 @@ def test_jaccard_components(documents, monkeypatch, size, num, lower, limit):
     assert jaccard_join.jaccard_components(documents(docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1 << 20, 50])
+def test_all_links_of_a_large_group(documents, monkeypatch, batch):
+    monkeypatch.setattr(jaccard_join, "PAIR_BATCH", batch)
+    base = prose(50, 60).split()
+    docs = [(i, " ".join([*base[:30], f"w{i}", *base[30:], f"v{i % 7}"])) for i in range(150)]
+    docs += [(500 + i, docs[i][1]) for i in range(5)] + [(600, None), (601, prose(9, 40)), (None, docs[0][1])]
+    words = {d: t.split() for d, t in docs if t and d is not None}
+    sets = {d: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for d, w in words.items()}
+    alike = {d: [e for e in sets if e != d and 10 * len(sets[d] & sets[e]) >= 8 * len(sets[d] | sets[e])] for d in sets}
+    names = {"size": 3, "least": (8, 10)}
+    pairs = sorted(rows_of(jaccard_join.jaccard_pairs(documents(docs), **names)))
+    assert pairs == [(a, b) for a in range(150) for b in sorted(alike[a]) if a < b < 150] and len(pairs) > 10_000
+    got = {r.doc_id: r.n_links for r in jaccard_join.with_link_counts(documents(docs), **names).collect()}
+    assert got == {**{d: len(x) for d, x in alike.items()}, 600: 0, None: None}
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_without_repeats(documents, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT_PASSAGES", hot)
