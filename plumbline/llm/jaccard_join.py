@@ -53,6 +53,12 @@ def _sets(batch_column: pa.Array, size: int, lower: bool) -> Iterator[tuple[int,
             yield at + i, s
 
 
+def _fingerprint(hashes: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for the set, wherever sets are told apart."""
+    with np.errstate(over="ignore"):
+        return hashes.sum(dtype=np.uint64), mixed(hashes).sum(dtype=np.uint64)
+
+
 def parity(hashes: np.ndarray, num: int, den: int) -> bytes:
     """Parities of the set over buckets, whose number is a power of two that follows
     the size: four for each shingle that may differ."""
@@ -98,8 +104,7 @@ def _profile(docs: DataFrame, size: int, num: int, den: int, lower: bool) -> Dat
         for batch in batches:
             rows, held, signs = [], [], []
             for _, s in _sets(batch.column(1), size, lower):
-                with np.errstate(over="ignore"):
-                    rows.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)))
+                rows.append((len(s), *_fingerprint(s)))
                 signs.append(parity(s, num, den))
                 held.append(s)
                 if len(held) >= 512:
@@ -153,8 +158,8 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
 def _entries(
     docs: DataFrame, counters, size: int, num: int, den: int, lower: bool, common: bool = False
 ) -> DataFrame:
-    """(token, id, mark, n, pos): the prefix of every document's set; ``mark`` is a short
-    fingerprint of the set. ``common`` gives only shingles that may be in over LIST_LIMIT
+    """(token, id, f1, f2, n, pos): the prefix of every document's set; ``f1`` and ``f2`` are
+    the set's fingerprint, as in the profile. ``common`` gives only shingles that may be in over LIST_LIMIT
     sets, as their counter tells; the counter of any other is a bound of its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +171,7 @@ def _entries(
                 n = len(s)
                 if not n:
                     continue
-                with np.errstate(over="ignore"):
-                    mark = s.sum(dtype=np.uint64) >> np.uint64(33)
+                f1, f2 = _fingerprint(s)
                 rank = ranks[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                 order = (rank << np.uint64(56)) | (mixed(s + np.uint64(1)) >> np.uint64(8))
                 p = min(n, prefix_length(n, num, den))
@@ -175,26 +179,27 @@ def _entries(
                 first = first[np.argsort(order[first])]
                 if common:
                     first = first[counters.value[(s[first] & np.uint64(COUNTERS - 1)).astype(np.int64)] > LIST_LIMIT]
-                out.append((s[first], ids[i], mark, n, len(first)))
+                out.append((s[first], ids[i], f1, f2, n, len(first)))
             if not out:
                 continue
-            times = np.array([x[4] for x in out])
+            times = np.array([x[5] for x in out])
             if not times.sum():
                 continue
             columns = [
                 np.concatenate([x[0] for x in out]).view(np.int64),
                 np.repeat(np.array([x[1] for x in out], dtype=np.int64), times),
-                np.repeat(np.array([x[2] for x in out]).astype(np.int32), times),
-                np.repeat(np.array([x[3] for x in out], dtype=np.int32), times),
+                np.repeat(np.array([x[2] for x in out], dtype=np.uint64), times).view(np.int64),
+                np.repeat(np.array([x[3] for x in out], dtype=np.uint64), times).view(np.int64),
+                np.repeat(np.array([x[4] for x in out], dtype=np.int32), times),
                 np.arange(times.sum(), dtype=np.int32)
                 - np.repeat(np.cumsum(times) - times, times).astype(np.int32),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_ENTRY)
 
-    return docs.mapInArrow(run, "token long, id long, mark int, n int, pos int")
+    return docs.mapInArrow(run, "token long, id long, f1 long, f2 long, n int, pos int")
 
 
-_ENTRY = ["token", "id", "mark", "n", "pos"]
+_ENTRY = ["token", "id", "f1", "f2", "n", "pos"]
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -228,7 +233,7 @@ def _split(entries: DataFrame, long_lists: DataFrame) -> DataFrame:
     ``long_lists`` holds (token, blocks). Every two entries of a list meet again, and no
     list is longer than two blocks.
     """
-    own = F.pmod(F.xxhash64("id", "mark"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("id", "f1"), F.col("blocks"))
     rows = entries.join(long_lists, "token", "left").withColumn("_own", own)
     other = F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("_other", F.explode(F.coalesce(other, F.array(F.lit(0).cast("long")))))
@@ -246,11 +251,11 @@ def _shared(entries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches, _ENTRY):
-            token, ids, mark, n, pos = (rows[c].to_numpy() for c in _ENTRY)
-            order = np.lexsort((ids, mark, n, token))
-            t, m, k = token[order], mark[order], n[order]
+            token, ids, f1, f2, n, pos = (rows[c].to_numpy() for c in _ENTRY)
+            order = np.lexsort((ids, f2, f1, token))
+            t, x, y = token[order], f1[order], f2[order]
             new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (m[1:] != m[:-1]) | (k[1:] != k[:-1])
+            new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             keep = order[new]
             _, place, count = np.unique(t[new], return_inverse=True, return_counts=True)
             count = count[place]

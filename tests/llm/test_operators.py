@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,6 +26,7 @@ from plumbline.llm import (
     topk,
     url_filter,
 )
+from plumbline.llm.words import Words, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -176,6 +178,18 @@ def test_jaccard_components(documents, monkeypatch, size, num, lower, limit):
     assert jaccard_join.jaccard_components(documents(docs).limit(0)).count() == 0
 
 
+def test_sets_that_agree_in_31_bits_keep_their_links(documents):
+    base = [f"b{k}" for k in range(90)]
+    docs = [(i, " ".join([*base[:45], f"w{i}", *base[45:]])) for i in (17, 84382, 28404, 88724)]
+    sums = [
+        int(s.sum(dtype=np.uint64)) >> 33
+        for s in shingle_sets(Words(pa.array([t for _, t in docs], pa.large_string()), True), 3)
+    ]
+    assert sums[0] == sums[1] != sums[2] == sums[3]
+    found = jaccard_join.jaccard_components(documents(docs), size=3, least=(90, 100), lower=True)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict.fromkeys((17, 84382, 28404, 88724), 17)
+
+
 @pytest.mark.parametrize("batch", [1 << 20, 50])
 def test_all_links_of_a_large_group(documents, monkeypatch, batch):
     monkeypatch.setattr(jaccard_join, "PAIR_BATCH", batch)
