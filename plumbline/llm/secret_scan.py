@@ -1,7 +1,8 @@
 """Secret scan: known forms, and strings that a battery of randomness tests calls random.
 
 The known forms are assignments, access keys and hexadecimal runs. Other long
-strings are tested in the alphabet of their inferred encoding. Against "drawn
+strings are tested in the alphabet of their inferred encoding; a run that no encoding
+holds, such as a path with both / and -, is tested by its parts. Against "drawn
 evenly from the alphabet" stand a chi-squared test of even use, a runs test and a
 test of serial correlation, combined by Fisher's method: ordered or repetitive
 strings fail it. Against "written like the corpus" stands the chi-squared value
@@ -66,6 +67,26 @@ def encoding_of(string: str) -> str | None:
     return next((n for n, s in _SYMBOLS.items() if used <= s.keys()), None)
 
 
+def tested_parts(string: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: all of it if an encoding holds it, or else
+    its parts between separators of at least LEAST characters.
+
+    Parts between / and -, and if no encoding holds them between _ as well, are the finest.
+    Parts between - and _ (base64) and between + and / (base64url) may overlap these, so
+    that a key that holds a separator itself is tested whole too.
+    """
+    if encoding_of(string):
+        return [(0, len(string))]
+    out = set()
+    for separators in ("/-", "-_", "+/"):
+        for m in re.finditer(f"[^{separators}]+", string):
+            parts = [m.span()]
+            if not encoding_of(m.group()):
+                parts = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[^_]+", m.group())]
+            out.update((a, b) for a, b in parts if b - a >= LEAST)
+    return sorted(out)
+
+
 def _upper(z: float) -> float:
     return max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
 
@@ -165,11 +186,12 @@ def found_strings(docs: DataFrame, corpus: np.ndarray, doc_id: str, text: str) -
                         taken = [(a, b) for a, _, b in spans]
                         for m in STRING.finditer(body) if longest[i] >= LEAST else ():
                             string = m.group().rstrip("=")
-                            kind = encoding_of(string)
-                            a, b = m.span()
-                            if kind and not any(a < y and x < b for x, y in taken):
-                                even, prose = battery(string, kind, corpus)
-                                strings.append((a, b, even, prose))
+                            for x, y in tested_parts(string):
+                                inner = string[x:y]
+                                a, b = m.start() + x, m.end() if y == len(string) else m.start() + y
+                                if not any(a < v and u < b for u, v in taken):
+                                    even, prose = battery(inner, encoding_of(inner), corpus)
+                                    strings.append((a, b, even, prose))
                     base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                     tested.append(
                         [{"start": a, "end": b, "even": e, "prose": p} for a, b, e, p in strings]
@@ -225,7 +247,8 @@ def find_secrets(
 
     Places are code points, ends exclusive. A null text is an empty one and has no
     spans; rows that repeat stay; an empty table gives no rows. A random string that
-    touches a known form is not told again.
+    touches a known form is not told again; of parts that hold one another the smallest
+    that counts is told.
     """
     # Written once: the threshold and the result read the same strings.
     found = materialize(found_strings(docs, byte_counts(docs, text), doc_id, text), "strings")
@@ -236,6 +259,14 @@ def find_secrets(
         * F.log10(F.greatest(F.least(F.lit(1.0), t["prose"] * mean / F.sqrt(length(t))), F.lit(1e-300)))
     )
     random = F.filter("tested", lambda t: (t["even"] >= EVEN_LEVEL) & (F.least(F.lit(GRID_END), point(t)) >= first))
+    random = F.filter(
+        random,
+        lambda t: ~F.exists(
+            random,
+            lambda o: (o["start"] >= t["start"]) & (o["end"] <= t["end"])
+            & (o["end"] - o["start"] < t["end"] - t["start"]),
+        ),
+    )
     random = F.transform(
         random,
         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")),

@@ -306,6 +306,21 @@ def test_secrets(documents):
     assert secret_scan.find_secrets(documents(docs).limit(0)).count() == 0
 
 
+def test_secrets_in_paths_of_mixed_separators(documents):
+    rng = random.Random(5)
+    key, other = ("".join(rng.choices(secret_scan.ENCODINGS["base62"], k=48)) for _ in range(2))
+    docs = [
+        (1, f"see https://hooks.example.com/svc-a/T0AB/{key} now"), (2, f"in a_b/c-d/{other}_old/x+y"),
+        (3, LONG), (4, "at com/svc-a/some_path/that-is_only/words+and/more-words_than/keys"),
+        (5, f"my-key/{key[:15]}/{key[15:30]}+{key[30:]}"),
+    ]
+    rows = secret_scan.find_secrets(documents(docs)).collect()
+    text = dict(docs)
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "random"] for r in rows}
+    assert got[1] == [key] and any(other in x for x in got[2]) and got[3] == got[4] == []
+    assert any(key[30:] in x for x in got[5])
+
+
 def test_url_filter(spark):
     urls = [
         "http://A.Example.org/es/x?q=/en", "https://example.org/en/12", "http://notexample.org/es/",
