@@ -91,11 +91,16 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_BASE, np.arange(n), n), out=sums[1:])
-        got = (sums[self.ends] - sums[self.starts]) * _power(_BACK, self.starts, n)
-        return mixed(got ^ (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, np.arange(n), n), out=sums[1:])
+    got = (sums[ends] - sums[starts]) * _power(_BACK, starts, n)
+    return mixed(got ^ (ends - starts).astype(np.uint64))
 
 
 def release() -> None:

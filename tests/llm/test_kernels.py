@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import exact_dedup, packing, secret_scan, token_files
+from plumbline.llm import exact_dedup, packing, secret_scan, token_files, tokens
 from plumbline.llm.fm_index import FMIndex
 from plumbline.llm.mixing import one_cycle, phases, shares_of
 from plumbline.llm.substring_dedup import least_of, smallest_holders
@@ -193,7 +193,7 @@ PIECES = ["a", "B", "the", "é", "É", "İ", "ß", "ﬁ", "é", "́", "'s", "'"
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14), max_size=6))
-@settings(max_examples=250, deadline=None)
+@settings(max_examples=1000, deadline=None)
 def test_encoder_equals_the_library(name, lists):
     enc = encoder(public_tokenizers.path(name))
     texts = ["".join(x) for x in lists] + [None]
@@ -201,3 +201,27 @@ def test_encoder_equals_the_library(name, lists):
     for i, t in enumerate(texts):
         want = enc.tokenizer.encode(t or "", add_special_tokens=False).ids
         assert ids[starts[i] : starts[i + 1]].tolist() == want, repr(t)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_known_and_new_words_equal_the_library(name):
+    rng = random.Random(6)
+    enc = encoder(public_tokenizers.path(name))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEÉÀßÿïªµº"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000)]
+    for _ in range(3):  # new ones, known ones, and both
+        texts = [" ".join(w + rng.choice(["", "", ".", ",\n", "\n", " \n", "-x", "\n\n"]) for w in rng.choices(words, k=40)) for _ in range(60)]
+        ids, starts = enc.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[starts[i] : starts[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        words += ["".join(rng.choices(letters, k=6)) for _ in range(1000)]
+
+
+def test_names_of_one_hash_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "_hashes", lambda data, at: (np.diff(at) % 3).astype(np.uint64))
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two three four five six", "six five four one", "two  seven\neight nine"] * 2
+    for _ in range(2):
+        ids, starts = enc.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[starts[i] : starts[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
