@@ -28,13 +28,17 @@ SCALE = 256
 
 def integer_vectors(rows: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * x) of each component; rows with a missing, empty or
-    non-finite vector or a null id take no part."""
+    non-finite vector or a null id take no part. A component that leaves a long raises."""
     x = F.col(embedding)
-    # 1e12 keeps every product of two components well inside a double's range.
-    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < 1e12))
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    fit = F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & sound
-    return rows.where(fit).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    scaled = lambda c: F.floor(F.when(_fits(c.cast("double") * scale), c.cast("double") * scale).otherwise(
+        F.raise_error(F.lit("a component leaves the range of a long")).cast("double")))
+    fit = F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, finite)
+    return rows.where(fit).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, scaled).alias("v"))
+
+
+def _fits(c):
+    return (c >= -float(1 << 63)) & (c < float(1 << 63))
 
 
 def _blocks(vectors: DataFrame, size: int, total: int) -> DataFrame:
@@ -66,13 +70,24 @@ def _blocks(vectors: DataFrame, size: int, total: int) -> DataFrame:
 
 
 def _scores(q: bytes, c: bytes, dim: int) -> np.ndarray:
-    """Inner products of two blocks, exact: by doubles while they can hold them."""
+    """Inner products of two blocks, exact: by doubles while they can hold them, by longs
+    while those can, by Python's integers for the pairs beyond. A score that leaves a long
+    raises."""
     a = np.frombuffer(q, "<i8").reshape(-1, dim)
     b = np.frombuffer(c, "<i8").reshape(-1, dim)
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * dim
-    if most < 1 << 53:
+    most_a, most_b = (np.maximum(x.max(axis=1).astype(float), -x.min(axis=1).astype(float)) for x in (a, b))
+    most = most_a.max(initial=0) * most_b.max(initial=0) * dim
+    if most < 1 << 52:
         return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
+    out = a @ b.T
+    if most >= 1 << 62:
+        for i in np.flatnonzero(most_a * most_b.max(initial=0) * dim >= 1 << 62).tolist():
+            wide = np.flatnonzero(most_a[i] * most_b * dim >= 1 << 62)
+            exact = (b[wide].astype(object) * a[i].astype(object)).sum(axis=1)
+            if max(exact, default=0) >= 1 << 63 or min(exact, default=0) < -(1 << 63):
+                raise OverflowError("a score leaves the range of a long")
+            out[i, wide] = exact.astype(np.int64)
+    return out
 
 
 def top_k(
@@ -83,7 +98,8 @@ def top_k(
 
     ``queries`` holds rows of the same form; a query's own id is no candidate. Ties
     go to smaller ids; with fewer than k candidates of its length a query gets all.
-    A repeated id is scored for each of its rows; empty tables give no rows.
+    A repeated id is scored for each of its rows; empty tables give no rows. Components
+    of any size count; one, or a score, that leaves the range of a long raises an error.
     """
     spark = rows.sparkSession
     vectors = materialize(integer_vectors(rows, vec_id, embedding, scale), "vectors")
@@ -98,9 +114,9 @@ def top_k(
     # each deal of candidate blocks, and a deal is about one block.
     deals = max(1, -(-many // CANDIDATE_BLOCK))
     candidates = candidates.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals)))
-    largest = vectors.select(F.max(F.aggregate("v", F.lit(0).cast("double"), lambda a, c: a + c * c)))
+    largest = vectors.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
     bound = (largest.first()[0] or 0.0) ** 0.5
-    high = int(bound * bound * (1 + 1e-9)) + 1
+    high = min(int(bound * bound * (1 + 1e-9)) + 1, (1 << 63) - 1)
     width = 1  # of a bin in the first pass; a power of BINS
     while width * BINS < 2 * high + 1:
         width *= BINS
@@ -138,9 +154,11 @@ def top_k(
                     own, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
                     low = np.frombuffer(row["low"], "<i8")
                     scores = _scores(row["q"], row["data"], row["dim"])
-                    bins = (scores - low[:, None]) // width
-                    apart = (ids[None, :] == own[:, None]) | (bins < 0) | (bins >= BINS)
-                    bins[apart] = -1
+                    # Differences may need all 64 bits.
+                    apart = (ids[None, :] == own[:, None]) | (scores < low[:, None])
+                    bins = (scores.view(np.uint64) - low.view(np.uint64)[:, None]) // np.uint64(width)
+                    bins = np.minimum(bins, BINS).astype(np.int64)
+                    bins[apart | (bins >= BINS)] = -1
                     top = -np.partition(-bins, min(k, bins.shape[1]) - 1, axis=1)[:, :k]
                     at, place = np.nonzero(bins >= np.maximum(top.min(axis=1), 0)[:, None])
                     code, n = np.unique(at * BINS + bins[at, place], return_counts=True)
@@ -176,7 +194,7 @@ def top_k(
                     if len(reached):
                         i = reached[0]
                         above[at] = upto[i] - part["n"].iloc[i]
-                        low[at] += width * part["bin"].iloc[i]
+                        low[at] = int(low[at]) + width * int(part["bin"].iloc[i])
                     # Fewer than k candidates: the lowest value is kept and all lie above.
                 out.append(
                     {

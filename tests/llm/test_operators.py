@@ -271,6 +271,26 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [60.0, 3e5])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(6)]) for i in range(40)]
+    rows += [(50, [2e12, 0.0, 0.0, 1e-9, 0.0, 0.0]), (52, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    scores = {q: {i: sum(a * b for a, b in zip(v, whole[q])) for i, v in whole.items() if i != q} for q in whole if q % 13 == 0}
+    if size > 100:
+        assert max(abs(s) for x in scores.values() for s in x.values()) >= 1 << 63
+        with pytest.raises(Exception, match="range of a long"):
+            topk.top_k(df, df.where("vec_id % 13 = 0"), 3).collect()
+        return
+    got = topk.top_k(df, df.where("vec_id % 13 = 0"), 3)
+    want = [(q, k + 1, i, s) for q, x in scores.items()
+            for k, (s, i) in enumerate(sorted(((s, i) for i, s in x.items()), key=lambda p: (-p[0], p[1]))[:3])]
+    assert sorted(rows_of(got)) == sorted(want)
+
+
 def test_quality(spark, documents):
     rng = random.Random(9)
     good = [(i, prose(i, rng.randint(20, 90)).capitalize() + ".") for i in range(120)]
@@ -354,6 +374,43 @@ def test_mixture(documents):
         mixing.mixed(documents(docs), {"a": 1.0})
 
 
+def test_pipeline_decides_by_row(spark, documents, tmp_path):
+    """Repeated and missing ids with different texts: one row of each group stays, no text is lost."""
+    import corpus_pipeline
+
+    x, y, z = prose(41, 60), prose(42, 60), prose(43, 60)
+    docs = [
+        (1, x, "a"), (5, x, "a"), (5, x + " tail", "b"), (5, y, "a"), (5, y, "a"), (5, y.replace(" ", "  "), "b"),
+        (None, z, "a"), (None, z, "a"), (None, y, "a"), (None, prose(44, 60), "a"), (7, z + " end", None), (3, None, "a"),
+        (2, "", "b"), (2, " ", "b"), (2, "one", "b"),
+    ]
+    documents(docs).write.parquet(f"{tmp_path}/docs")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    order = lambda r: (r[0] is None, r[0] or 0)
+
+    def kept_by_force(rows, same):
+        groups = []
+        for r in rows:
+            hit = [g for g in groups if any(same(r[1] or "", q[1] or "") for q in g)]
+            groups = [g for g in groups if g not in hit] + [[r] + [q for g in hit for q in g]]
+        return groups
+
+    def alike(a, b):
+        one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.split(), b.split()))
+        return bool(one and two) and 10 * len(one & two) >= 8 * len(one | two)
+
+    squeezed = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    for stage, same in ((corpus_pipeline.exact_stage, lambda a, b: squeezed(a) == squeezed(b)), (corpus_pipeline.near_stage, alike)):
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        groups = kept_by_force([(d, t) for d, t, _ in docs], same)
+        assert len(got) == len(groups)
+        for g in groups:
+            own = [r for r in got if r in g]
+            assert len(own) == 1 and order(own[0]) == min(map(order, g))
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
