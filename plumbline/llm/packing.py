@@ -29,6 +29,7 @@ from plumbline.session import materialize
 SEQUENCE_TOKENS = 2048
 GROUP = 8192
 FULL = 0.98  # a sequence filled less is packed again
+WEIGHTS = (1.0, 0.25, 0.25)  # of what is left of tokens, documents and attention
 
 
 def best_fit(
@@ -37,7 +38,7 @@ def best_fit(
     tokens: int = SEQUENCE_TOKENS,
     documents: int | None = None,
     attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
 ) -> np.ndarray:
     """Bin of each piece, numbered from 0. ``None`` capacities are those that tokens imply.
