@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
@@ -206,6 +209,108 @@ def contiguity(
     )
 
 
+def islands(
+    rows: DataFrame, *, source: Sequence[str], block: str, row: str, key: Column
+) -> DataFrame:
+    """(source, block, start, place, key, rows): runs of equal key, as tasks meet them.
+
+    ``row`` numbers the rows of a file block in order. A range is what a task reads of one
+    (source, ``block``) without a gap in ``row``; ``start`` is its first number and ``place``
+    counts its runs, so no sort or shuffle is needed. Rows of a null key break a run.
+    """
+    names = [f"_s{i}" for i in range(len(source))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # (source..., block, key) of the open run
+        start = place = n = after = 0
+
+        def told(done):
+            return pa.RecordBatch.from_pylist(
+                [dict(zip([*names, "block", "key"], at)) | {"start": s, "place": p, "rows": k} for at, s, p, k in done],
+                schema,
+            )
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            number = batch.column(len(names) + 2).to_numpy()
+            kept = batch.select([*names, "block", "key"])
+            codes = [pc.fill_null(c.dictionary_encode().indices, -1).to_numpy() for c in kept.columns]
+            changed = np.ones(len(batch), dtype=bool)
+            changed[1:] = number[1:] != number[:-1] + 1
+            for c in codes:
+                changed[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(changed)
+            sizes = np.diff(starts, append=len(batch)).tolist()
+            done = []
+            for values, first, size in zip(kept.take(pa.array(starts)).to_pylist(), number[starts].tolist(), sizes):
+                at = tuple(values.values())
+                follows = last is not None and at[:-1] == last[:-1] and first == after
+                if follows and at == last:
+                    n += size
+                else:
+                    if last is not None:
+                        done.append((last, start, place, n))
+                    start, place = (start, place + 1) if follows else (first, 0)
+                    last, n = at, size
+                after = first + size
+            if done:
+                yield told(done)
+        yield told([] if last is None else [(last, start, place, n)])
+
+    schema = pa.schema(
+        [*[(c, pa.string()) for c in names], ("block", pa.int64()), ("key", pa.string()),
+         ("start", pa.int64()), ("place", pa.int64()), ("rows", pa.int64())]
+    )
+    pruned = rows.select(
+        *[F.col(c).cast("string").alias(n) for c, n in zip(source, names)],
+        F.col(block).cast("bigint").alias("block"), key.cast("string").alias("key"),
+        F.col(row).cast("bigint").alias("row"),
+    )
+    kinds = ", ".join(f"{n} string" for n in names)
+    found = pruned.mapInArrow(
+        run, f"{kinds}, block bigint, key string, start bigint, place bigint, rows bigint"
+    )
+    return found.withColumnsRenamed(dict(zip(names, source)))
+
+
+def key_islands(
+    rows: DataFrame, *, source: Sequence[str], key: Column, block: str | None = None,
+    row: str | None = None, sequence: Sequence[str] = (),
+) -> DataFrame:
+    """(source, key, islands) of every key that isn't null: its runs in file order.
+
+    The ranges that tasks read are summaries that merge: two neighbouring ranges share a
+    run when one ends with the key that the other begins with. Without ``block`` and
+    ``row`` the rows are first dealt to sorted ranges of ``sequence``. Sources come back
+    as texts.
+    """
+    source = list(source)
+    if block is None or row is None:
+        block, row = "_range", "_at"
+        kept = rows.select(*source, *sequence, key.cast("string").alias("_key"))
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kept = kept.repartitionByRange(parts, *source, *sequence).sortWithinPartitions(*source, *sequence)
+        rows = kept.withColumn(block, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+        key = F.col("_key")
+    found = materialize(islands(rows, source=source, block=block, row=row, key=key), "islands")
+    ends = found.groupBy(*source, "block", "start").agg(
+        F.min_by("key", "place").alias("_first"), F.max_by("key", "place").alias("_last")
+    )
+    before = F.lag("_last").over(Window.partitionBy(*source).orderBy("block", "start"))
+    joined = ends.withColumn("_before", before).where("_before = _first")
+    runs = found.where("key IS NOT NULL").select(*source, "key", F.lit(1).alias("_n"))
+    merged = joined.select(*source, F.col("_first").alias("key"), F.lit(-1).alias("_n"))
+    return runs.unionByName(merged).groupBy(*source, "key").agg(F.sum("_n").alias("islands"))
+
+
+def contiguity_of_keys(counted: DataFrame, source: Sequence[str]) -> DataFrame:
+    """``key_islands`` rolled up to (source, islands, distinct_keys, contiguous)."""
+    return counted.groupBy(*source).agg(
+        F.sum("islands").alias("islands"), F.count(F.lit(1)).alias("distinct_keys")
+    ).withColumn("contiguous", F.col("islands") == F.col("distinct_keys"))
+
+
 def build_counters(decisions: DataFrame) -> DataFrame:
     """One row of totals over the decision table."""
     n = F.count(F.lit(1))

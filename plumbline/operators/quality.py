@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import EXPECTED_UNITS, SCAN_MISSING_COLUMNS, SPLITS
 from plumbline.functions import exprs as E
 from plumbline.operators.decisions import duplicate_occurrences
 from plumbline.operators.gates import check_rows
+from plumbline.session import materialize
 
 
 def inventory(units: DataFrame, *, split: str = "split", status: str = "status") -> DataFrame:
@@ -103,6 +104,41 @@ def trace_flags() -> dict[str, Column]:
     }
 
 
+def scan_once(
+    rows: DataFrame, keep: Sequence[str], flags: dict[str, Column], *, malformed: str,
+    missing: Sequence[str] = SCAN_MISSING_COLUMNS, split: str = "split",
+) -> tuple[DataFrame, dict[str, int]]:
+    """Write the ``keep`` columns of well-formed rows once and count on the way.
+
+    The counts are observed by the tasks that write, so the files are parsed a single
+    time: ``lines``, ``malformed_rows``, ``rows``, rows per split, every flag, and
+    ``missing.<column>`` of each column. A null flag counts as false.
+    """
+    whole = F.col(malformed).isNull()
+
+    def n(cond: Column) -> Column:
+        return F.count_if(whole & F.coalesce(cond, F.lit(False)))
+
+    seen = Observation()
+    counted = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(~whole).alias("malformed_rows"),
+        F.count_if(whole).alias("rows"),
+        *[n(F.col(split) == s).alias(f"{s}_rows") for s in SPLITS],
+        *[n(cond).alias(name) for name, cond in flags.items()],
+        *[n(E.blank(c)).alias(f"missing.{c}") for c in missing],
+    )
+    written = materialize(counted.where(whole).select(*keep), "scanned")
+    return written, dict(seen.get)
+
+
+def missing_rows(spark: SparkSession, seen: dict[str, int]) -> DataFrame:
+    """(column, missing, rows) of the counts of ``scan_once``: a row per counted column."""
+    counts = [(c.removeprefix("missing."), n, seen["rows"]) for c, n in seen.items() if c.startswith("missing.")]
+    return spark.createDataFrame(counts, "`column` string, missing bigint, rows bigint")
+
+
 def duplicate_totals(rows: DataFrame, *, decision: Sequence[str], source_id: str, applied: str,
                      sequence: Sequence[str]) -> DataFrame:
     """Decision groups, those with a repeated id, and the repeated rows."""

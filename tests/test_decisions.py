@@ -145,3 +145,59 @@ def test_contiguity_finds_a_returning_key(spark):
     assert {r["src"]: (r["islands"], r["distinct_keys"], r["contiguous"]) for r in got.collect()} == {
         "f": (3, 2, False), "h": (2, 2, True),
     }
+
+
+def islands_by_force(data, flags):
+    """{(source, key): runs} of (source, key) rows in order; rows without a flag break runs."""
+    out, last = {}, None
+    for (s, k), ok in zip(data, flags):
+        if ok and (s, k) != last:
+            out[s, k] = out.get((s, k), 0) + 1
+        last = (s, k) if ok else None
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_islands_of_blocks_merge(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    data = [(s, f"k{rng.randrange(4)}") for s in ("a", "b") for _ in range(60) for _ in range(rng.randrange(3))]
+    flags = [rng.random() < 0.9 for _ in data]
+    rows, block = [], 0
+    for i, ((s, k), ok) in enumerate(zip(data, flags)):
+        block = i if i == 0 or s != data[i - 1][0] or rng.random() < 0.1 else block
+        rows.append((s, k if ok else None, block, i))
+    schema = "src string, k string, block bigint, at bigint"
+    want = islands_by_force(data, flags)
+    # As scans give them: parts of the file order, in any order and any number.
+    cuts = sorted(rng.sample(range(len(rows)), 7))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    rng.shuffle(parts)
+    frame = spark.createDataFrame(spark.sparkContext.parallelize([r for p in parts for r in p], 3), schema)
+    got = D.key_islands(frame, source=["src"], key=F.col("k"), block="block", row="at")
+    assert {(r["src"], r["key"]): r["islands"] for r in got.collect()} == want
+    sorted_way = D.key_islands(frame.repartition(4), source=["src"], key=F.col("k"), sequence=["at"])
+    assert {(r["src"], r["key"]): r["islands"] for r in sorted_way.collect()} == want
+    rolled = D.contiguity_of_keys(got, ["src"]).collect()
+    assert {r["src"]: r["islands"] for r in rolled} == {
+        s: sum(n for (x, _), n in want.items() if x == s) for s in {x for x, _ in want}
+    }
+    assert D.key_islands(frame.limit(0), source=["src"], key=F.col("k"), block="block", row="at").count() == 0
+
+
+def test_build_stops_on_a_returning_decision_and_reports_what_it_left_out(spark, assignment):
+    back = [*SEVEN[:5], candidate("70", 0.1, 9, 1)]
+    with pytest.raises(ValueError, match="come back.*u\\|1\\|1\\|1"):
+        build(spark, back, [1], assignment)
+    # A row of another node between two rows of a decision splits it as well.
+    with pytest.raises(ValueError, match="come back"):
+        build(spark, [SEVEN[0], SEVEN[6], SEVEN[1]], [1], assignment)
+    with pytest.raises(ValueError, match="schema mismatch.*cut_id"):
+        build_decision_tables(
+            frame(spark, SEVEN).drop("cut_id"), transitions(spark, [1]), assignment, sequence=["_row"], state_sequence=["_row"]
+        )
+    odd = [*SEVEN, candidate("80", 0.1, 9, 4, root="False")]
+    r = build(spark, odd, [1, 1, 2], assignment).report.first()
+    assert (r["source_rows"], r["root_rows"], r["root_depth_disagreements"]) == (8, 6, 1)
+    assert (r["malformed_rows"], r["repeated_state_keys"]) == (0, 1)
