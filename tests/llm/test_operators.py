@@ -43,6 +43,7 @@ ODD = [
     (9, prose(2, 80), "a"), (9, prose(3, 70), "a"), (10, "one  two", "b"), (11, "One two", "b"),
     (12, "a\x1cb é \U0001f600 <|endoftext|> x", "a"), (None, "one two", "a"), (None, None, None),
     (13, prose(2, 80) + " tail", "a"), (14, "head " + prose(2, 80), "a"), (15, LONG + " end", "b"),
+    (16, "hello \0world again \0, a\0b", "a"),
 ]
 
 
