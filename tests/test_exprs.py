@@ -130,3 +130,24 @@ def test_linear_score_moves_weight_without_incumbent(spark):
     assert run(True, False) == pytest.approx(0.5 * 3 + 2 + rest)
     assert run(True, True) == pytest.approx(0.5 * 2 + 2 + rest)
     assert run(False, False) == pytest.approx(1.5 * 2 + rest)
+
+
+def test_exact_bound_against_sums_of_the_binomial(spark):
+
+    def tail(k, n, p):
+        lg = math.lgamma
+        terms = (lg(n + 1) - lg(i + 1) - lg(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1))
+        return math.fsum(map(math.exp, terms))
+
+    pairs = [(k, n) for n in (1, 2, 3, 10, 200, 1500) for k in {0, 1, n // 3, n // 2, n - 1, n} if k <= n]
+    schema = "k long, n long"
+    frame = spark.createDataFrame([*pairs, (10**7, 2 * 10**7), (None, 3), (2, None), (0, 0)], schema)
+    got = {(r.k, r.n): r.p for r in frame.select("k", "n", E.binomial_upper_bound("k", "n").alias("p")).collect()}
+    for k, n in pairs:
+        if k == n:
+            assert got[k, n] == 1.0
+        else:
+            assert tail(k, n, got[k, n]) == pytest.approx(0.05, rel=1e-9)
+    # Half of very many: close to the normal bound.
+    assert got[10**7, 2 * 10**7] == pytest.approx(0.5 + 1.6448536 * 0.5 / math.sqrt(2e7), abs=1e-7)
+    assert got[None, 3] is got[2, None] is got[0, 0] is None
