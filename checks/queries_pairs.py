@@ -763,6 +763,39 @@ def two_level_bootstrap_ci(spark, sf):
     return rounded(B.delta_interval(drawn, keys=["arm"]))
 
 
+@query(
+    "multinomial_bootstrap",
+    f"""WITH {UNITS_OF_ARMS_SQL}
+SELECT arm, {REPLICATES}::BIGINT AS replicates, count(*)::BIGINT AS fewest_draws, count(*)::BIGINT AS most_draws,
+  round(avg(mean_log_ratio), 9) AS mean_log_ratio, true AS centred, true AS spread, true AS mean_inside
+FROM unit_log GROUP BY arm""",
+)
+def multinomial_bootstrap(spark, sf):
+    """Centre and spread of the estimates lie within five of their standard errors."""
+    logs = unit_logs(spark, sf)
+    drawn = B.multinomial_replicates(
+        logs, keys=["arm"], item="unit", numerator="mean_log_ratio",
+        count=REPLICATES, seed=B.action_seed(SEED, "arm"), block_items=256,
+    )
+    point = logs.groupBy("arm").agg(
+        F.avg("mean_log_ratio").alias("mean"),
+        (F.stddev_pop("mean_log_ratio") / F.sqrt(F.count(F.lit(1)))).alias("error"),
+    )
+    seen = drawn.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("replicates"), F.min("drawn").alias("fewest_draws"),
+        F.max("drawn").alias("most_draws"), F.avg("estimate").alias("middle"),
+        F.stddev_pop("estimate").alias("width"),
+    )
+    ci = B.interval(drawn, keys=["arm"]).drop("replicates")
+    near = 5 / F.sqrt(F.col("replicates"))
+    return seen.join(point, "arm").join(ci, "arm").select(
+        "arm", "replicates", "fewest_draws", "most_draws", F.round("mean", 9).alias("mean_log_ratio"),
+        (F.abs(F.col("middle") - F.col("mean")) < near * F.col("error")).alias("centred"),
+        (F.abs(F.col("width") / F.col("error") - 1) < near).alias("spread"),
+        F.col("mean").between(F.col("lower"), F.col("upper")).alias("mean_inside"),
+    )
+
+
 @query(
     "gate_report",
     f"""WITH {ARM_STATS_SQL}, {BOOT_SQL.split(UNITS_OF_ARMS_SQL + ',')[1]},

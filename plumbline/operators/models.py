@@ -97,7 +97,7 @@ def cross_validated_comparison(
     clusters = scored.select(unit, cluster).distinct()
     deltas = materialize(deltas.join(clusters, unit), "deltas")
     sums = B.cluster_sums(deltas, keys=["metric"], cluster=cluster, value="delta")
-    drawn = B.replicates(
+    drawn = B.multinomial_replicates(
         sums, keys=["metric"], item=cluster, numerator="value_sum", denominator="value_count",
         count=replicates, seed=seed,
     )

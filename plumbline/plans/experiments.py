@@ -77,7 +77,7 @@ def paired_statistics(
     stats = S.arm_statistics(units, confidence=confidence)
 
     def boot(column: str, suffix: str) -> DataFrame:
-        drawn = B.replicates(
+        drawn = B.multinomial_replicates(
             units.where(F.col(column).isNotNull()), keys=["arm"], item="unit", numerator=column,
             count=replicates, seed=B.action_seed(seed, "arm", suffix),
         )
@@ -114,7 +114,7 @@ def pilot_decision(
 ):
     """Cluster-level go/no-go of an active policy."""
     clusters = materialize(S.cluster_decision(blocks, limit), "clusters")
-    drawn = B.replicates(
+    drawn = B.multinomial_replicates(
         clusters, keys=[], item="cluster", numerator="log_wall", count=replicates, seed=seed + 1
     )
     upper = B.upper_percentile(drawn, keys=[], confidence=0.80)

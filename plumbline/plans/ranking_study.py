@@ -126,7 +126,7 @@ def evaluate_ranking(
     ]
     deltas = materialize(R.unit_deltas(*sides, unit=unit), "unit-deltas")
     place = F.array_position(F.array(*[F.lit(m) for m in R.METRICS]), F.col("metric")) - 1
-    drawn = B.replicates(
+    drawn = B.multinomial_replicates(
         deltas, keys=["metric"], item=unit, numerator="delta", count=replicates,
         seed=F.lit(seed) + place,
     )

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,54 @@ def test_bootstrap_matches_plain_arithmetic_when_shuffled(spark, monkeypatch):
     assert len(got) == 5
 
 
+def test_multinomial_counts_are_whole_and_even():
+    items, size, count = 1000, 64, 400
+    blocks = [np.array(list(B.item_counts(5, count, items, b, size))) for b in range(-(-items // size))]
+    times = np.concatenate(blocks, axis=1)
+    assert times.shape == (count, items) and (times.sum(axis=1) == items).all()
+    # A count is binomial(n, 1/n): mean 1, variance 1 - 1/n, covariance -1/n between items.
+    assert abs(times.mean(axis=0) - 1).max() < 5 / math.sqrt(count)
+    assert times.var() == pytest.approx(1, abs=0.02)
+    halves = times[:, : items // 2].sum(axis=1)
+    assert halves.var() == pytest.approx(items / 4, rel=0.35)
+    assert len({tuple(r) for r in times}) == count
+
+
+@pytest.mark.parametrize("block", [3, 65_536])
+def test_multinomial_replicates_equal_the_counts(spark, block):
+    data = [(k, f"u{i:02}", float(i * i), float(i % 3), 11) for k, n in (("a", 10), (None, 4), ("b", 1))
+            for i in range(n)]
+    df = spark.createDataFrame(data, "arm string, unit string, v double, w double, s long")
+
+    def run(frame):
+        made = B.multinomial_replicates(
+            frame, keys=["arm"], item="unit", numerator="v", denominator="w", count=6,
+            seed=F.col("s"), block_items=block,
+        )
+        return {(r.arm, r.replicate): (r.drawn, r.estimate) for r in made.collect()}
+
+    got = run(df)
+    assert got == run(df.repartition(5, "v")) and len(got) == 18
+    for (arm, replicate), (drawn, estimate) in got.items():
+        mine = [r for r in data if r[0] == arm]
+        times = [
+            t for b in range(-(-len(mine) // block))
+            for t in list(B.item_counts(11, 6, len(mine), b, block))[replicate]
+        ]
+        below = sum(t * r[3] for t, r in zip(times, mine, strict=True))
+        above = sum(t * r[2] for t, r in zip(times, mine, strict=True))
+        assert drawn == len(mine) == sum(times)
+        assert estimate == (pytest.approx(above / below) if below else None)
+
+
+def test_multinomial_replicates_of_missing_values_and_no_rows(spark):
+    df = spark.createDataFrame([("a", "u1", None), ("a", "u2", 2.0)], "arm string, unit string, v double")
+    args = {"keys": [], "item": "unit", "numerator": "v", "count": 50, "seed": 1}
+    got = {r.estimate for r in B.multinomial_replicates(df, **args).collect()}
+    assert got == {0.0, 1.0, 2.0}
+    assert B.multinomial_replicates(df.limit(0), **args).count() == 0
+
+
 def test_two_level_bootstrap_pools_clusters(spark):
     data = [("m", "family", 0.1), ("m", "family", 0.2), ("m", "other", -0.1)]
     df = spark.createDataFrame(data, "metric string, cluster string, delta double")
