@@ -9,6 +9,7 @@ from checks.queries_models import oof_scores
 from checks.views import RISK_SQL, UNITS_SQL, table, units
 from plumbline.functions import exprs as E
 from plumbline.operators import decisions as D
+from plumbline.operators import nested as J
 from plumbline.operators import quality as Q
 from plumbline.operators import sampling as W
 from plumbline.sources import files as S
@@ -158,3 +159,66 @@ def oof_coverage(spark, sf):
         F.sum("label").cast("long").alias("positives"), F.count_distinct("fold").alias("folds"),
         F.bool_and((F.col("model_score") >= 0) & (F.col("model_score") <= 1)).alias("inside"),
     ).withColumn("apart", units.scalar())
+
+
+@query(
+    "forbidden_paths",
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem)
+SELECT l_orderkey, 'context.order.lines[' || i || '].solving_time' AS path, 'solving_time' AS key
+FROM l WHERE l_returnflag = 'R'
+UNION ALL SELECT l_orderkey, 'context.order.lines[' || i || '].more[0].outcome', 'outcome'
+FROM l WHERE l_linenumber = 3""",
+)
+def forbidden_paths(spark, sf):
+    """Contexts of four levels, of which some hold keys that only an outcome has."""
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("solving_time"),
+        F.array(F.struct(F.when(F.col("l_linenumber") == 3, F.col("l_tax")).alias("outcome"),
+                         F.lit("outcome").alias("word"))).alias("more"),
+    )
+    lines = F.array_sort(F.collect_list(line)).alias("lines")
+    orders = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines)
+    texts = orders.select(
+        "l_orderkey", F.to_json(F.struct(F.struct("lines").alias("order"))).alias("context")
+    )
+    return J.forbidden_paths(texts, "context").drop("context")
+
+
+@query(
+    "plan_differences",
+    """WITH o AS (SELECT o_custkey AS unit, o_orderkey AS k,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS j FROM orders),
+u AS (SELECT DISTINCT unit FROM o)
+SELECT p.unit, 'units[' || p.i || '].id' AS path, p.k::VARCHAR AS planned, r.k::VARCHAR AS found
+FROM o p JOIN o r ON p.unit = r.unit AND p.i = r.j WHERE p.k <> r.k
+UNION ALL SELECT unit, 'arms[1]', '"active"', NULL FROM u WHERE unit % 5 = 0
+UNION ALL SELECT unit, 'time_limit', '300', '60' FROM u WHERE unit % 7 = 0
+UNION ALL SELECT unit, 'scope', '"first-run-only"', '"per-run"' FROM u WHERE unit % 11 = 0
+UNION ALL SELECT unit, 'seeds[0]', NULL, '1' FROM u WHERE unit % 13 = 0
+UNION ALL SELECT unit, 'seeds', '[]', NULL FROM u WHERE unit % 13 = 0""",
+)
+def plan_differences(spark, sf):
+    """Plans that hold and plans broken in arms, limit, scope, seeds or order of units."""
+    unit = F.col("o_custkey")
+    by_key = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"))))
+    by_date = F.array_sort(F.collect_list(F.struct("o_orderdate", F.col("o_orderkey").alias("id"))))
+    both = table(spark, sf, "orders").groupBy(unit.alias("unit")).agg(
+        by_key.alias("planned"), F.transform(by_date, lambda u: F.struct(u["id"].alias("id"))).alias("run")
+    )
+    arms, on = F.array(F.lit("shadow"), F.lit("active")), lambda n: F.col("unit") % n == 0
+    none = F.array().cast("array<int>")
+    plan = both.select(
+        "unit", arms.alias("arms"), none.alias("seeds"), F.lit(300.0).alias("time_limit"),
+        F.lit("first-run-only").alias("scope"), F.col("planned").alias("units"),
+    )
+    result = both.select(
+        "unit", F.when(on(5), F.slice(arms, 1, 1)).otherwise(arms).alias("arms"),
+        F.when(on(13), F.array(F.lit(1))).otherwise(none).alias("seeds"),
+        F.when(on(7), 60).otherwise(300).alias("time_limit"),
+        F.when(on(11), "per-run").otherwise("first-run-only").alias("scope"), F.col("run").alias("units"),
+    )
+    parts = ["arms", "seeds", "time_limit", "scope", "units"]
+    return J.contract_differences(plan, result, ["unit"], parts)

@@ -154,6 +154,14 @@ DESCRIPTIVE_METRICS = (
     "cuts_applied",
     "primal_dual_integral",
 )
+FORBIDDEN_CONTEXT_KEYS = (
+    "outcome",
+    "solving_time",
+    "primal_dual_integral",
+    "final_status",
+    "final_primal_bound",
+    "final_dual_bound",
+)
 INTERVENTION_SCOPES = ("per-run", "first-run-only")
 TIE_TOLERANCE = 1e-12
 CLOSE_TOLERANCE = 1e-9
