@@ -1,6 +1,7 @@
 """Trace tree, audit, side files, HTML, fingerprints, stores and rebuilds."""
 
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -198,6 +199,17 @@ def test_fingerprints_and_verification(spark, tmp_path):
         S.fingerprint(spark, {"none": [str(tmp_path / "*.nothing")]}).collect()
 
 
+@pytest.mark.parametrize("limit", [0, 1000, 1 << 30])
+def test_large_files_are_streamed_to_the_same_digests(spark, tmp_path, limit):
+    texts = {"a.txt": b"", "b c%20é.txt": b"x" * 1000, "d#?.txt": bytes(range(256)) * 70_000}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    got = S.fingerprint(spark, {"all": [str(tmp_path)]}, whole_bytes=limit).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["bytes"]) for r in got} == {
+        n: (hashlib.sha256(t).hexdigest(), len(t)) for n, t in texts.items()
+    }
+
+
 def test_sealed_subsets_cannot_be_loaded(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "seen_family_test")], "x int, subset string")
     S.write_ranking_dataset(df, str(tmp_path / "d"))
