@@ -483,6 +483,34 @@ def feature_assembly(spark, sf):
     )
 
 
+@query(
+    "feature_assembly_sparse",
+    f"""WITH {cand_sql('l_discount', 'l_returnflag', 'l_linestatus')},
+v AS (SELECT DISTINCT 'p' || l_partkey AS category FROM cand WHERE l_partkey % 10 <> 0),
+w AS (SELECT category, 2 + row_number() OVER (ORDER BY category) AS slot, count(*) OVER () + 3 AS n FROM v)
+SELECT decision, l_partkey, coalesce(n, (SELECT max(n) FROM w)) AS size,
+  CASE WHEN score::FLOAT = 0 THEN NULL ELSE score::FLOAT::DOUBLE END AS score,
+  CASE WHEN l_discount::FLOAT = 0 THEN NULL ELSE l_discount::FLOAT::DOUBLE END AS discount,
+  coalesce(slot, (SELECT max(n) FROM w)) - 1 AS part_at
+FROM cand LEFT JOIN w ON category = 'p' || l_partkey""",
+)
+def feature_assembly_sparse(spark, sf):
+    """All candidates with a category per part; every tenth part is unknown to the contract."""
+    rows = cand(spark, sf, "l_discount").withColumn("part", F.concat(F.lit("p"), "l_partkey"))
+    counts = rows.where("l_partkey % 10 <> 0").groupBy(F.lit("part").alias("feature"), F.col("part").alias("value"))
+    vocab = R.vocabulary(counts.agg(F.count(F.lit(1)).alias("rows")))
+    numbers = spark.createDataFrame([("score",), ("l_discount",)], "feature string").withColumn("informative", F.lit(True))
+    spec = R.encoded_features([numbers], vocab, ["score", "l_discount"], ["part"])
+    cells = R.assemble_sparse(rows, spec).withColumn(
+        "_m", F.map_from_arrays("features.indices", "features.values")
+    )
+    return cells.select(
+        "decision", "l_partkey", F.col("features.size").cast("bigint").alias("size"),
+        F.col("_m")[0].cast("double").alias("score"), F.col("_m")[1].cast("double").alias("discount"),
+        F.element_at("features.indices", -1).cast("bigint").alias("part_at"),
+    )
+
+
 def queries_of(spark, sf):
     return cand(spark, sf).groupBy("split", "unit", "decision").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.sum("label").alias("n_positives")

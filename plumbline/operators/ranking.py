@@ -178,6 +178,60 @@ def assemble(
     return rows.withColumn(out, F.array(*[c.cast("float") for c in cells]))
 
 
+def assemble_sparse(
+    rows: DataFrame, contract: DataFrame, booleans: Sequence[str] = (), *, out: str = "features"
+) -> DataFrame:
+    """The same matrix as ``assemble`` as a struct of size, indices (from 0) and values.
+
+    Categories come in by a join with the contract for each categorical feature, so the
+    plan grows with the features and not with their categories, and a row holds a cell
+    per feature at most. Cells of 0 are left out; missing numbers are NaN.
+    """
+    spec = materialize(contract, "contract")
+    size, unseen_at = spec.agg(
+        F.max("position"),
+        F.map_from_entries(F.collect_list(F.when(
+            F.col("category") == UNKNOWN_CATEGORY, F.struct("feature", "position")
+        ))),
+    ).first()
+    numeric = spec.where("category IS NULL").select("feature", "position").collect()
+    known = spec.where(F.col("category").isNotNull() & (F.col("category") != UNKNOWN_CATEGORY))
+    coded = [r["feature"] for r in spec.where("category IS NOT NULL").select("feature").distinct().collect()]
+    kinds = dict(rows.dtypes)
+    wide = rows.select(F.struct("*", F.lit(0).alias("_")).alias("_row"))
+    cell = lambda at, value: F.struct(
+        (at - 1).cast("int").alias("at"), value.cast("float").alias("value")
+    )
+    cells = []
+    for r in numeric:
+        f = r["feature"]
+        number = F.col("_row")[f].cast("double")
+        if kinds[f] in NUMBERS and f not in booleans:
+            number = F.when(E.is_finite(number), number).otherwise(F.lit(E.NAN))
+        else:
+            number = E.numeric_feature(F.col("_row")[f], f in booleans)
+        cells.append(cell(F.lit(r["position"]), number))
+    for i, f in enumerate(sorted(coded)):
+        index = known.where(F.col("feature") == f).select(
+            F.col("category").alias(f"_c{i}"), F.col("position").alias(f"_p{i}")
+        )
+        value = F.coalesce(F.col("_row")[f].cast("string"), F.lit(""))
+        wide = wide.withColumn(f"_v{i}", value).join(index, F.col(f"_v{i}") == F.col(f"_c{i}"), "left")
+        at = F.coalesce(F.col(f"_p{i}"), F.lit((unseen_at or {}).get(f)).cast("int"))
+        cells.append(F.when(at.isNotNull(), cell(at, F.lit(1.0))))
+    held = F.array(*cells) if cells else F.array().cast("array<struct<at:int,value:float>>")
+    told = F.array_sort(F.filter(held, lambda c: c.isNotNull() & ((c["value"] != 0) | F.isnan(c["value"]))))
+    return wide.select(
+        *[F.col("_row")[c].alias(c) for c in rows.columns if c != out], told.alias("_told")
+    ).select(
+        *[c for c in rows.columns if c != out],
+        F.struct(
+            F.lit(size or 0).cast("int").alias("size"), F.col("_told.at").alias("indices"),
+            F.col("_told.value").alias("values"),
+        ).alias(out),
+    )
+
+
 def forbidden_columns(df: DataFrame, prohibited: Sequence[str] = PROHIBITED_FIELDS) -> list[str]:
     """Paths of prohibited names anywhere in the schema, nested fields included."""
     found: list[str] = []

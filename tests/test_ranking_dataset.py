@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import quality as Q
+from plumbline.operators import ranking as R
 from plumbline.plans.ranking_study import build_ranking_dataset, evaluate_ranking
 
 RUNS = [("a", 0, "train", [1, 0], "SEPA"), ("a", 1, "train", [0, 1, 0], "SEPA"),
@@ -98,3 +99,47 @@ def test_record_guards(spark):
         Q.union_sources([arms, arms], ["unit", "seed"])
     with pytest.raises(ValueError, match="same arm set"):
         Q.union_sources([arms, arms.withColumn("arms", F.array(F.lit("y")))], ["unit", "seed"])
+
+
+def dense(cell):
+    out = [0.0] * cell["size"]
+    for i, v in zip(cell["indices"], cell["values"], strict=True):
+        out[i] = v
+    return out
+
+
+SPEC = "position long, name string, feature string, category string"
+
+
+def test_sparse_assembly_equals_the_dense_one(spark):
+    spec = spark.createDataFrame([
+        (1, "n", "n", None), (2, "t", "t", None), (3, "b", "b", None), (4, "c==x", "c", "x"),
+        (5, "c==y", "c", "y"), (6, "c==u", "c", R.UNKNOWN_CATEGORY), (7, "d==1", "d", "1"), (8, "d==2", "d", "2"),
+    ], SPEC)
+    data = [
+        (1.5, "2", "True", "x", 1, 9), (0.0, "0", "no", "y", 2, 9), (None, "", "", None, None, None),
+        (float("inf"), "z", None, R.UNKNOWN_CATEGORY, 3, 9), (0.0, "0", "no", "", 2, 9), (1.5, "2", "True", "x", 1, 9),
+    ]
+    kinds = "n double, t string, b string, c string, d int, features int"
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"i int, {kinds}")
+    # A feature without a bucket for the unknown gives no cell there; the dense way needs no bucket either.
+    want = {r.i: r.features for r in R.assemble(rows, spec, ["b"]).collect()}
+    got = R.assemble_sparse(rows, spec, ["b"])
+    assert set(got.columns) == set(rows.columns)
+    told = {r.i: r.features for r in got.collect()}
+    assert {i: str(dense(c)) for i, c in told.items()} == {i: str(v) for i, v in want.items()}
+    assert all(list(c["indices"]) == sorted(c["indices"]) and 0.0 not in c["values"] for c in told.values())
+    assert R.assemble_sparse(rows.limit(0), spec).count() == 0
+    assert R.assemble_sparse(rows, spec.limit(0)).select("features.size").distinct().first()[0] == 0
+
+
+def test_a_million_categories_assemble(spark):
+    n = 1_000_000
+    spec = spark.range(n).selectExpr("id + 1 AS position", "'' AS name", "'c' AS feature", "'v' || id AS category")
+    spec = spec.unionByName(spark.createDataFrame([(n + 1, "", "c", R.UNKNOWN_CATEGORY)], SPEC))
+    rows = spark.range(0, 3 * n, 1009).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'v7' ELSE 'v' || id END AS c")
+    wrong = R.assemble_sparse(rows, spec).where(
+        "features.size <> 1000001 OR features.indices <> array(CAST(CASE WHEN id % 3 = 0 THEN 7 "
+        "WHEN id < 1000000 THEN id ELSE 1000000 END AS INT))"
+    )
+    assert wrong.count() == 0
