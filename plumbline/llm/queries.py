@@ -161,17 +161,26 @@ URL_RULES = [
 ]
 
 
-# The small labelled table: hosts of either kind, under plain and prefixed names.
+# The small labelled table: hosts of either kind, under plain and prefixed names. They
+# come from common words; hosts of the given pages are not among them.
 ALLOWED_HOSTS = (
     "library", "garden", "weather", "school", "history", "museum", "recipes", "letters", "physics",
     "travel", "the-news", "open-data", "music", "village", "city-hall", "nature", "language", "books",
     "stories", "science", "mountain", "river-walk", "theatre", "birds", "maths", "health", "farmers",
     "thinking", "attention", "nation", "then", "there", "other", "therein", "reading", "winter",
+    "free-library", "farm-school", "adulthood", "winning-team", "train-tracks", "betty", "spanish",
+    "north-coast", "southern", "earth", "mother", "brothers", "author", "method", "truth", "months",
+    "path", "lengths", "that-day", "than", "this", "with", "tenth", "ethics", "anthem", "station",
+    "kitchen", "bread", "bridge", "painting", "poetry", "chess", "football", "rowing", "astronomy",
+    "geology", "chemistry", "lawyers", "parliament", "council", "hospital", "students", "teachers",
+    "forum", "wiki", "journal", "archive", "radio", "film", "dance", "cycling", "hiking", "sailing",
 )
 BLOCKED_HOSTS = (
-    "ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets", "ad-tracker",
-    "casino", "win-casino", "spam", "spam-mail", "adult", "adults-only", "pills", "cheap-meds",
-    "free-bet", "bets", "bet-win", "adserver-track", "link-farm", "casino-bets", "x-adult",
+    "ad-tracker", "ads", "adserver", "best-ads", "track-ads", "ads-network", "popup-ads", "tracking",
+    "click-track", "casino", "win-casino", "casino-bets", "royal-casino", "mega-win", "jackpot-win",
+    "spam", "spam-mail", "spammer", "mail-spam", "link-farm", "click-farm", "content-farm", "adult",
+    "adults-only", "x-adult", "adult-video", "xxx", "pills", "cheap-meds", "pills-online", "diet-pills",
+    "cheap-loans", "cheap-replica", "free-bet", "bets", "bet-win", "sport-bets", "free-spins", "free-cash",
 )
 
 

@@ -362,6 +362,21 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.limit(0), model, queries.URL_RULES).count() == 0
 
 
+def test_url_filter_on_hosts_held_out(spark):
+    """Each host is judged by a model that saw none of its URLs."""
+    labelled = queries.labelled_urls(spark)
+    host = F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^.]*)\.", 1)
+    fold = F.pmod(F.crc32(host), F.lit(3))
+    right = {0: [0, 0], 1: [0, 0]}
+    for k in range(3):
+        model = url_filter.learn(labelled.where(fold != k))
+        said = url_filter.judged(labelled.where(fold == k), model, [])
+        for r in said.groupBy("label", "verdict").count().collect():
+            right[r.label][0] += r["count"] * ((r.verdict == "allow") == bool(r.label))
+            right[r.label][1] += r["count"]
+    assert right[1][0] >= 0.9 * right[1][1] and right[0][0] >= 0.5 * right[0][1]
+
+
 def test_mixture(documents):
     docs = [(i % 150, "t", "abc"[(i > 60) + (i > 160)]) for i in range(200)] + [(None, None, None)] * 3
     got = mixing.mixed(documents(docs), block_rows=4).collect()
