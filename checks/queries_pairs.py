@@ -796,6 +796,50 @@ def multinomial_bootstrap(spark, sf):
     )
 
 
+@query(
+    "shadow_structure",
+    f"""WITH {COMPARED_SQL},
+shadow AS (SELECT *, same_parameters AND same_status AND same_bounds AND (NOT neutral_shadow
+    OR (NOT eligible AND same_nodes AND same_work AND same_lp AND same_cuts)) AS matched,
+  treatment_nodes % 3 > 0 AS exposed,
+  CASE WHEN treatment_nodes % 3 >= 1 AND treatment_nodes % 5 = 0 THEN 1
+    WHEN treatment_nodes % 3 = 2 AND (treatment_nodes + 1) % 5 = 0 THEN 2 END AS place FROM checked),
+units AS (SELECT arm, unit, avg(ln(treatment_cost / native_cost)) AS a,
+  avg(ln(treatment_cost / native_cost)) FILTER (exposed) AS e FROM shadow GROUP BY ALL),
+ratios AS (SELECT arm, round(exp(avg(a)), 9) AS ratio, round(exp(avg(e)), 9) AS ratio_exposed FROM units GROUP BY arm)
+SELECT arm, count(*) AS pairs, count(*) FILTER (native_complete AND treatment_complete) AS both_complete,
+  count(*) FILTER (native_complete AND NOT treatment_complete) AS native_complete_shadow_incomplete,
+  count(*) FILTER (NOT native_complete AND treatment_complete) AS native_incomplete_shadow_complete,
+  count(*) FILTER (NOT native_complete AND NOT treatment_complete) AS both_incomplete,
+  count(*) FILTER (matched) AS structural_matches, count(*) FILTER (exposed) AS exposed_pairs,
+  count(*) FILTER (exposed AND matched) AS exposed_matches, count(place) AS proposed_changes,
+  sum(place)::BIGINT AS first_change_places, any_value(ratio) AS ratio, any_value(ratio_exposed) AS ratio_exposed
+FROM shadow JOIN ratios USING (arm) GROUP BY arm""",
+)
+def shadow_structure(spark, sf):
+    """Match, exposure and proposed changes from the arms' records, with the ratios over them."""
+    n = F.col("outcome.nodes")
+    records = F.transform(
+        F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (n % 3).cast("int")),
+        lambda i: F.struct(
+            F.when((n + i) % 5 == 0, 2).otherwise(0).cast("bigint").alias("proposed_changed_selected_cuts")
+        ),
+    )
+    runs = arm_runs(spark, sf).withColumn(
+        "selector",
+        F.col("selector").withField("shadow_evaluations", n % 3).withField("shadow_records", records),
+    )
+    pairs = P.pair_arms(
+        runs, ["unit_sha256", "runtime", "parameters", "outcome", "selector"], native=NATIVE
+    )
+    done = P.compare_treatments(pairs, policy_arms=POLICY, shadow_arms=SHADOW)
+    shadows = P.shadow_pairs(done, ["solving_time"])
+    ratios = S.overhead(
+        shadows, LIMIT, times=["solving_time"], exposed="exposed", structural_match="structural_match"
+    ).select("arm", "ratio", "ratio_exposed")
+    return rounded(P.shadow_counts(shadows).join(ratios, "arm"))
+
+
 @query(
     "gate_report",
     f"""WITH {ARM_STATS_SQL}, {BOOT_SQL.split(UNITS_OF_ARMS_SQL + ',')[1]},

@@ -175,6 +175,54 @@ def compare_treatments(
     )
 
 
+def shadow_pairs(
+    compared: DataFrame, times: Sequence[str], keys: Sequence[str] = ("unit", "seed")
+) -> DataFrame:
+    """(keys..., arm, times and completeness of both sides) with what a shadow arm did.
+
+    ``structural_match``: every check holds, those of completeness aside. ``exposed``:
+    the arm evaluated at all. ``proposed_change``: an evaluation would have selected
+    otherwise; ``first_change`` is the place of the first such one, from 1, else null.
+    Missing records or counts are no evaluation and no change.
+    """
+    checks = F.map_filter(
+        "checks", lambda name, _: ~name.isin("native_complete", "treatment_complete")
+    )
+    s = F.col("treatment.selector")
+    changes = F.transform(
+        s["shadow_records"], lambda r: F.coalesce(r["proposed_changed_selected_cuts"] > 0, F.lit(False))
+    )
+    first = F.nullif(F.array_position(changes, F.lit(True)), F.lit(0).cast("bigint"))
+    sides = [
+        F.col(f"{side}.outcome.{t}").alias(f"{side}_{t}") for t in times for side in ("native", "treatment")
+    ]
+    return compared.select(
+        *keys, "arm", *sides,
+        *[E.is_complete(f"{side}.outcome.status").alias(f"{side}_complete")
+          for side in ("native", "treatment")],
+        _all_true(checks).alias("structural_match"),
+        F.coalesce(s["shadow_evaluations"] > 0, F.lit(False)).alias("exposed"),
+        first.isNotNull().alias("proposed_change"), first.alias("first_change"),
+    )
+
+
+def shadow_counts(shadows: DataFrame) -> DataFrame:
+    """Per arm: pairs by completeness, matches, exposure and proposed changes."""
+    native, treated = F.col("native_complete"), F.col("treatment_complete")
+    return shadows.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count_if(native & treated).alias("both_complete"),
+        F.count_if(native & ~treated).alias("native_complete_shadow_incomplete"),
+        F.count_if(~native & treated).alias("native_incomplete_shadow_complete"),
+        F.count_if(~native & ~treated).alias("both_incomplete"),
+        F.count_if("structural_match").alias("structural_matches"),
+        F.count_if("exposed").alias("exposed_pairs"),
+        F.count_if(F.col("exposed") & F.col("structural_match")).alias("exposed_matches"),
+        F.count_if("proposed_change").alias("proposed_changes"),
+        F.sum("first_change").alias("first_change_places"),
+    )
+
+
 def pair_metrics(
     compared: DataFrame, keep: Sequence[str], metrics: Sequence[str] = PAIR_METRICS
 ) -> DataFrame:
