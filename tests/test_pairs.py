@@ -105,6 +105,35 @@ def test_bootstrap_matches_plain_arithmetic_when_shuffled(spark, monkeypatch):
     assert len(got) == 5
 
 
+def test_shadow_pairs_read_records_and_pass_over_missing_ones(spark):
+    checks = {"native_complete": False, "treatment_complete": True, "same_bounds": True}
+    out = ("timelimit", 2.0)
+    data = [
+        (i, 1, "s", checks | {"same_nodes": match}, (out,), (("optimal", 1.0), (evals, records)))
+        for i, (match, evals, records) in enumerate([
+            (True, 2, [(0,), (3,), (1,)]), (False, 1, [(None,)]), (True, 0, []), (True, None, None),
+        ])
+    ]
+    outcome = "outcome: struct<status: string, solving_time: double>"
+    selector = "selector: struct<shadow_evaluations: long, shadow_records: array<struct<proposed_changed_selected_cuts: long>>>"
+    df = spark.createDataFrame(
+        data, f"unit int, seed int, arm string, checks map<string,boolean>, native struct<{outcome}>, "
+        f"treatment struct<{outcome}, {selector}>",
+    )
+    shadows = P.shadow_pairs(df, ["solving_time"])
+    got = sorted(
+        (r.unit, r.structural_match, r.exposed, r.proposed_change, r.first_change) for r in shadows.collect()
+    )
+    assert got == [
+        (0, True, True, True, 2), (1, False, True, False, None), (2, True, False, False, None),
+        (3, True, False, False, None),
+    ]
+    total = P.shadow_counts(shadows).first()
+    assert (total.pairs, total.native_incomplete_shadow_complete, total.structural_matches) == (4, 4, 3)
+    assert (total.exposed_pairs, total.exposed_matches, total.proposed_changes) == (2, 1, 1)
+    assert P.shadow_counts(shadows.limit(0)).count() == 0
+
+
 def test_multinomial_counts_are_whole_and_even():
     items, size, count = 1000, 64, 400
     blocks = [np.array(list(B.item_counts(5, count, items, b, size))) for b in range(-(-items // size))]
