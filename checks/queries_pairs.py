@@ -910,7 +910,8 @@ def confirmation_units(spark, sf):
     rows = choices(spark, sf).where("arm = 'purchase'").select("unit", "seed", "native_complete",
                                                              "eligible", "saving")
     done = flat(spark, sf).where("arm = 'purchase'").select("unit", "seed", "treatment_complete")
-    return rounded(S.confirmation(rows.join(done, ["unit", "seed"]).withColumn("valid", F.lit(True))))
+    judged = rows.join(done, ["unit", "seed"]).withColumn("valid", F.lit(True))
+    return rounded(S.confirmation(judged).drop("invalid_pairs"))
 
 
 # ---- planning ---------------------------------------------------------------------

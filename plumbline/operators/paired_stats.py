@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,41 +253,58 @@ def arm_ratio_matrix(
 
 
 # ---- decisions ------------------------------------------------------------------
-def confirmation(pairs: DataFrame) -> DataFrame:
-    """Planned-cohort confirmation per unit.
+def confirmation_faults(pairs: DataFrame, *, allowed: Sequence[int] = (0, 1)) -> DataFrame:
+    """(unit, seed, fault): pairs that a planned confirmation can't be judged by.
 
-    Only native-complete pairs are attributable; ineligible units tie at zero;
-    savings count over valid eligible pairs.
+    Every pair logs one context, acts an allowed number of times and starts where the
+    native run does; a completed attributable pair is valid. Nulls are faults.
     """
     n, t, e = (F.col(c) for c in ("native_complete", "treatment_complete", "eligible"))
-    used = F.when(n & e & t, F.col("saving"))
-    faulty = F.when(
-        n & e & t & ~F.col("valid"),
-        F.raise_error(F.lit("a completed attributable pair is not valid")).cast("boolean"),
+    faults = {
+        "not_one_context": F.col("contexts") == 1,
+        "too_many_interventions": F.col("interventions").isin(*allowed),
+        "contexts_differ": F.col("contexts_match"),
+        "completed_pair_not_valid": ~(n & e & t) | F.col("valid"),
+    }
+    named = F.array_compact(
+        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in faults.items()])
     )
-    per_unit = pairs.groupBy("unit").agg(
+    return pairs.select("unit", "seed", F.explode(named).alias("fault"))
+
+
+def confirmation(pairs: DataFrame, keys: Sequence[str] = ("unit",)) -> DataFrame:
+    """Planned-cohort confirmation per unit (and arm, if among the keys).
+
+    Only native-complete pairs are attributable; ineligible units tie at zero;
+    savings count over valid eligible pairs. Completed ones that are not valid are
+    counted apart; a job stops on them.
+    """
+    n, t, e = (F.col(c) for c in ("native_complete", "treatment_complete", "eligible"))
+    done, valid = n & e & t, F.coalesce("valid", F.lit(False))
+    used = F.when(done & valid, F.col("saving"))
+    per_unit = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("planned_pairs"),
         F.count_if(n).alias("attributable_pairs"),
         F.count_if(~n).alias("native_incomplete_pairs"),
         F.count_if(n & e).alias("eligible_attributable_pairs"),
         F.count_if(n & e & ~t).alias("unsafe_pairs"),
         F.count(used).alias("valid_pairs"),
+        F.count_if(done & ~valid).alias("invalid_pairs"),
         F.coalesce(F.avg(used), F.lit(0.0)).alias("mean_saving"),
-        F.count(faulty).alias("_faulty"),
     )
-    return per_unit.drop("_faulty").withColumn(
+    return per_unit.withColumn(
         "outcome",
         F.when(F.col("mean_saving") > 0, "win").when(F.col("mean_saving") < 0, "loss")
         .otherwise("tie"),
     )
 
 
-def confirmation_summary(units: DataFrame) -> DataFrame:
-    return units.agg(
+def confirmation_summary(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return units.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("units"),
         *[F.sum(c).alias(c) for c in (
             "planned_pairs", "attributable_pairs", "native_incomplete_pairs",
-            "eligible_attributable_pairs", "unsafe_pairs", "valid_pairs")],
+            "eligible_attributable_pairs", "unsafe_pairs", "valid_pairs", "invalid_pairs")],
         F.avg("mean_saving").alias("mean_saving"),
         F.count_if(F.col("outcome") == "win").alias("wins"),
         F.count_if(F.col("outcome") == "loss").alias("losses"),
@@ -296,11 +313,14 @@ def confirmation_summary(units: DataFrame) -> DataFrame:
     )
 
 
-def confirmation_gate(summary: DataFrame, minimum_pairs: int) -> DataFrame:
-    from plumbline.operators.gates import check_rows
+def confirmation_gate(
+    summary: DataFrame, minimum_pairs: int, keys: Sequence[str] = ()
+) -> DataFrame:
+    from plumbline.operators.gates import keyed_check_rows
 
-    return check_rows(
+    return keyed_check_rows(
         summary,
+        list(keys),
         {
             "minimum_attributable_pairs_met": F.col("attributable_pairs") >= minimum_pairs,
             "zero_attributable_unsafe_pairs": F.col("unsafe_pairs") == 0,
@@ -312,7 +332,7 @@ def confirmation_gate(summary: DataFrame, minimum_pairs: int) -> DataFrame:
 
 
 def pilot_gate(
-    stats: DataFrame, intervals: DataFrame, *, expected_pairs: int, minimum_units: int,
+    stats: DataFrame, intervals: DataFrame, *, expected_pairs: int | Column, minimum_units: int,
     by_interval: bool = True,
 ) -> DataFrame:
     """Checks per arm that decide which fixed policy may advance."""
@@ -355,9 +375,11 @@ def cluster_decision(blocks: DataFrame, limit: float, *, times: Sequence[str] =
     """Per cluster: exposure, correctness failure, lost runs and cost ratios.
 
     ``blocks`` has one row per (cluster, seed) with native_/active_ completion
-    and times, mechanical_ok, terminal_ok, shadow_safe and intervention counts.
+    and times, mechanical_ok, terminal_ok, shadow_safe and intervention counts
+    (``pairs.pilot_blocks`` makes them).
     """
     n, a = F.col("native_complete"), F.col("active_complete")
+    acted = F.coalesce(F.col("interventions") > 0, F.lit(False))
     ratios = [
         F.avg(
             F.log(
@@ -370,11 +392,13 @@ def cluster_decision(blocks: DataFrame, limit: float, *, times: Sequence[str] =
     return blocks.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count_if("shadow_safe").alias("shadow_matches"),
-        F.bool_or(F.col("interventions") > 0).alias("exposed"),
+        F.bool_or(acted).alias("exposed"),
+        F.count_if(~acted).alias("fallback_pairs"),
         F.bool_or(~F.col("mechanical_ok") | (n & a & ~F.col("terminal_ok"))).alias(
             "correctness_failure"
         ),
         F.bool_or(n & ~a).alias("lost_run"),
+        F.count_if("context_observed").alias("observed_contexts"),
         F.count_if(F.col("context_observed") & ~F.col("context_match")).alias(
             "context_mismatches"
         ),
@@ -382,6 +406,48 @@ def cluster_decision(blocks: DataFrame, limit: float, *, times: Sequence[str] =
     )
 
 
+def pilot_population(clusters: DataFrame) -> DataFrame:
+    """One row: how many clusters and pairs acted, fell back, matched or failed."""
+    return clusters.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum("pairs").alias("pairs"),
+        F.count_if("exposed").alias("exposed_clusters"),
+        F.sum("fallback_pairs").alias("fallback_pairs"),
+        F.sum("shadow_matches").alias("shadow_matches"),
+        F.sum("observed_contexts").alias("observed_contexts"),
+        F.sum("context_mismatches").alias("context_mismatches"),
+        F.count_if("correctness_failure").alias("correctness_failure_clusters"),
+        F.count_if("lost_run").alias("lost_run_clusters"),
+    )
+
+
+def pilot_ratios(
+    clusters: DataFrame, *, count: int, seed: int, draw: Callable[..., DataFrame],
+    confidence: float = 0.95, one_sided: float = 0.80,
+) -> DataFrame:
+    """(measure, replicates, ratio, lower, upper, upper_one_sided) over clusters.
+
+    Wall time is drawn twice, for its interval and for its one-sided bound, solver time
+    once; each has a seed of its own. ``draw`` is a bootstrap of this library. All three
+    are drawn in one pass over the clusters, as keys.
+    """
+    from plumbline.operators import bootstrap as B
+
+    shift = {"wall": 0, "wall_one_sided": 1, "solver": 2}
+    of = {"wall": "log_wall", "wall_one_sided": "log_wall", "solver": "log_solver"}
+    entries = [F.struct(F.lit(m).alias("measure"), F.col(of[m]).alias("log_ratio")) for m in shift]
+    logs = clusters.select("cluster", F.inline(F.array(*entries)))
+    step = F.create_map(*[F.lit(x) for pair in shift.items() for x in pair])
+    drawn = draw(
+        logs, keys=["measure"], item="cluster", numerator="log_ratio", count=count,
+        seed=(F.lit(seed) + step[F.col("measure")]).cast("bigint"),
+    )
+    point = logs.groupBy("measure").agg(F.exp(F.avg("log_ratio")).alias("ratio"))
+    two = B.interval(drawn, keys=["measure"], confidence=confidence, geometric=True)
+    one = B.upper_percentile(drawn, keys=["measure"], confidence=one_sided)
+    return point.join(two, "measure").join(one, "measure")
+
+
 def cluster_decision_gate(
     clusters: DataFrame, upper: DataFrame, *, planned_pairs: int, required_matches: int,
     minimum_exposed: int, max_failures: int = 0, max_lost: int = 0, max_ratio: float = 0.95,

@@ -16,6 +16,13 @@ from plumbline.fixed_values import (
 from plumbline.functions import exprs as E
 
 KEYS = ("unit", "seed")
+# Checks that tell how a run was done, and those that tell how it ended.
+MECHANICAL_CHECKS = (
+    "same_unit_sha256", "same_parameters", "same_runtime_versions", "same_objective_sense",
+    "known_intervention_scope", "run_budget_respected", "one_record_per_intervention",
+    "context_budget_respected", "interventions_have_context",
+)
+TERMINAL_CHECKS = ("same_status", "same_primal_bound", "same_dual_bound")
 
 
 def pair_arms(
@@ -223,6 +230,56 @@ def shadow_counts(shadows: DataFrame) -> DataFrame:
     )
 
 
+def pilot_blocks(
+    compared: DataFrame, *, shadow: str, active: str, cluster: "Column | str",
+    wall: str = "arm_wall_time_seconds", solver: str = "solving_time",
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Compared pairs of a shadow and an active arm as one row per (unit, seed).
+
+    ``mechanical_ok``: the active arm ran the planned way; ``terminal_ok``: it ended like
+    native. A context is observed when both arms logged one, and matches when the first
+    ones are equal. A block that lacks an arm stays: what is missing counts as not
+    complete, not safe and not done the planned way.
+    """
+    s, checks = F.col("treatment.selector"), F.col("checks")
+
+    def hold(names):
+        every = [F.coalesce(checks[name], F.lit(False)) for name in names]
+        return F.forall(F.array(*every), lambda x: x)
+
+    def of(arm, value):  # an arm has one row per block
+        return F.max(F.when(F.col("arm") == arm, value))
+
+    def true_of(arm, value):
+        return F.coalesce(of(arm, value), F.lit(False))
+
+    context = F.get(s["context_records"], 0)["context_sha256"]
+    done = {side: E.is_complete(f"{side}.outcome.status") for side in ("native", "treatment")}
+    named = {"wall": wall, "solver": solver}
+    grouped = compared.where(F.col("arm").isin(shadow, active)).withColumn(
+        "_cluster", F.col(cluster) if isinstance(cluster, str) else cluster
+    )
+    blocks = grouped.groupBy(*keys).agg(
+        F.max("_cluster").alias("cluster"),
+        F.coalesce(F.max(done["native"]), F.lit(False)).alias("native_complete"),
+        true_of(active, done["treatment"]).alias("active_complete"),
+        *[F.max(f"native.outcome.{c}").alias(f"native_{t}") for t, c in named.items()],
+        *[of(active, F.col(f"treatment.outcome.{c}")).alias(f"active_{t}")
+          for t, c in named.items()],
+        true_of(active, hold(MECHANICAL_CHECKS)).alias("mechanical_ok"),
+        true_of(active, hold(TERMINAL_CHECKS)).alias("terminal_ok"),
+        true_of(shadow, F.col("safe")).alias("shadow_safe"),
+        F.coalesce(of(active, s["interventions"]), F.lit(0)).alias("interventions"),
+        of(shadow, context).alias("_shadow"), of(active, context).alias("_active"),
+    )
+    seen = F.col("_shadow").isNotNull() & F.col("_active").isNotNull()
+    return blocks.select(
+        "*", seen.alias("context_observed"),
+        F.coalesce(F.col("_shadow") == F.col("_active"), F.lit(False)).alias("context_match"),
+    ).drop("_shadow", "_active")
+
+
 def pair_metrics(
     compared: DataFrame, keep: Sequence[str], metrics: Sequence[str] = PAIR_METRICS
 ) -> DataFrame:

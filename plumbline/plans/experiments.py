@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
 from plumbline.operators import bootstrap as B
+from plumbline.operators import gates as G
 from plumbline.operators import models as M
 from plumbline.operators import paired_stats as S
 from plumbline.operators import pairs as P
@@ -90,12 +91,33 @@ def paired_statistics(
     )
 
 
-def confirm_plan(pairs: DataFrame, plan: DataFrame, minimum_pairs: int):
-    """Planned-cohort confirmation; the observed blocks must be the planned ones."""
+def _refuse(what: str, differences: DataFrame | None) -> None:
+    """Stop where a result differs from its plan; names a few of the places."""
+    some = [] if differences is None else [r["path"] for r in differences.limit(5).collect()]
+    if some:
+        raise ValueError(f"{what} violates its plan at {sorted(some)}")
+
+
+def confirm_plan(
+    pairs: DataFrame, plan: DataFrame, minimum_pairs: int, differences: DataFrame | None = None
+):
+    """Planned-cohort confirmation; the observed blocks must be the planned ones.
+
+    ``differences`` are those of plan and result (``nested.contract_differences``). Pairs that log
+    contexts (contexts, interventions, contexts_match) are held against the rules for
+    them; any fault stops the job."""
+    _refuse("the confirmation", differences)
     if not Q.contract_mismatches(plan, pairs, ["unit", "seed"]).isEmpty():
         raise ValueError("observed blocks differ from the plan")
+    logged = {"contexts", "interventions", "contexts_match"} <= set(pairs.columns)
     units = S.confirmation(pairs)
+    if logged:
+        some = S.confirmation_faults(pairs).select("fault").distinct().collect()
+        if some:
+            raise ValueError(f"pairs can't be judged: {sorted(r['fault'] for r in some)}")
     summary = S.confirmation_summary(units)
+    if summary.select("invalid_pairs").first()[0]:
+        raise ValueError("a completed attributable pair is not valid")
     return units, summary, S.confirmation_gate(summary, minimum_pairs)
 
 
@@ -108,21 +130,40 @@ def pilot_gate(
     return checks, S.best_passing_arm(checks, tie_order)
 
 
-def pilot_decision(
+@dataclass(frozen=True)
+class PilotReport:
+    clusters: DataFrame
+    population: DataFrame
+    ratios: DataFrame
+    checks: DataFrame
+    verdict: DataFrame
+
+
+def pilot_report(
     blocks: DataFrame, limit: float, *, planned_pairs: int, minimum_exposed: int,
-    replicates: int = 10_000, seed: int = 20260720,
-):
-    """Cluster-level go/no-go of an active policy."""
+    replicates: int = 10_000, seed: int = 20260720, differences: DataFrame | None = None,
+    draw: Callable[..., DataFrame] = B.multinomial_replicates, **caps: float,
+) -> PilotReport:
+    """Cluster-level go/no-go of an active policy: per cluster what happened, the whole
+    population, wall and solver ratios with intervals, eight checks and the verdict.
+
+    ``differences`` are those of plan and result; one stops the job. ``caps`` are those
+    of ``cluster_decision_gate``."""
+    _refuse("the pilot", differences)
     clusters = materialize(S.cluster_decision(blocks, limit), "clusters")
-    drawn = B.multinomial_replicates(
-        clusters, keys=[], item="cluster", numerator="log_wall", count=replicates, seed=seed + 1
-    )
-    upper = B.upper_percentile(drawn, keys=[], confidence=0.80)
+    ratios = S.pilot_ratios(clusters, count=replicates, seed=seed, draw=draw)
+    ratios = materialize(ratios, "pilot-ratios")
     checks = S.cluster_decision_gate(
-        clusters, upper, planned_pairs=planned_pairs, required_matches=planned_pairs,
-        minimum_exposed=minimum_exposed,
+        clusters, ratios.where("measure = 'wall_one_sided'"), planned_pairs=planned_pairs,
+        required_matches=planned_pairs, minimum_exposed=minimum_exposed, **caps,
     )
-    return clusters, checks
+    return PilotReport(clusters, S.pilot_population(clusters), ratios, checks, G.gate(checks))
+
+
+def pilot_decision(blocks: DataFrame, limit: float, **options):
+    """(clusters, checks) of ``pilot_report``."""
+    report = pilot_report(blocks, limit, **options)
+    return report.clusters, report.checks
 
 
 def overhead_analysis(

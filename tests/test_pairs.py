@@ -394,6 +394,86 @@ def test_cluster_decision(spark):
     assert {r["check"] for r in failed.where("NOT passed").collect()} == {"point_ratio_within_cap"}
 
 
+def test_pilot_report(spark):
+    rows = [(f"c{i}", s, True, True, 10.0, 9.0, 10.0, 8.0, True, True, True, i % 2, True, True)
+            for i in range(18) for s in range(3)]
+    schema = ("cluster string, seed int, native_complete boolean, active_complete boolean, "
+              "native_wall double, active_wall double, native_solver double, active_solver double, "
+              "mechanical_ok boolean, terminal_ok boolean, shadow_safe boolean, interventions int, "
+              "context_observed boolean, context_match boolean")
+    df = spark.createDataFrame(rows, schema)
+
+    def told(df, **more):
+        return X.pilot_report(df, 300.0, planned_pairs=54, minimum_exposed=9, replicates=20, **more)
+
+    good = told(df)
+    assert good.verdict.first()["passed"]
+    people = good.population.first()
+    assert (people["clusters"], people["exposed_clusters"], people["fallback_pairs"]) == (18, 9, 27)
+    got = {r["measure"]: r for r in good.ratios.collect()}
+    assert got["wall"]["ratio"] == pytest.approx(0.9) and got["solver"]["ratio"] == pytest.approx(0.8)
+    # equal clusters: every draw is the same
+    assert got["solver"]["lower"] == pytest.approx(0.8) == got["solver"]["upper"]
+    # one block broken in one way fails its own check alone
+    first = (F.col("cluster") == "c1") & (F.col("seed") == 0)
+    broken = {
+        "shadow_safe": "shadow_matches_all_pairs", "context_match": "zero_context_mismatches",
+        "terminal_ok": "correctness_failures_within_cap", "active_complete": "lost_runs_within_cap",
+    }
+    for column, check in broken.items():
+        bad = df.withColumn(column, F.col(column) & ~first)
+        if column == "active_complete":  # a lost run costs twice the limit: widen the ratio's cap
+            r = told(bad, max_ratio=2.0, max_upper=2.0)
+        else:
+            r = told(bad)
+        assert [x["check"] for x in r.checks.where("NOT passed").collect()] == [check]
+    other = spark.createDataFrame([("arms[1]", "a", "b")], "path string, planned string, found string")
+    with pytest.raises(ValueError, match=r"plan at \['arms\[1\]'\]"):
+        told(df, differences=other)
+    assert told(df, differences=other.limit(0)).verdict.first()["passed"]
+
+
+def test_pilot_blocks_keep_what_lacks_an_arm(spark):
+    arms = [(1, "native"), (1, "shadow"), (1, "active"), (2, "native"), (2, "shadow")]
+    runs = [(r[0], seed, *r[2:]) for seed, a in arms for r in [run(a)]]
+    df = spark.createDataFrame(runs, RUN)
+    pairs = P.pair_arms(df, ["unit_sha256", "runtime", "parameters", "outcome", "selector"])
+    done = P.compare_treatments(pairs, policy_arms=["active"], shadow_arms=["shadow"])
+    got = {r["seed"]: r for r in P.pilot_blocks(done, shadow="shadow", active="active", cluster=F.lit("c")).collect()}
+    assert got[1]["mechanical_ok"] and got[1]["terminal_ok"] and got[1]["interventions"] == 1
+    assert got[1]["active_complete"] and got[1]["context_match"]
+    lost = got[2]
+    assert not (lost["active_complete"] or lost["mechanical_ok"] or lost["context_observed"])
+    assert lost["interventions"] == 0 and lost["active_wall"] is None
+    one = S.cluster_decision(spark.createDataFrame(list(got.values())), 300.0).first()
+    assert (one["pairs"], one["fallback_pairs"], one["lost_run"], one["correctness_failure"]) == (2, 1, True, True)
+    none = P.pilot_blocks(done.limit(0), shadow="shadow", active="active", cluster=F.lit("c"))
+    assert S.pilot_population(S.cluster_decision(none, 300.0)).first()["clusters"] == 0
+
+
+def test_confirmation_faults(spark):
+    schema = ("unit string, seed int, native_complete boolean, treatment_complete boolean, eligible boolean, "
+              "valid boolean, saving double, contexts int, interventions int, contexts_match boolean")
+    good = ("a", 1, True, True, True, True, 0.2, 1, 1, True)
+    odd = [
+        (*good[:7], 2, 1, True), (*good[:7], 1, 2, True), (*good[:7], 1, 1, None),
+        ("a", 1, True, True, True, None, 0.2, 1, 1, True),
+    ]
+    names = ["not_one_context", "too_many_interventions", "contexts_differ", "completed_pair_not_valid"]
+    for row, name in zip(odd, names):
+        df = spark.createDataFrame([row], schema)
+        assert [r["fault"] for r in S.confirmation_faults(df).collect()] == [name]
+        with pytest.raises(ValueError, match=name):
+            X.confirm_plan(df, df.select("unit", "seed"), 1)
+    df = spark.createDataFrame([good], schema)
+    assert S.confirmation_faults(df).isEmpty()
+    assert all(r["passed"] for r in X.confirm_plan(df, df.select("unit", "seed"), 1)[2].collect())
+    # the validity of completed pairs is held without logged contexts too
+    bare = spark.createDataFrame([odd[3]], schema).drop("contexts", "interventions", "contexts_match")
+    with pytest.raises(ValueError, match="not valid"):
+        X.confirm_plan(bare, bare.select("unit", "seed"), 1)
+
+
 def test_objective_mismatch_names_the_nearer_side(spark):
     df = spark.createDataFrame(
         [("u", 1.0, 2.0, 1.0, 2.0, True, True)],
