@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
+from plumbline.operators.ordering import with_positions
 
 
 def critical_value(alpha: float = 0.05, power: float = 0.80) -> float:
@@ -73,6 +74,60 @@ def cluster_support(
     )
 
 
+def repeated_members(
+    assignments: DataFrame, *, unit: str = "unit", cluster: str = "cluster", split: str = "split"
+) -> DataFrame:
+    """(split, cluster, member, unit, seen_in_training) of clusters with several units.
+
+    A row per unit instead of a list: a cluster may hold any number of them. Members are
+    numbered from 1 by name inside their split.
+    """
+    placed = with_positions(
+        assignments.select(split, cluster, unit, F.lit(1).alias("_one")), [split, cluster], [unit],
+        position="member", totals={"_units": "_one"},
+    )
+    trained = assignments.where(F.col(split) == "train").select(cluster).distinct()
+    seen = trained.withColumn("_seen", F.lit(True))
+    return placed.where("_units > 1").join(seen, cluster, "left").select(
+        split, cluster, "member", unit, F.coalesce("_seen", F.lit(False)).alias("seen_in_training")
+    )
+
+
+def future_design(
+    spread: DataFrame, support: DataFrame, *, improvement: float = 0.10, margin: float = 1.05,
+    cap: float = 0.05, seeds: int = 3, arms: Sequence[int] = (2, 3),
+) -> DataFrame:
+    """(quantity, scenario, value): what a study needs that serves several claims at once.
+
+    Superiority with safety takes the larger of both sizes, the dual purpose also that of
+    noninferiority. What ``support`` (one row of ``cluster_support``) lacks is told for all
+    its clusters and for those unseen in training; runs are units x seeds x arms.
+    """
+    one = spread.agg(F.max("sigma").alias("sigma")).select(
+        paired_size("sigma", F.lit(1.0), F.lit(1.0 - improvement)).alias("superiority"),
+        paired_size("sigma", F.lit(margin), F.lit(1.0)).alias("noninferiority"),
+        zero_failure_size(cap).alias("safety"),
+        support.select("clusters").scalar().alias("clusters"),
+        support.select("unseen_in_training").scalar().alias("unseen"),
+    )
+    need = {
+        "superiority_and_safety": F.greatest("superiority", "safety"),
+        "dual_purpose": F.greatest("superiority", "noninferiority", "safety"),
+    }
+    rows = {("basis", c): F.col(c) for c in ("superiority", "noninferiority", "safety")}
+    for design, units in need.items():
+        rows[design, "units"] = units
+        rows[design, "beyond_available"] = F.greatest(units - F.col("clusters"), F.lit(0))
+        rows[design, "beyond_unseen"] = F.greatest(units - F.col("unseen"), F.lit(0))
+        for n in arms:
+            rows[design, f"runs_of_{n}_arms"] = units * seeds * n
+    entries = [
+        F.struct(F.lit(q).alias("quantity"), F.lit(s).alias("scenario"), v.cast("bigint").alias("value"))
+        for (q, s), v in rows.items()
+    ]
+    return one.select(F.inline(F.array(*entries)))
+
+
 def precision_plan(
     spread: DataFrame,
     support: DataFrame,

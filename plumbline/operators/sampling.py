@@ -292,6 +292,14 @@ def cluster_folds(
     return named.join(turns, [*shape, "_p"]).select(cluster, "units", "rows", "fold")
 
 
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """Per fold: clusters, units and rows, and its share of all rows."""
+    per = folds.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("units").alias("units"), F.sum("rows").alias("rows")
+    )
+    return per.withColumn("share", F.col("rows") / folds.agg(F.sum("rows")).scalar())
+
+
 def assign_folds(queries: DataFrame, folds: DataFrame, *, cluster: str = "cluster"):
     """Fold of every query; clusters left out of the folds get -1."""
     return queries.join(folds.select(cluster, "fold"), cluster, "left").na.fill({"fold": -1})

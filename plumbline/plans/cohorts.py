@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import precision as N
 from plumbline.operators import protocols as V
+from plumbline.operators import rollup as R
 from plumbline.operators import sampling as W
+from plumbline.session import materialize
 from plumbline.sources import html as H
 
 
@@ -55,6 +58,29 @@ def cohort_audit(active: DataFrame, queues: DataFrame, assignments: DataFrame):
     )
 
 
+@dataclass(frozen=True)
+class AuditRollup:
+    rollup: DataFrame
+    members: DataFrame
+    report: DataFrame
+
+
+def audit_rollup(
+    records: DataFrame, units: DataFrame, assignments: DataFrame,
+    summaries: Mapping[str, tuple[DataFrame, Sequence[str]]],
+) -> AuditRollup:
+    """The whole audit of a cohort: totals by artifact, queue and status, members of
+    repeated clusters, and one report of these totals, the support and ``summaries``
+    (name to a summary and its keys, such as arm statistics)."""
+    rollup = materialize(R.cohort_rollup(records, units), "rollup")
+    parts = {
+        "rollup": (rollup, ["level", "artifact", "queue", "status"]),
+        "support": (N.cluster_support(assignments), ["split"]),
+        **summaries,
+    }
+    return AuditRollup(rollup, N.repeated_members(assignments), R.audit_report(parts))
+
+
 # ---- fixed values: cells of the collection table, in page order -------------
 CELL_NAMES = [
     "instance",
