@@ -11,8 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import draws
 from plumbline.functions import exprs as E
@@ -233,14 +236,56 @@ def diverse_order(
     limit = 1.0 - min_orthogonality
     decision = list(decision)
     work = _prepared(rows, decision, index, score, vector, budget, forced)
-    order = [F.col("_s").desc(), "_index", "_tie"]
     bytes_left = ROW_BYTES * hot_row_limit(rows.sparkSession, hot_rows)
-    top = F.max(F.when(~F.col("_forced"), F.col("_s")))
-    work = with_group_aggregates(work, decision, {"_top": top}, hot_rows=hot_rows)
-    work = work.withColumn("_top", F.coalesce("_top", F.lit(-E.INF)))
     weight = (F.lit(8) * F.greatest(F.coalesce(F.size("_vector"), F.lit(1)), F.lit(1)) + 16).cast("bigint")
+    scan = _scan(limit, max(0.5, limit))
     keys = hot_groups(work.select(*decision, weight.alias("_w")), decision,
                       weight=F.col("_w"), limit=bytes_left)
+    if keys is None:
+        return _ordered_at_once(work, decision, scan)
+    small, large = split_hot(work, decision, keys)
+    return _ordered_at_once(small, decision, scan).unionByName(
+        _ordered_by_stretches(large, decision, scan, weight, bytes_left, hot_rows)
+    )
+
+
+def _ordered_at_once(work: DataFrame, decision: list[str], scan) -> DataFrame:
+    """Decisions that fit a task: one shuffle, sorted, scanned and placed where they meet."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        keys = [("_s", "descending"), ("_index", "ascending"), ("_tie", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        pdf = table.select(["_s", "_vector", "_forced", "_budget"]).to_pandas()
+        free = ~pdf["_forced"].to_numpy(dtype=bool)
+        pdf["_at"] = np.arange(len(pdf))
+        pdf["_top"] = pdf["_s"].to_numpy()[free].max(initial=-np.inf)
+        picked = scan(pdf[~free], pdf[free])["_at"].to_numpy(dtype="int64")
+        free[picked] = False
+        order = np.concatenate([picked, np.flatnonzero(free)])
+        place = np.arange(1, len(order) + 1)
+        kept = table.select([*decision, "_index", "_budget"]).take(pa.array(order, pa.int64()))
+        chosen = pc.less_equal(pa.array(place, pa.int64()), kept["_budget"])
+        return pa.table(
+            [*kept.columns[:-1], pa.array(place, pa.int64()), chosen],
+            names=[*decision, "pick", "place", "selected"],
+        )
+
+    schema = T.StructType(
+        [work.schema[c] for c in decision]
+        + [T.StructField("pick", work.schema["_index"].dataType), T.StructField("place", T.LongType()),
+           T.StructField("selected", T.BooleanType())]
+    )
+    return work.groupBy(*decision).applyInArrow(whole, schema)
+
+
+def _ordered_by_stretches(
+    work: DataFrame, decision: list[str], scan, weight: Column, bytes_left: int, hot_rows: int | None
+) -> DataFrame:
+    """Decisions too large for a task, numbered in score order over many."""
+    order = [F.col("_s").desc(), "_index", "_tie"]
+    top = F.max(F.when(~F.col("_forced"), F.col("_s")))
+    work = with_group_aggregates(work, decision, {"_top": top}, hot_rows=hot_rows)
+    work = work.withColumn("_top", F.coalesce("_top", F.lit(-E.INF)))
     placed = with_positions(
         work.withColumn("_w", weight), [*decision, "_forced"], order,
         position="_at", running={"_upto": "_w"}, hot_rows=hot_rows,
@@ -251,20 +296,7 @@ def diverse_order(
         "diverse",
     )
     schema = placed.withColumn("_place", F.lit(0).cast("bigint")).schema
-    scan = _scan(limit, max(0.5, limit))
-
-    def first_turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_forced = pdf["_forced"].astype(bool)
-        return scan(pdf[is_forced], pdf[~is_forced])
-
-    if keys is None:
-        picks = placed.groupBy(*decision).applyInPandas(first_turn, schema)
-    else:
-        small, large = split_hot(placed, decision, keys)
-        picks = small.groupBy(*decision).applyInPandas(first_turn, schema).unionByName(
-            _stretches(large, decision, scan, schema)
-        )
-    picks = materialize(picks, "picks")
+    picks = materialize(_stretches(placed, decision, scan, schema), "picks")
     named = [F.col(c).alias(f"_p{i}") for i, c in enumerate(decision)]
     chosen = picks.select(*named, F.col("_at").alias("_pat"), "_place")
     same = reduce(
