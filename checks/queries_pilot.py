@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.queries_pairs import (
-    ARM_STATS_SQL, COMPARED_SQL, LIMIT, NAME_SEED, NATIVE, POLICY, REPLICATES, SEED, SHADOW,
-    arm_runs, costed, draw_sql,
+    ARM_STATS_SQL, ARMS, COMPARED_SQL, LIMIT, LOSO_SQL, NAME_SEED, NATIVE, POLICY, REPLICATES, SEED,
+    SHADOW, arm_runs, choices, costed, draw_sql,
 )
 from checks.queries_ranking import rounded
-from checks.views import PAIRED_SQL
+from checks.views import CELLS_SQL, PAIRED_SQL, pairs_cells
 from plumbline.functions import exprs as E
 from plumbline.operators import bootstrap as B
 from plumbline.operators import paired_stats as S
@@ -332,3 +332,53 @@ UNION ALL SELECT unit, seed, 'completed_pair_not_valid', count(*) FROM logs WHER
 def confirmation_faults(spark, sf):
     found = S.confirmation_faults(judged(spark, sf))
     return found.groupBy("unit", "seed", "fault").agg(F.count(F.lit(1)).alias("arms"))
+
+
+# ---- contexts and held-out seeds over all blocks ------------------------------------
+CONTEXT_SQL = f"""{CELLS_SQL},
+c AS (SELECT unit, seed, floor(work)::BIGINT AS w FROM cells),
+p AS (SELECT *, '{{"odd":' || CASE WHEN w % 23 = 0 THEN 1 ELSE 0 END || ',"unit":' || unit || '}}' AS text FROM c),
+f AS (SELECT unit, seed, text, CASE WHEN w % 29 = 0 THEN 'not_one_context' WHEN w % 31 = 0 THEN 'payload_hash_differs'
+    WHEN w % 37 = 0 THEN 'manifest_hash_differs' END AS fault FROM p),
+g AS (SELECT unit, seed, count(*) AS arms, count(*) FILTER (fault = 'not_one_context') AS not_one_context,
+    count(*) FILTER (fault = 'payload_hash_differs') AS payload_hash_differs,
+    count(*) FILTER (fault = 'manifest_hash_differs') AS manifest_hash_differs, count(fault) AS faults,
+    count(DISTINCT text) AS texts, min(text) AS text FROM f GROUP BY unit, seed),
+v AS (SELECT *, CASE WHEN arms < 3 THEN 'arm_missing' WHEN faults > 0 THEN 'arm_fault'
+    WHEN texts > 1 THEN 'arms_differ' END AS verdict FROM g)"""
+
+
+@query(
+    "shared_contexts",
+    f"""WITH {CONTEXT_SQL}
+SELECT unit, seed, arms, not_one_context, payload_hash_differs, manifest_hash_differs, verdict,
+  CASE WHEN verdict IS NULL THEN sha256(text) END AS context_sha256, CASE WHEN verdict IS NULL THEN text END AS context
+FROM v""",
+)
+def shared_contexts(spark, sf):
+    """Blocks of at least three arms; some log twice, some a text or a manifest of another hash."""
+    w = F.floor("work").cast("bigint")
+    odd = F.when(w % 23 == 0, 1).otherwise(0).cast("string")
+    text = F.concat(F.lit('{"odd":'), odd, F.lit(',"unit":'), F.col("unit").cast("string"), F.lit("}"))
+    sha = F.sha2(text, 256)
+    record = F.struct(
+        sha.alias("context_sha256"),
+        F.when(w % 31 == 0, F.concat(text, F.lit(" "))).otherwise(text).alias("decision_context"),
+    )
+    arms = pairs_cells(spark, sf).select(
+        "unit", "seed", "arm",
+        F.when(w % 29 == 0, F.array(record, record)).otherwise(F.array(record)).alias("context_records"),
+        F.when(w % 37 == 0, F.lit("x")).otherwise(sha).alias("initial_context_sha256"),
+    )
+    return P.shared_contexts(arms, expected=3)
+
+
+@query(
+    "leave_one_seed_out_all",
+    f"""WITH {LOSO_SQL.replace(' SEMI JOIN full_blocks USING (unit, seed)', '')}
+SELECT * EXCLUDE (training_saving, held_out_saving), round(training_saving, 9) AS training_saving,
+  round(held_out_saving, 9) AS held_out_saving FROM ev""",
+)
+def leave_one_seed_out_all(spark, sf):
+    """Every block, those that lack arms too: an arm is chosen among those that ran."""
+    return rounded(P.leave_one_seed_out(choices(spark, sf), ARMS))

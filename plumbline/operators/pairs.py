@@ -414,6 +414,49 @@ def context_agreement(arms: DataFrame, *, keys: Sequence[str] = KEYS, expected:
     )
 
 
+# What a logged context may lack, in the order in which it is told.
+CONTEXT_FAULTS = ("not_one_context", "payload_hash_differs", "manifest_hash_differs")
+
+
+def shared_contexts(arms: DataFrame, *, keys: Sequence[str] = KEYS, expected: int) -> DataFrame:
+    """The context that all arms of a block started from, checked down to its text.
+
+    ``arms`` has a row per arm: ``context_records`` (context_sha256, decision_context as
+    text) and the manifest's ``initial_context_sha256``. An arm must log one context, whose
+    text has the logged hash, which is the manifest's; its first fault counts. Nulls are
+    faults. Per block: arms, arms by fault, ``verdict`` (null, or arm_missing, arm_fault,
+    arms_differ, equal_hashes_unequal_texts), and the context and its hash where all is
+    well. A text is read once, by its task; blocks meet in one aggregate.
+    """
+    first = F.get("context_records", F.lit(0))
+    told, text = first["context_sha256"], first["decision_context"]
+    holds = (
+        F.size("context_records") == 1,
+        F.sha2(text, 256) == told,
+        F.col("initial_context_sha256") == told,
+    )
+    bad = [F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in zip(CONTEXT_FAULTS, holds)]
+    judged = arms.select(*keys, F.coalesce(*bad).alias("_fault"), told.alias("_hash"), text.alias("_text"))
+    blocks = judged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("arms"),
+        *[F.count_if(F.col("_fault") == name).alias(name) for name in CONTEXT_FAULTS],
+        F.count("_fault").alias("_faults"),
+        *[f(c).alias(f"{c}_{n}") for c in ("_hash", "_text") for n, f in (("lo", F.min), ("hi", F.max))],
+    )
+    verdict = (
+        F.when(F.col("arms") < expected, "arm_missing")
+        .when(F.col("_faults") > 0, "arm_fault")
+        .when(F.col("_hash_lo") != F.col("_hash_hi"), "arms_differ")
+        .when(F.col("_text_lo") != F.col("_text_hi"), "equal_hashes_unequal_texts")
+    )
+    fine = verdict.isNull()
+    return blocks.select(
+        *keys, "arms", *CONTEXT_FAULTS, verdict.alias("verdict"),
+        F.when(fine, F.col("_hash_lo")).alias("context_sha256"),
+        F.when(fine, F.col("_text_lo")).alias("context"),
+    )
+
+
 # ---- choosing an arm --------------------------------------------------------
 def _place(arm: Column, order: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(a) for a in order]), arm)

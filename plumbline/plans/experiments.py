@@ -12,6 +12,7 @@ from plumbline.functions import exprs as E
 from plumbline.operators import bootstrap as B
 from plumbline.operators import gates as G
 from plumbline.operators import models as M
+from plumbline.operators import nested as J
 from plumbline.operators import paired_stats as S
 from plumbline.operators import pairs as P
 from plumbline.operators import precision as N
@@ -214,6 +215,20 @@ def precision_plan(units: DataFrame, assignments: DataFrame) -> DataFrame:
     return N.precision_plan(N.log_ratio_spread(units), support)
 
 
+def checked_contexts(arms: DataFrame, expected: int) -> DataFrame:
+    """(unit, seed, context_sha256, context) of every block; any fault or any key that only
+    an outcome has stops the job."""
+    blocks = materialize(P.shared_contexts(arms, expected=expected), "contexts")
+    faults = [r["verdict"] for r in blocks.where("verdict IS NOT NULL").select("verdict").distinct().collect()]
+    if faults:
+        raise ValueError(f"arms don't share a sound context: {sorted(faults)}")
+    kept = blocks.select("unit", "seed", "context_sha256", "context")
+    paths = [r["path"] for r in J.forbidden_paths(kept, "context").limit(5).collect()]
+    if paths:
+        raise ValueError(f"outcome fields in contexts: {sorted(paths)}")
+    return kept
+
+
 def build_records(pairs: DataFrame, labels: DataFrame):
     """(records, accounting, label counts); every source pair is accounted for."""
     counts = Q.record_accounting(pairs)

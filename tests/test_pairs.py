@@ -483,3 +483,46 @@ def test_objective_mismatch_names_the_nearer_side(spark):
     )
     ref = spark.createDataFrame([("u", 2.0)], "unit string, reference_objective double")
     assert P.objective_mismatch(df, ref).first()["closer"] == "treatment"
+
+
+def test_shared_contexts(spark):
+    import hashlib
+
+    def sha(t):
+        return hashlib.sha256(t.encode()).hexdigest()
+
+    def arm(seed, name, text="{}", records=1, told=None, manifest=None):
+        told = sha(text) if told is None else told
+        return ("u", seed, name, [(told, text)] * records, told if manifest is None else manifest)
+
+    rows = [
+        arm(1, "a"), arm(1, "b"),
+        arm(2, "a"),
+        arm(3, "a", records=2), arm(3, "b"),
+        arm(4, "a", told="0" * 64), arm(4, "b"),
+        arm(5, "a", manifest="1" * 64), arm(5, "b"),
+        arm(6, "a", '{"k":1}'), arm(6, "b"),
+        ("u", 7, "a", None, None), arm(7, "b"),
+        ("u", 8, "a", [(sha("x"), None)], sha("x")), arm(8, "b"),
+        arm(9, "a", '{"nested":{"outcome":1}}'), arm(9, "b", '{"nested":{"outcome":1}}'),
+    ]
+    df = spark.createDataFrame(rows, "unit string, seed int, arm string, context_records array<struct<context_sha256:string,"
+                               "decision_context:string>>, initial_context_sha256 string")
+    got = {r["seed"]: r for r in P.shared_contexts(df, expected=2).collect()}
+    assert {k: r["verdict"] for k, r in got.items()} == {
+        1: None, 2: "arm_missing", 3: "arm_fault", 4: "arm_fault", 5: "arm_fault", 6: "arms_differ", 7: "arm_fault",
+        8: "arm_fault", 9: None,
+    }
+    assert (got[1]["context"], got[1]["context_sha256"]) == ("{}", sha("{}")) and got[6]["context"] is None
+    assert [got[k][f] for k, f in [(3, "not_one_context"), (4, "payload_hash_differs"), (5, "manifest_hash_differs"),
+                                   (7, "not_one_context"), (8, "payload_hash_differs")]] == [1] * 5
+    assert X.checked_contexts(df.where("seed = 1"), 2).count() == 1
+    with pytest.raises(ValueError, match="arm_fault.*arm_missing.*arms_differ"):
+        X.checked_contexts(df, 2)
+    from plumbline.fixed_values import FORBIDDEN_CONTEXT_KEYS
+
+    leak = '{"nested":[{"%s":1}]}' % FORBIDDEN_CONTEXT_KEYS[0]
+    bad = spark.createDataFrame([arm(1, "a", leak), arm(1, "b", leak)], df.schema)
+    with pytest.raises(ValueError, match="outcome fields"):
+        X.checked_contexts(bad, 2)
+    assert P.shared_contexts(df.limit(0), expected=2).isEmpty()
