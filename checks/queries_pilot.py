@@ -17,6 +17,7 @@ from plumbline.functions import exprs as E
 from plumbline.operators import bootstrap as B
 from plumbline.operators import paired_stats as S
 from plumbline.operators import pairs as P
+from plumbline.operators import quality as Q
 from plumbline.plans import experiments as X
 from plumbline.session import materialize
 
@@ -382,3 +383,28 @@ SELECT * EXCLUDE (training_saving, held_out_saving), round(training_saving, 9) A
 def leave_one_seed_out_all(spark, sf):
     """Every block, those that lack arms too: an arm is chosen among those that ran."""
     return rounded(P.leave_one_seed_out(choices(spark, sf), ARMS))
+
+
+# ---- records and their labels ---------------------------------------------------------
+@query(
+    "record_profile",
+    f"""WITH {CELLS_SQL},
+r AS (SELECT nodes, CASE WHEN complete THEN 'optimal' ELSE 'timelimit' END AS status FROM cells WHERE arm = 'view')
+SELECT grouping(status) = 1 AS whole, status, count(*) AS records, count(nodes) AS sized_records, min(nodes) AS smallest,
+  max(nodes) AS largest, round(avg(nodes), 9) AS mean_size FROM r GROUP BY GROUPING SETS ((status), ())""",
+)
+def record_profile(spark, sf):
+    """Sizes and end states of the native runs, a record each."""
+    runs = arm_runs(spark, sf).where(F.col("arm") == NATIVE)
+    return rounded(Q.record_profile(runs.select("outcome.nodes", "outcome.status"), size="nodes", status="status"))
+
+
+@query(
+    "label_counts",
+    f"""WITH {JUDGED_SQL}
+SELECT arm, count(*) FILTER (safe) AS safe, count(*) FILTER (valid) AS valid,
+  count(*) FILTER (valid AND saving > 0) AS positive_saving FROM judged GROUP BY arm""",
+)
+def label_counts(spark, sf):
+    long = P.pair_metrics(compared(spark, sf), ["arm", "safe", "valid"], ["lp_iterations"])
+    return Q.label_counts(long)

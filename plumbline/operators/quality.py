@@ -222,6 +222,21 @@ def record_accounting(pairs: DataFrame) -> DataFrame:
     )
 
 
+def record_profile(
+    records: DataFrame, *, size: str = "n_candidates", status: str = "native_status"
+) -> DataFrame:
+    """(whole, status, records, sized_records, smallest, largest, mean_size): a row per
+    status and one of all records, in one aggregate. Null sizes don't count as sizes; a null
+    status is a status of its own, told from the whole by ``whole``. No records, no rows."""
+    return records.groupingSets([[F.col(status)], []], F.col(status)).agg(
+        (F.grouping(status) == 1).alias("whole"), F.count(F.lit(1)).alias("records"),
+        F.count(size).alias("sized_records"), F.min(size).alias("smallest"),
+        F.max(size).alias("largest"), F.avg(size).alias("mean_size"),
+    ).select(
+        "whole", F.col(status).alias("status"), "records", "sized_records", "smallest", "largest", "mean_size",
+    )
+
+
 def label_counts(labels: DataFrame) -> DataFrame:
     """Per arm: safe, valid and positive-saving labels of the records."""
     return labels.groupBy("arm").agg(

@@ -5,6 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from plumbline.operators import precision as N
+from plumbline.operators import quality as Q
 from plumbline.operators import rollup as R
 from plumbline.operators import sampling as W
 from plumbline.plans import cohorts as C
@@ -111,3 +112,12 @@ def test_fold_summary(spark):
     )
     got = {r["fold"]: tuple(r)[1:] for r in W.fold_summary(folds).collect()}
     assert got == {0: (1, 2, 6, 0.6), 1: (2, 2, 4, 0.4)}
+
+
+def test_record_profile_tells_null_statuses_from_the_whole(spark):
+    rows = [("optimal", 4), ("optimal", None), (None, 10), (None, 20)]
+    df = spark.createDataFrame(rows, "native_status string, n_candidates bigint")
+    got = {(r["whole"], r["status"]): tuple(r)[2:] for r in Q.record_profile(df).collect()}
+    assert got == {
+        (False, "optimal"): (2, 1, 4, 4, 4.0), (False, None): (2, 2, 10, 20, 15.0), (True, None): (4, 3, 4, 20, 34 / 3),
+    }
