@@ -151,3 +151,20 @@ def test_exact_bound_against_sums_of_the_binomial(spark):
     # Half of very many: close to the normal bound.
     assert got[10**7, 2 * 10**7] == pytest.approx(0.5 + 1.6448536 * 0.5 / math.sqrt(2e7), abs=1e-7)
     assert got[None, 3] is got[2, None] is got[0, 0] is None
+
+
+def test_exact_sum_does_not_hang_on_the_order_of_rows(spark):
+    rows = [(k, v) for k, vs in {
+        "tenths": [0.1] * 10, "mixed": [72.91, 0.07, 27.02], "none": [None], "large": [1e25, 1.0],
+    }.items() for v in vs]
+    got = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(E.exact_sum("v").alias("s"))
+    assert {r["k"]: r["s"] for r in got.collect()} == {"tenths": 1.0, "mixed": 100.0, "none": None, "large": 1e25}
+
+
+def test_cells_sum_their_values_exactly(spark, tmp_path):
+    from checks.views import pairs_cells
+
+    rows = spark.range(10).selectExpr("timestamp'2024-01-01' AS ts", "7L AS user_id", "'view' AS event_type", "0.1D AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    (cell,) = pairs_cells(spark, str(tmp_path)).collect()
+    assert (cell["work"], cell["time"]) == (1.0, 0.1)
