@@ -74,6 +74,10 @@ def replicates(
     held, key_bytes = wanted.agg(F.count(F.lit(1)), F.sum(text)).first()
     if held <= BROADCAST_ITEMS and (key_bytes or 0) <= BROADCAST_KEY_BYTES:
         placed = F.broadcast(placed)
+    else:
+        # The draws look as small as the chunks that they are unfolded from; without the hint
+        # all of them would be collected for a broadcast.
+        placed = placed.hint("shuffle_hash")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = wanted.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_seed").alias("_seed")

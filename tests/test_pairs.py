@@ -105,6 +105,15 @@ def test_bootstrap_matches_plain_arithmetic_when_shuffled(spark, monkeypatch):
     assert len(got) == 5
 
 
+def test_bootstrap_of_many_items_never_broadcasts_its_draws(spark, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST_ITEMS", 0)
+    df = spark.createDataFrame([("a", i, 1.0) for i in range(50)], "arm string, unit bigint, v double")
+    got = B.replicates(df, keys=["arm"], item="unit", numerator="v", count=4, seed=3)
+    assert {r["estimate"] for r in got.collect()} == {1.0}
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "_draw" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_shadow_pairs_read_records_and_pass_over_missing_ones(spark):
     checks = {"native_complete": False, "treatment_complete": True, "same_bounds": True}
     out = ("timelimit", 2.0)
