@@ -63,10 +63,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in sequences of 2048 tokens."""
+    """Pieces of the documents with their place in sequences of 2048 tokens. Sequences are
+    filled from stretches of the mixture and numbered in its order."""
     ship(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    return with_crc32(packing.packed_documents(docs, path))
+    place = rows.unused(docs, "_place")
+    docs_no = rows.in_file_order(docs, place)
+    return with_crc32(packing.packed_documents(docs_no, path, place=place))
 
 
 STAGES = [

@@ -9,6 +9,10 @@ of the piece with what is left. Longest pieces go first.
 Pieces are dealt by hash to groups of about GROUP pieces, which tasks pack on
 their own, from lengths alone. Sequences that a group leaves open are emptied and
 packed once more over all groups, so that the number of groups costs little.
+
+Where documents come in an order that counts, as a mixture's, pieces are dealt by
+stretches of that order instead, and a sequence's number is its earliest piece's place:
+read by number, sequences follow the order as far as their stretch goes.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ SEQUENCE_TOKENS = 2048
 GROUP = 8192
 FULL = 0.98  # a sequence filled less is packed again
 WEIGHTS = (1.0, 0.25, 0.25)  # of what is left of tokens, documents and attention
+PIECES = 24  # bits of a piece's number in a key that begins with a place
 
 
 def best_fit(
@@ -88,9 +93,10 @@ def best_fit(
 
 def pieces_of(
     docs: DataFrame, path: str, *, tokens: int = SEQUENCE_TOKENS,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", place: str | None = None,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids): documents cut only where they are too long.
+    With ``place``, a long column of ``docs``, that one too.
 
     ``ids`` holds little-endian unsigned 32-bit integers compressed by zstandard,
     the end id of the document included; a null text is an empty one.
@@ -118,17 +124,22 @@ def pieces_of(
                         pa.array(begin, pa.int64()),
                         pa.array(length, pa.int64()),
                         pa.array(data, pa.binary()),
+                        *[c.slice(at, count).take(pa.array(owner)) for c in batch.columns[2:]],
                     ],
-                    names=["doc_id", "piece", "start", "length", "ids"],
+                    names=["doc_id", "piece", "start", "length", "ids", *(["place"] if place else [])],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids binary"
+    more = [F.col(place).cast("long").alias("place")] if place else []
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string"), *more).mapInArrow(
+        run, "doc_id long, piece int, start long, length long, ids binary" + (", place long" if place else "")
     )
 
 
-def _packed(items: DataFrame, groups: int, turn: int, tokens: int, options: dict) -> DataFrame:
-    """(key, length, sequence_id, offset, fill) of items (key, length)."""
+def _packed(
+    items: DataFrame, groups: int, turn: int, tokens: int, options: dict, places: int | None = None
+) -> DataFrame:
+    """(key, length, sequence_id, offset, fill) of items (key, length). ``places``: keys begin
+    with one of so many places, whose order counts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
@@ -141,26 +152,33 @@ def _packed(items: DataFrame, groups: int, turn: int, tokens: int, options: dict
             {
                 "key": rows["key"],
                 "length": rows["length"],
-                "sequence_id": group + rows["bin"],
+                "sequence_id": group + rows["bin"] if places is None else rows.groupby("bin")["key"].transform("min"),
                 "offset": size.cumsum() - rows["length"],
                 "fill": size.transform("sum"),
             }
         )
 
-    group = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(groups))
+    if places is None:
+        group = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(groups))
+    else:
+        group = F.floor(F.shiftright("key", PIECES) / F.lit(places) * groups)
     return items.withColumn("group", group).groupBy("group").applyInPandas(
         run, "key long, length long, sequence_id long, offset long, fill long"
     )
 
 
-def pack(items: DataFrame, *, tokens: int = SEQUENCE_TOKENS, **options) -> DataFrame:
+def pack(
+    items: DataFrame, *, tokens: int = SEQUENCE_TOKENS, ordered: bool = False, **options
+) -> DataFrame:
     """(key, sequence_id, offset) of items (key, length), by two rounds of best fit.
 
-    ``options`` are those of ``best_fit``. Offsets are gapless from 0.
+    ``options`` are those of ``best_fit``. Offsets are gapless from 0. ``ordered``: a key is a
+    place times 2 ** PIECES plus a number, and a sequence_id the smallest key in it.
     """
-    total = items.count()
+    total, last = items.agg(F.count(F.lit(1)), F.max(F.shiftright("key", PIECES))).first()
+    places = (last or 0) + 1 if ordered else None
     groups = max(1, -(-total // GROUP))
-    first = _packed(items, groups, 0, tokens, options)
+    first = _packed(items, groups, 0, tokens, options, places)
     out = ["key", "sequence_id", "offset"]
     if groups == 1:
         return first.select(out)
@@ -168,24 +186,28 @@ def pack(items: DataFrame, *, tokens: int = SEQUENCE_TOKENS, **options) -> DataF
     is_open = F.col("fill") < FULL * tokens
     again = first.where(is_open).select("key", "length")
     left = again.count()
-    second = _packed(again, max(1, -(-left // GROUP)), 1, tokens, options)
+    second = _packed(again, max(1, -(-left // GROUP)), 1, tokens, options, places)
     return first.where(~is_open).select(out).unionByName(second.select(out))
 
 
 def packed_documents(
     docs: DataFrame, path: str, *, tokens: int = SEQUENCE_TOKENS, doc_id: str = "doc_id",
-    text: str = "text", **options,
+    text: str = "text", place: str | None = None, **options,
 ) -> DataFrame:
     """Pieces with their sequence: doc_id, piece, start, length, sequence_id, offset, ids.
 
+    ``place`` names a column of whole numbers from 0, one a row, in whose order sequences are
+    to be read, by sequence_id.
+
     ``ids`` are the piece's ids as little-endian unsigned 32-bit integers. Null and
     empty texts hold the end id alone; rows that repeat a doc_id are packed each;
     an empty table gives none.
     """
-    cut = pieces_of(docs, path, tokens=tokens, doc_id=doc_id, text=text)
+    cut = pieces_of(docs, path, tokens=tokens, doc_id=doc_id, text=text, place=place)
+    key = F.shiftleft("place", PIECES) + F.col("piece") if place else F.monotonically_increasing_id()
     # Written once: keys and ids stay as they are for the packing and the join.
-    cut = materialize(cut.withColumn("key", F.monotonically_increasing_id()), "pieces")
-    placed = pack(cut.select("key", "length"), tokens=tokens, **options)
+    cut = materialize(cut.withColumn("key", key).drop("place"), "pieces")
+    placed = pack(cut.select("key", "length"), tokens=tokens, ordered=place is not None, **options)
     joined = cut.join(placed, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

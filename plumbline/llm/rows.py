@@ -8,7 +8,8 @@ size lets all other rows pass by without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
@@ -29,6 +30,23 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with each row's number from 0, in the order of its files' names and their rows.
+    A table that isn't read from files is counted by partition."""
+    part, at, before = (unused(docs, c) for c in ("_part", "_row_at", "_rows_before"))
+    try:
+        docs.select("_metadata.row_index")
+        spot = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    except AnalysisException:
+        spot = (F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    spots = docs.select("*", spot[0].alias(part), spot[1].alias(at))
+    rows = spots.groupBy(part).agg((F.max(at) + 1).alias("_rows"))
+    earlier = F.sum("_rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    # A row per file.
+    rows = F.broadcast(rows.select(part, F.coalesce(earlier, F.lit(0)).alias(before)))
+    return spots.join(rows, part).select(*docs.columns, (F.col(before) + F.col(at)).alias(name))
+
+
 def all_but_first(rows: DataFrame, group: str, doc_id: Column, row: str) -> DataFrame:
     """(row) of ``rows`` that are not the first of their ``group``: smallest doc_id, a null
     one last, then smallest number. Rows of a null group are left out."""

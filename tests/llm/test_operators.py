@@ -390,6 +390,28 @@ def test_mixture(documents):
         mixing.mixed(documents(docs), {"a": 1.0})
 
 
+def test_sequences_follow_the_mixture(spark, documents, tmp_path, monkeypatch):
+    """Read by number, sequences hold the documents of one stretch of the order after another."""
+    import corpus_pipeline
+    from plumbline.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 60)
+    docs = [(i, prose(i % 7, 90 + i % 50), "ab"[i % 2]) for i in range(240)]
+    documents(docs).write.parquet(f"{tmp_path}/docs")
+    mixed = corpus_pipeline.mixing_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    order = {}
+    for f in sorted((tmp_path / "mixed").glob("part-*")):
+        order |= {r.doc_id: len(order) + k for k, r in enumerate(spark.read.parquet(str(f)).coalesce(1).collect())}
+    got = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(240))
+    first = {}
+    for r in got:
+        first[r.sequence_id] = min(first.get(r.sequence_id, 240), order[r.doc_id])
+    assert [first[s] for s in sorted(first)] == sorted(first.values())
+    assert len(first) <= 1.2 * sum(r.length for r in got) / 2048 + 1
+
+
 def test_pipeline_decides_by_row(spark, documents, tmp_path):
     """Repeated and missing ids with different texts: one row of each group stays, no text is lost."""
     import corpus_pipeline
