@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import ordering as O
 from plumbline.operators.heuristics import diverse_order, diverse_top_k
 from plumbline.operators.ordering import (
     hot_groups,
@@ -148,3 +149,26 @@ def test_percentiles_agree_with_numpy(skewed, hot_rows, spark):
         assert r["a"] == pytest.approx(np.quantile(v, 0.25))
         assert r["b"] == pytest.approx(np.quantile(v, 0.9))
         assert r["c"] == v[min(len(v) - 1, math.ceil(0.95 * len(v)) - 1)]
+
+
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    """Tasks keep their size: the session's 4 shuffle partitions don't grow with the rows."""
+    monkeypatch.setattr(O, "ROWS_PER_TASK", 100)
+    rows = spark.range(2000).selectExpr("id % 500 AS g", "id % 7 AS h", "id")
+    assert O.deal(rows, ["g"], 90) is rows
+    dealt = O.deal(rows, ["g"], 2000)
+    assert dealt.rdd.getNumPartitions() == 20
+    tasks = dealt.groupBy("g", "h").count().withColumn("p", F.spark_partition_id())
+    assert tasks.select("p").distinct().count() > 10
+    made = with_group_aggregates(rows, ["g", "h"], {"n": F.count(F.lit(1))}, dealt_by=["g"])
+    assert made.rdd.getNumPartitions() == 20
+    assert sorted(made.collect()) == sorted(with_group_aggregates(rows, ["g", "h"], {"n": F.count(F.lit(1))}).collect())
+
+
+def test_candidates_run_in_tasks_of_a_fixed_size(spark, monkeypatch, sf):
+    from checks.queries_ranking import logical_of
+    from checks.views import occ
+
+    monkeypatch.setattr(O, "ROWS_PER_TASK", 500)
+    assert occ(spark, sf).rdd.getNumPartitions() >= 12
+    assert logical_of(occ(spark, sf)).rdd.getNumPartitions() >= 8
