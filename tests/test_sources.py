@@ -239,3 +239,14 @@ def test_only_changed_sources_are_rebuilt(spark, tree, tmp_path):
     assert step("r1")[0] == ["u2"]
     assert step("r2")[0] == ["u1", "u2"]
     assert spark.read.parquet(sink).count() == 2
+
+
+def test_headers_sort_no_lines(spark, tmp_path, capsys):
+    for unit in range(3):
+        folder = tmp_path / f"benchmark_output_train/u{unit}"
+        folder.mkdir(parents=True)
+        (folder / "x.csv").write_text(f"a,b{unit}\n" + "z,1\na,2\n" * 30_000)
+    head = T.headers(spark, str(tmp_path), "x.csv")
+    assert sorted((r["unit"], r["header"]) for r in head.collect()) == [(f"u{i}", f"a,b{i}") for i in range(3)]
+    head.explain()
+    assert "Sort" not in capsys.readouterr().out
