@@ -183,7 +183,7 @@ def forbidden_paths(spark, sf):
     texts = orders.select(
         "l_orderkey", F.to_json(F.struct(F.struct("lines").alias("order"))).alias("context")
     )
-    return J.forbidden_paths(texts, "context").drop("context")
+    return J.forbidden_paths(texts, "context", keep=["l_orderkey"])
 
 
 @query(

@@ -1,15 +1,17 @@
 """Nested values as rows: JSON texts taken apart level by level inside the JVM.
 
-A text becomes a VARIANT, and each pass explodes the containers of one level, so
+Where only keys count, texts are walked in one pass. Else a text becomes a VARIANT, and each pass explodes the containers of one level, so
 the number of passes is the nesting depth, whatever the number of rows. Levels are
 written to the shared folder: none is parsed or exploded twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,22 +51,64 @@ def _levels(rows: DataFrame, value: Column, root: str) -> list[DataFrame]:
 
 
 def forbidden_paths(
-    rows: DataFrame, text: str, keys: Sequence[str] = FORBIDDEN_CONTEXT_KEYS, *, root: str = "context"
-) -> DataFrame:
+    rows: DataFrame, text: str, keys: Sequence[str] = FORBIDDEN_CONTEXT_KEYS, *, root: str = "context",
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
     """(columns of ``rows``, path, key): every object key of ``keys``, at any depth.
 
     Paths read ``context.a[0].b``. Only keys count, not values. A text that is no
     JSON, or repeats a key in an object, can't be cleared and is told with the root as
     its path and a null key. Null texts hold nothing. ``path`` and ``key`` replace
-    columns of these names.
+    columns of these names. ``keep`` names the columns that come back, all by default.
+
+    Keys need no values, so a text is walked where it is read, in one pass: no level is written.
     """
-    made = ("path", "key")
-    given = rows.where(F.col(text).isNotNull())
-    kept = [F.col("_row")[c].alias(c) for c in rows.columns if c not in made]
-    first, *below = _levels(given, F.try_parse_json(F.col(text)), root)
-    hits = [first.where(F.col("_value").isNull())] + [d.where(F.col("_key").isin(*keys)) for d in below]
-    found = reduce(DataFrame.unionAll, [h.select("_row", "_path", "_key") for h in hits])
-    return found.select(*kept, F.col("_path").alias("path"), F.col("_key").alias("key"))
+    kept = [c for c in (rows.columns if keep is None else keep) if c not in ("path", "key")]
+    wanted = frozenset(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, names = [], [], []
+            for i, value in enumerate(batch.column(len(kept)).to_pylist()):
+                for path, key in _forbidden(value, wanted, root):
+                    at.append(i)
+                    paths.append(path.encode("utf-8", "replace").decode())
+                    names.append(key)
+            columns = batch.take(pa.array(at, pa.int64())).columns[: len(kept)]
+            found = [pa.array(paths, pa.string()), pa.array(names, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=[*kept, "path", "key"])
+
+    schema = rows.select(*kept).schema.add("path", "string").add("key", "string")
+    given = rows.where(F.col(text).isNotNull()).select(*kept, F.col(text).alias("_text"))
+    return given.mapInArrow(run, schema)
+
+
+def _object(pairs: list) -> dict:
+    made = dict(pairs)
+    if len(made) < len(pairs):
+        raise ValueError("a key is repeated")
+    return made
+
+
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is no JSON")
+
+
+def _forbidden(text: str, keys: frozenset[str], root: str) -> list[tuple[str, str | None]]:
+    """(path, key) of the ``keys`` in one text; (root, None) where it can't be parsed."""
+    try:
+        value = json.loads(text, object_pairs_hook=_object, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return [(root, None)]
+    found, open_ = [], [(root, value)]
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict):
+            found += [(f"{path}.{k}", k) for k in value if k in keys]
+            open_ += [(f"{path}.{k}", v) for k, v in value.items() if isinstance(v, (dict, list))]
+        elif isinstance(value, list):
+            open_ += [(f"{path}[{i}]", v) for i, v in enumerate(value) if isinstance(v, (dict, list))]
+    return found
 
 
 def leaves(rows: DataFrame, text: str, *, root: str = "$") -> DataFrame:

@@ -77,3 +77,17 @@ def test_contract_differences(spark):
     }
     assert {r.k for r in got} == {1, 3} and all(r.found is None for r in got if r.k == 3)
     assert sum(r.k == 3 for r in got) == 8
+
+
+def test_forbidden_paths_write_no_levels(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a level was written")
+
+    monkeypatch.setattr(J, "materialize", refuse)
+    texts = ['{"a": [1, {"outcome": null}], "b": {"a": 1, "a": 2}}', '{"a": [[{"outcome": 1}]]}', "{", '{"a": NaN}', '"outcome"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = J.forbidden_paths(df, "t", ["outcome"], keep=["i"])
+    assert got.columns == ["i", "path", "key"]
+    assert sorted((r.i, r.path, r.key) for r in got.collect()) == [
+        (0, "context", None), (1, "context.a[0][0].outcome", "outcome"), (2, "context", None), (3, "context", None)
+    ]
