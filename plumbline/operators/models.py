@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import bootstrap as B
 from plumbline.operators import ranking as R
 from plumbline.operators.gates import check_rows
+from plumbline.operators.ordering import deal
 from plumbline.session import materialize
 
 
@@ -55,14 +56,17 @@ def out_of_fold(
     """Every row scored once, by a model that saw none of its fold.
 
     The loop is over folds, a handful; rows are written once so each fit
-    re-reads them instead of rebuilding them.
+    re-reads them instead of rebuilding them. A fit holds what it reads as points, far
+    larger than the files, so its rows are dealt into tasks of a fixed size.
     """
     rows = materialize(as_vector(rows, features), "oof")
+    total = rows.count()
     ids = [r[0] for r in rows.where(F.col(fold) >= 0).select(fold).distinct().collect()]
     scored = None
     for f in sorted(ids):
         train = rows.where((F.col(fold) != f) & (F.col(fold) >= 0))
         train = class_weights(train, label) if weight is None else train
+        train = deal(train.select("vector", label, weight or "weight"), [], total)
         part, _ = fit_score(
             train, rows.where(F.col(fold) == f), label=label, weight=weight or "weight",
             rounds=rounds, depth=depth, seed=seed + int(f),
@@ -119,7 +123,11 @@ def scored_once(scored: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def ranking_gate(primary: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Does the model improve on the baseline where it counts?"""
+    """Does the model improve on the baseline where it counts?
+
+    A row per metric is written first: each check would compute the comparison anew."""
+    primary = materialize(primary, "primary")
+    seen = seen if seen is None else materialize(seen, "seen")
 
     def at(frame, metric, c):
         return frame.where(F.col("metric") == metric).agg(F.max(c)).scalar()
