@@ -172,3 +172,37 @@ def test_candidates_run_in_tasks_of_a_fixed_size(spark, monkeypatch, sf):
     monkeypatch.setattr(O, "ROWS_PER_TASK", 500)
     assert occ(spark, sf).rdd.getNumPartitions() >= 12
     assert logical_of(occ(spark, sf)).rdd.getNumPartitions() >= 8
+
+
+def test_cells_add_values_in_the_order_of_events(spark, tmp_path):
+    from checks.views import CELLS_SQL, pairs_cells
+
+    values = [0.1, 0.7, 0.2, 29.27, 0.3, 72.91, 0.07, 27.02]
+    rows = [(i, "2024-01-01", i // 3 % 2, "view", values[i % 8]) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr(
+        "event_id", "ts::timestamp AS ts", "user_id", "event_type", "value"
+    ).repartition(4, "value").write.parquet(f"{tmp_path}/events.parquet")
+    added = {}
+    for _, _, unit, _, value in rows:
+        added[unit] = added.get(unit, 0.0) + value
+    assert {r["unit"]: r["work"] for r in pairs_cells(spark, str(tmp_path)).collect()} == added
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect(config={"threads": 1})
+    source = f"(SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id)"
+    con.execute(f"CREATE TABLE events AS SELECT * FROM {source}")
+    sql = dict(con.execute(f"WITH {CELLS_SQL} SELECT unit, work FROM cells").fetchall())
+    assert sql == added
+
+
+def test_sums_in_order_leave_large_groups_to_the_exact_sum(spark):
+    from plumbline.functions import exprs as E
+
+    rows = spark.createDataFrame(
+        [(g, i, 0.1) for g, n in (("small", 3), ("large", 10)) for i in range(n)] + [("none", 0, None)],
+        "g string, i long, v double",
+    )
+    got = O.sums_in_order(
+        rows, ["g"], ["i"], "v", "s", {"n": F.count(F.lit(1))},
+        exact=E.exact_sum("v"), dealt_by=["g"], hot_rows=5,
+    )
+    assert {tuple(r) for r in got.collect()} == {("small", 0.1 + 0.1 + 0.1, 3), ("large", 1.0, 10), ("none", None, 1)}
