@@ -26,6 +26,7 @@ from plumbline.llm import (
     topk,
     url_filter,
 )
+from plumbline.llm.components import components
 from plumbline.llm.words import Words, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,6 +273,40 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_few_links_take_no_shuffle_a_round(spark):
+    """A round of a few links has one task, not eight shuffles, with the labels of other rounds."""
+    draw = random.Random(5)
+    pairs = [(draw.randrange(600), draw.randrange(600)) for _ in range(400)]
+    pairs += [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5001 + i) for i in range(300)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if a != b and least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                moved = True
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tasks = {}
+    try:
+        for k, v in zip(held, ("40", "false")):
+            spark.conf.set(k, v)
+        for limit in (0, 200_000):
+            spark.sparkContext.setJobGroup(f"components-{limit}", "components")
+            got = components(links, task_rows=limit).collect()
+            assert {r["id"]: r["label"] for r in got} == least and len(got) == len(least)
+            tracker = spark.sparkContext.statusTracker()
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components-{limit}")]
+            stages = {i for j in jobs for i in j.stageIds}
+            tasks[limit] = sum(tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert tasks[200_000] < 300 < 1000 < tasks[0]
+
+
 @pytest.mark.parametrize("size", [60.0, 3e5])
 def test_top_k_of_large_components(spark, monkeypatch, size):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
