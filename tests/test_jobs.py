@@ -1,11 +1,16 @@
 """Composite jobs over the given tables: they run and their totals close."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from checks import queries_jobs as J
 from checks import queries_pairs as Q
+from checks.verify import compare
 from checks.views import pairs_cells
 from plumbline.plans import cohorts as C
 from plumbline.plans import experiments as X
+from plumbline.session import _OWN
 
 
 def test_failure_diagnostics(spark, sf):
@@ -52,3 +57,18 @@ def test_scratch_folder_leaves_nothing_behind(spark):
         assert materialize(spark.range(5), "t").count() == 5
         assert any(Path(own.removeprefix("file:")).iterdir())
     assert not Path(own.removeprefix("file:")).exists() and scratch_root(spark) == root
+
+
+@pytest.mark.parametrize("name", ["decision_tables_job", "audit_job"])
+def test_jobs_over_small_compressed_pieces_equal_sql(spark, sf, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(J, "PIECE_ROWS", 60)
+    monkeypatch.setitem(_OWN, spark.sparkContext.applicationId, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert compare(J.QUERIES[name](spark, sf), con, J.ORACLES[name])[0] == ""
+    trees = list(tmp_path.glob("tree-*"))
+    files = [f for t in trees for f in t.glob("split=*/unit=13/file=candidate_cuts.csv.*/part-*")]
+    assert len(trees) == 2 and len(files) > 8 and all(f.name.endswith(".gz") for f in files)
+    # A build that stops writes no rows before.
+    assert len(list(tmp_path.glob("root-rows-*"))) == (name == "decision_tables_job")
